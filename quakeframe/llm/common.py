@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text", chars:
     """Cut Arrow batches into pieces of about ``chars`` characters, at whole rows: the other columns as lists, and the texts (null: empty)."""
     for batch in batches:
         names = [n for n in batch.schema.names if n != column]
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
         for end, size in enumerate(sizes, 1):
             total += size

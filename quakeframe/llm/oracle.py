@@ -24,4 +24,22 @@ def _op9() -> str:
     from d left join said on d.n = said.n"""
 
 
-ORACLE_SQL = {"op9_secret_scan": _op9()}
+OP8 = r"""
+with d as (select doc_id, coalesce(text, '') as text, row_number() over () as n from documents),
+w as (select n, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> '')) as w, generate_subscripts(list_filter(regexp_split_to_array(text, '[ \t\n\v\f\r]+'), lambda x: x <> ''), 1) as k from d),
+g as (select n, k, w || ' ' || lead(w) over r || ' ' || lead(w, 2) over r as g from w window r as (partition by n order by k)),
+again as (select n, k from (select n, k, count(*) over (partition by n, g) as c from g where g is not null) where c > 1),
+inside as (select n, count(distinct k + j) as n_repeat_words from again, (values (0), (1), (2)) as j(j) group by n),
+words as (select n, count(*) as n_words, sum(length(w)) as word_chars from w group by n),
+lines as (select n, count(*) as n_lines, count(*) - count(distinct l) as n_dup_lines from (select n, unnest(string_split(text, chr(10))) as l from d) where regexp_matches(l, '[^ \t\n\v\f\r]') group by n),
+m as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines
+  from d left join words using (n) left join lines using (n) left join inside using (n)),
+b as (select *, case when n_words < 50 then 1 else 0 end + case when 100 * n_repeat_words > 50 * n_words then 2 else 0 end + case when n_words > 1000000 then 4 else 0 end
+  + case when word_chars < 2 * n_words then 8 else 0 end + case when word_chars > 20 * n_words then 16 else 0 end + case when 10 * n_symbols > 3 * word_chars then 32 else 0 end
+  + case when n_lines >= 4 and 10 * n_dup_lines > 6 * n_lines then 64 else 0 end as bits from m)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, (bits & 3) <> 0 as base_failed, bits = 0 as kept, cast(bits as bigint) as fail_bits from b
+"""
+
+ORACLE_SQL = {"op8_quality_rules": OP8, "op9_secret_scan": _op9()}
