@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import mixing, quality, secret_scan, simhash
+from quakeframe.llm import decontamination, mixing, quality, secret_scan, simhash
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it contains."""
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
@@ -32,4 +37,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_simhash, op8_quality_rules, op9_secret_scan, op10_source_mix)}
