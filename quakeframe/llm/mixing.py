@@ -18,7 +18,7 @@ be taken; an empty table gives an empty result. The draw depends on ids, sizes a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import stored, word_count
@@ -117,15 +117,19 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def draw(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """One row for each piece taken, with the columns of ``documents``: dealt to its shard and ordered there by hash."""
-    picks = mixed.filter(F.col("taken") > 0).select("doc_id", F.explode("pieces").alias("piece")).select("doc_id", "piece.*").dropDuplicates(["doc_id", "copy"])
-    return documents.join(picks, "doc_id").repartition("shard").sortWithinPartitions("shard", "order")
+    """One row for each piece taken, with the columns of ``documents`` and shard, copy and order: dealt to its shard and ordered there by hash.
+
+    The document in which a source's quota ends is cut there. Rows with a null id count in the sizes but are not drawn; of rows repeated with one id each is drawn.
+    """
+    picks = mixed.filter(F.col("taken") > 0).select("doc_id", "size", F.explode("pieces").alias("_piece")).dropDuplicates(["doc_id", "size", "_piece"])
+    picks = picks.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_piece")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(F.col("_piece.to") < F.col("_size"), F.array_join(F.slice(words, 1, F.col("_piece.to").cast("int")), " ")).otherwise(F.col("text"))
+    rows = documents.join(picks, F.col("doc_id") == F.col("_id")).withColumn("text", text)
+    out = rows.select(*documents.columns, F.col("_piece.shard").alias("mix_shard"), F.col("_piece.copy").alias("mix_copy"), F.col("_piece.order").alias("mix_order"))
+    return out.repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order")
 
 
 def digest(mixed: DataFrame) -> DataFrame:
     """The result columns of the query; ``shards`` lists the shards that a document's copies went to."""
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("pieces", lambda p: p["shard"]).alias("shards"))
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, mixing, quality, secret_scan, simhash
+from quakeframe.llm import decontamination, mixing, quality, secret_scan, simhash, toxicity
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -22,6 +22,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, from a field fitted outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(documents, toxicity.train(documents, _table(spark, sf_dir, "labels")), spans=True))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, failure bits and verdict of every document."""
     return quality.digest(quality.ledger(_table(spark, sf_dir, "documents")))
@@ -37,4 +43,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_simhash, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_simhash, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}

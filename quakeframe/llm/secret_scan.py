@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import scratch
+from quakeframe.llm.common import scratch, small, stored
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -145,6 +145,19 @@ def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(found) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
 
 
+def redact_documents(documents: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``documents`` with every secret in the text masked, and n_chars (if there is one) as it is then; all rows stay."""
+    spark = documents.sparkSession
+    ledger = BlobLedger(spark, ledger_path or scratch(spark, "ledger"))
+    ledger.scan(documents, rules=rules)
+    findings = small(stored(ledger.findings(rules).withColumnRenamed("blob", "_blob").withColumnRenamed("spans", "_spans"), "findings"))
+    held = documents.join(findings, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_blob"), "left")
+    out = held.withColumn("text", F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*documents.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The result columns of the query, from doc_id and spans."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -14,7 +14,8 @@ than members. Keys with more members than ``block`` are cut into blocks, and eac
 Components come from star contraction with tables in the shared folder between rounds.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint 0 and are linked like any other;
-rows repeated with one id each get a row; documents with a null id are fingerprinted but are not a component's name
+rows repeated with one id each get a row and count as one document (what
+links to any of their texts is linked); documents with a null id are fingerprinted but are not a component's name
 (the component is null if it holds no other id); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import small, stored, text_batches, words_of
@@ -267,6 +268,17 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, block: int = BLO
     return found.join(of, "fingerprint")
 
 
+def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each component, that of the smallest id; of rows repeated with its id the one of the first text. Rows with a null id stay."""
+    found = stored(near_duplicates(documents, radius).select("doc_id", "component_id"), "components")
+    gone = small(stored(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates"))
+    again = small(stored(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated"))
+    left = documents.join(gone, "doc_id", "left_anti")
+    once = left.join(again, "doc_id", "left_anti").select(*documents.columns)
+    repeated = left.join(again, "doc_id", "left_semi").select(*documents.columns).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
+    return once.unionByName(repeated)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The result columns of the query."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
