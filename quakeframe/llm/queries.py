@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, mixing, quality, secret_scan, simhash, toxicity
+from quakeframe.llm import decontamination, langid, license_scan, mixing, quality, secret_scan, simhash, toxicity
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -17,11 +17,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from references outside the held-out fold."""
+    documents = _table(spark, sf_dir, "documents")
+    return langid.digest(langid.identify(documents, langid.learn(documents)))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, from a field fitted outside the held-out fold."""
     documents = _table(spark, sf_dir, "documents")
@@ -43,4 +54,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_simhash, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_license_scan, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
