@@ -3,8 +3,8 @@
 Texts and templates are cut into tokens (runs of ASCII letters and digits, and of other characters), and into
 shingles of five tokens. Windows of several lengths overlap so far that a copy of a template lies whole in a window
 of its size class, which holds at most about twice the template's tokens. A window's signature has one minimum for
-each band; a copy of a template makes up a share ``s`` of at least LEAST_SHARE of its window's shingles, so one
-minimum is a shingle of the template with probability s, and some of the BANDS with 1 - (1 - s)^BANDS, over 0.999.
+each band; a copy of a template makes up a share ``s`` of its window's shingles, an eighth at least, so one minimum
+is a shingle of the template with probability s, and some of the 48 bands' with 1 - (1 - s)^48, over 0.998.
 A minimum that is a shingle of a template of the class retrieves it. Verification is exact: the share of the
 template's distinct shingles that the window holds must reach CONTAINMENT.
 
@@ -30,7 +30,6 @@ from quakeframe.llm.common import text_batches
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 48
-LEAST_SHARE = 0.15
 TEMPLATE_TOKENS = 500_000
 STEP = 4  # tokens between the smallest windows; the others' steps are multiples of it
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, langid, license_scan, mixing, quality, secret_scan, simhash, toxicity
+from quakeframe.llm import decontamination, langid, license_scan, mixing, quality, secret_scan, simhash, toxicity, warc
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -22,6 +22,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page archived as a WARC record and read back through the capture index."""
+    return warc.archive_and_read(spark, _table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir, "documents")))
@@ -54,4 +59,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_license_scan, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
