@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, langid, license_scan, mixing, quality, secret_scan, simhash, toxicity, warc
+from quakeframe.llm import decontamination, langid, license_scan, lm_score, mixing, quality, secret_scan, simhash, toxicity, warc
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -17,6 +17,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and base scores of every document."""
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return license_scan.scan(_table(spark, sf_dir, "documents"))
@@ -59,4 +64,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
