@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quakeframe.functions.numeric import Num, col, safe_log
 
@@ -85,7 +86,7 @@ def perturbation(v: Num, reference: Num) -> Column:
     return safe_log(col(v) / F.when(col(reference) > 0, col(reference)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _mechanism(m: pd.DataFrame) -> pd.Series:
     rr, tt, pp, rt, rp, tp = (m.iloc[:, k].to_numpy(float) for k in range(6))
     bad = ~np.isfinite(m.to_numpy(float)).all(axis=1)
