@@ -19,6 +19,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -27,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,48 +69,80 @@ def features(token: str) -> list[str]:
     return [*stems(low), "-" + low[-3:], f"#{min(len(low), 12)}", *(["^"] if token[0].isupper() else []), ""]
 
 
-def pick(toxic: list[set[str]], clean: list[set[str]], least: int = 3, most: int = 300) -> set[str]:
+def _hash(feature: str) -> int:
+    return xxhash.xxh64_intdigest(feature, 0) >> 1
+
+
+def pick(words: list[set[str]], toxic: list[int], least: int = 3, most: int = 300) -> set[str]:
     """Words and beginnings that explain toxic documents, the best in turn, counted over the documents without a picked one.
 
-    Best is the largest gain: unexplained toxic documents that have it, less ten times what its share of clean ones would make there.
+    Best is the largest gain: unexplained toxic documents that have it, less ten times what its share of clean ones
+    would make there. Features are held as numbers; only those that can be picked at all are kept.
     """
-    seen = Counter(w for d in clean for w in d)
-    left, found = list(toxic), set()
-    scale = 10 * len(toxic) / max(len(clean), 1)
-    while left and len(found) < most:
-        gain = {w: n - scale * seen[w] for w, n in Counter(w for d in left for w in d).items() if n >= least}
-        best = max(gain, key=lambda w: (gain[w], len(w), w), default=None)
-        if best is None or gain[best] < max(least, 0.002 * len(toxic)):
+    each = [np.unique(np.fromiter((_hash(f) for w in d for f in stems(w)), dtype=np.int64)) for d in words]
+    y = np.array(toxic, dtype=bool)
+    n_toxic, scale = int(y.sum()), 10 * y.sum() / max(len(y) - y.sum(), 1)
+    ids = np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
+    doc = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    del each
+    names, at = np.unique(ids, return_inverse=True)
+    penalty = scale * np.bincount(at[~y[doc]], minlength=len(names))
+    counts = np.bincount(at[y[doc]], minlength=len(names))
+    floor = max(least, 0.002 * n_toxic)
+    telling = counts - penalty >= max(10, 0.04 * n_toxic)
+    able = (counts - penalty >= floor)[at] & y[doc]
+    at, doc = at[able], doc[able]
+    found = np.zeros(len(names), dtype=bool)
+    for _ in range(most):
+        gain = np.bincount(at, minlength=len(names)) - penalty
+        best = int(np.argmax(gain)) if len(gain) else 0
+        if not len(at) or gain[best] < floor:
             break
-        found.add(best)
-        left = [d for d in left if best not in d]
-    # others that the picked ones cover: as telling, and nearly as frequent as the rarest of the first
-    counts = Counter(w for d in toxic for w in d)
-    return found | {w for w, n in counts.items() if n - scale * seen[w] >= max(10, 0.04 * len(toxic))}
-
-
-def _chains(sentences: list[tuple[list[str], list[int]]], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
-    """At most CHAINS chains of CHAIN tokens, half of them with a toxic token where there are enough."""
-    pieces = [(s[k : k + CHAIN], y[k : k + CHAIN]) for s, y in sentences for k in range(0, len(s), CHAIN)]
-    hot = [p for p in pieces if any(p[1])]
-    cold = [p for p in pieces if not any(p[1])]
-    take = lambda x, n: [x[k] for k in sorted(rng.permutation(len(x))[:n])]
-    return take(hot, CHAINS // 2) + take(cold, CHAINS - min(len(hot), CHAINS // 2))
+        found[best] = True
+        explained = np.isin(doc, doc[at == best])
+        at, doc = at[~explained], doc[~explained]
+    # others that the picked ones cover: as telling, and frequent
+    wanted = set(names[found | telling].tolist())
+    return {f for d, t in zip(words, toxic, strict=True) if t for w in d for f in stems(w) if _hash(f) in wanted}
+
+
+def _chains(rows: list[tuple[str, int]], picked: set[str], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+    """At most CHAINS random chains of CHAIN tokens, half of them with a toxic token where there are enough."""
+    cache: dict[str, bool] = {}
+    kept: tuple[list, list] = ([], [])
+    for text, y in rows:
+        for s in SENTENCE.split(text):
+            tokens = LETTERS.findall(s)
+            for k in range(0, len(tokens), CHAIN):
+                piece = tokens[k : k + CHAIN]
+                labels = []
+                for w in piece:
+                    low = w.lower()
+                    if low not in cache:
+                        cache[low] = not picked.isdisjoint(stems(low))
+                    labels.append(int(bool(y) and cache[low]))
+                heap = kept[any(labels)]
+                entry = (rng.random(), piece, labels)
+                if len(heap) < CHAINS:
+                    heapq.heappush(heap, entry)
+                elif entry[0] > heap[0][0]:
+                    heapq.heapreplace(heap, entry)
+    cold, hot = (sorted(h, reverse=True) for h in kept)
+    hot = hot[: CHAINS // 2]
+    return [(p, y) for _, p, y in hot + cold[: CHAINS - len(hot)]]
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 7) -> Field:
     """Fit the field and the document score on (text, label) rows."""
     rows = sorted(dict(rows).items())
-    docs = [([LETTERS.findall(s) for s in SENTENCE.split(t)], y) for t, y in rows]
     out = Field()
-    n_toxic = sum(y for _, y in docs)
-    if not n_toxic or n_toxic == len(docs):
-        out.constant = 0.5 * n_toxic / max(len(docs), 1)
+    toxic = [y for _, y in rows]
+    if not sum(toxic) or sum(toxic) == len(rows):
+        out.constant = 0.5 * sum(toxic) / max(len(rows), 1)
         return out
-    bags = [({f for sentence in d for w in sentence for f in stems(w.lower())}, y) for d, y in docs]
-    picked = pick([b for b, y in bags if y], [b for b, y in bags if not y])
+    picked = pick([{w.lower() for w in LETTERS.findall(t)} for t, _ in rows], toxic)
     rng = np.random.default_rng(seed)
-    chains = _chains([(s, [int(bool(y) and not picked.isdisjoint(stems(w.lower()))) for w in s]) for d, y in docs for s in d if s], rng)
+    chains = _chains(rows, picked, rng)
 
     counts = Counter(f for s, _ in chains for w in s for f in features(w))
     kept = sorted(picked | {f for f, n in counts.most_common(VOCABULARY) if n > 2})
@@ -145,7 +179,8 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Field:
     out.weight = {f: float(theta[k]) for f, k in at.items() if abs(theta[k]) > 1e-4}
     out.step = step
 
-    x = np.array([summary(m) for m in marginals(out, [t for t, _ in rows])])
+    cache: dict[str, float] = {}
+    x = np.array([summary(m) for k in range(0, len(rows), 200) for m in marginals(out, [t for t, _ in rows[k : k + 200]], cache)])
     y = np.array([v for _, v in rows], dtype=float)
     w = np.zeros(4)
     for _ in range(50):  # Newton steps of a ridge logistic regression

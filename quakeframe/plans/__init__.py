@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+from quakeframe.plans import gridded, incremental, relational, scalars  # noqa: F401  they register their queries
+from quakeframe.plans.registry import ORACLE, QUERIES
 
-def FLAGSHIP(spark, sf_dir):
-    """Row count of lineitem per return flag, until the score table replaces it."""
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+FLAGSHIP = QUERIES["score_table"]
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
