@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,24 @@ def array_rms(samples: Num) -> Column:
     return F.when(F.size(kept) > 0, F.sqrt(F.aggregate(kept, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")) / F.size(kept)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for each row, however often it is named there (in nested lambdas too)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def array_median(a: Column) -> Column:
+    """Median of an array, the mean of the middle two."""
+    n = F.size(a)
+    return let(F.array_sort(a), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+
+
 def glitch_ratio(samples: Num, threshold: float = 10.0) -> Column:
     """Share of an array's samples further than ``threshold`` robust deviations (1.4826 times the median absolute one; the standard deviation where that is 0) from the median."""
-    def median(a: Column) -> Column:
-        s, n = F.array_sort(a), F.size(a)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+    def share(x: Column, off: Column) -> Column:
+        mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, e: a + e) / F.size(v)
+        std = let(mean(x), lambda m: F.sqrt(mean(F.transform(x, lambda v: (v - m) * (v - m)))))
+        scale = let(array_median(off) * 1.4826, lambda mad: F.when(mad > 0, mad).otherwise(std))
+        return let(scale, lambda s: F.when(s <= 0, 0.0).otherwise(F.size(F.filter(off, lambda v: v > threshold * s)) / F.size(x)))
 
     x = F.transform(col(samples), lambda v: v.cast("double"))
-    mid = median(x)
-    mad = median(F.transform(x, lambda v: F.abs(v - mid))) * 1.4826
-    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
-    std = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x))
-    scale = F.when(mad > 0, mad).otherwise(std)
-    return F.when(F.size(x) == 0, None).when(scale <= 0, 0.0).otherwise(F.size(F.filter(x, lambda v: F.abs(v - mid) > threshold * scale)) / F.size(x))
+    return F.when(F.size(col(samples)) > 0, let(x, lambda a: let(array_median(a), lambda mid: let(F.transform(a, lambda v: F.abs(v - mid)), lambda off: share(a, off)))))

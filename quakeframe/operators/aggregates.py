@@ -149,11 +149,11 @@ def bbox_area(df: DataFrame, group: Sequence[str], lat: str, lon: str, floor: fl
 
 
 def active_per_year(df: DataFrame, start: str, end: str, last_year: int) -> DataFrame:
-    """Per year the rows whose interval holds it, and those that begin in it; an open end runs to ``last_year``.
+    """Per year the rows whose interval holds it, and those that begin in it; an open end runs to ``last_year``; an interval that ends before it begins is new and never active.
 
     Counts of beginnings and ends are summed over the years, so that no row is expanded into its years.
     """
-    begin = df.filter(F.col(start).isNotNull()).select(F.year(start).alias("a"), F.coalesce(F.year(end), F.lit(last_year)).alias("b")).filter(F.col("b") >= F.col("a"))
+    begin = df.filter(F.col(start).isNotNull()).select(F.year(start).alias("a"), F.greatest(F.coalesce(F.year(end), F.lit(last_year)), F.year(start) - 1).alias("b"))
     moves = begin.groupBy(F.col("a").alias("year")).agg(F.count("*").alias("n_new")).join(begin.groupBy((F.col("b") + 1).alias("year")).agg(F.count("*").alias("n_gone")), "year", "full_outer")
     span = begin.agg(F.min("a").alias("lo"), F.max("b").alias("hi")).select(F.explode(F.sequence("lo", "hi")).alias("year"))
     full = span.join(moves, "year", "left").fillna(0)

@@ -52,7 +52,8 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
 
             used = [n for n in STANDINS if re.search(rf"\b{n}\b", sql)]
             views = ", ".join(f"{n} as ({STANDINS[n].replace('{', '').replace('}', '')})" for n in used)
-            ORACLE[f.__name__] = f"with {views}, " + sql.strip()[5:] if sql.strip().lower().startswith("with ") else f"with {views} {sql.strip()}"
+            head = re.match(r"\s*with( recursive)?\s", sql)
+            ORACLE[f.__name__] = f"with{head[1] or ''} {views}, {sql[head.end():].strip()}" if head else f"with {views} {sql.strip()}"
         return run
 
     return wrap

@@ -23,11 +23,11 @@ def join_as_of(t):
     return joins.as_of(left, right, ["user_id"], "lt", "rt", "rid", 36000).select("lid", "rid", r("value").alias("value"))
 
 
-@query("""with a as (select event_id as lid, year, cast(depth as int) % 24 as h, cast(event_id * 7 % 60 as int) as mi from evt where event_id % 3 = 0), b as (select event_id as rid, year, cast(depth as int) % 24 as h, cast(event_id * 11 % 60 as int) as mj from evt where event_id % 3 = 1)
+@query("""with a as (select event_id as lid, year, cast(event_id % 23 as int) as h, cast(event_id * 7 % 60 as int) as mi from evt where event_id % 3 = 0), b as (select event_id as rid, year, cast(event_id % 23 as int) as h, cast(event_id * 11 % 60 as int) as mj from evt where event_id % 3 = 1)
 select lid, rid from (select lid, rid, row_number() over (partition by lid order by abs(mi - mj), rid) as k from a join b on a.year = b.year and a.h = b.h where abs(mi - mj) <= 2) x where k = 1""")
 def join_in_hour(t):
     """Match within the hour, the nearest minute taken."""
-    e = t("evt").withColumn("h", F.col("depth").cast("int") % 24)
+    e = t("evt").withColumn("h", (F.col("event_id") % 23).cast("int"))
     a = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("lid"), "year", "h", (F.col("event_id") * 7 % 60).cast("int").alias("mi"))
     b = e.filter("event_id % 3 = 1").select(F.col("event_id").alias("rid"), "year", "h", (F.col("event_id") * 11 % 60).cast("int").alias("mj"))
     return joins.match_in_hour(a, b, ["year", "h"], "mi", "mj", "rid", 2, "lid").select("lid", "rid")
@@ -68,12 +68,12 @@ def join_nearest_level(t):
 _SP = haversine_sql("a.lat", "a.lon", "b.lat", "b.lon")
 
 
-@query(f"""select a.sta as k1, b.sta as k2, round({_SP}, 6) as distance from station a join station b on a.sta < b.sta where {_SP} <= 3""")
+@query(f"""select a.sta as k1, b.sta as k2, round({_SP}, 6) as distance from station a join station b on a.sta < b.sta where {_SP} <= 6""")
 def join_spatial(t):
-    """Pairs of stations within three degrees."""
+    """Pairs of stations within six degrees."""
     s = t("station")
     a, b = (s.select(F.col("sta").alias(f"k{i}"), F.col("lat").alias(f"lat{i}"), F.col("lon").alias(f"lon{i}")) for i in (1, 2))
-    return joins.spatial_pairs(a, b, 3.0).filter("k1 < k2").select("k1", "k2", r("distance").alias("distance"))
+    return joins.spatial_pairs(a, b, 6.0).filter("k1 < k2").select("k1", "k2", r("distance").alias("distance"))
 
 
 @query(f"""select event_id, sta, rank, round(d, 6) as distance from (select event_id, sta, d, row_number() over (partition by event_id order by d, sta) as rank from (select a.event_id, b.sta, {_SP} as d from evt a join station b on abs(a.lat - b.lat) <= 4) x where d <= 4) y where rank <= 3""")
@@ -327,10 +327,10 @@ def gain_k(t):
     return windows.first_small_gain(_curve(t), ["m"], "k", "sse", 0.1)
 
 
-@query("""with p as (select m, depth, round(avg(case when ilat % 3 = 0 then v end), 6) as s from vox group by m, depth), q as (select *, lag(s) over (partition by m order by depth) as a, lead(s) over (partition by m order by depth) as b from p) select m, depth, s from q where s > a and s > b""")
+@query("""with p as (select m, depth, round(avg(case when ilat % 3 = 0 then v - 0.0004 * depth end), 6) as s from vox group by m, depth), q as (select *, lag(s) over (partition by m order by depth) as a, lead(s) over (partition by m order by depth) as b from p) select m, depth, s from q where s > a and s > b""")
 def profile_maxima(t):
     """Interior maxima of a profile."""
-    p = t("vox").groupBy("m", "depth").agg(r(F.avg(F.when(F.col("ilat") % 3 == 0, F.col("v")))).alias("s"))
+    p = t("vox").groupBy("m", "depth").agg(r(F.avg(F.when(F.col("ilat") % 3 == 0, F.col("v") - F.col("depth") * 0.0004))).alias("s"))
     return windows.local_maxima(p, ["m"], "depth", "s")
 
 
