@@ -12,8 +12,9 @@ probabilities, with the first weights as a prior; pieces that start a word sum t
 as well. A whole word's arc weighs its count less DISCOUNT, and what the discounts free is the pieces' share: the
 probabilities of all words and the end sum to one at most.
 
-Word counts are a table that grows with the corpus. The counts of the ``HEAD`` most frequent words go to every task;
-a document's other words are joined with the table by a shuffle. So hot words are never shuffled and none is dropped.
+Words are a table that grows with the corpus, with their counts and lattice probabilities, each computed once. Those of
+the ``HEAD`` most frequent words go to every task; a document's other words are joined with the table by a shuffle. So
+hot words are never shuffled and none is dropped.
 
 Defined results: a null text is empty and is an end only; documents with a null id are scored but not learned from;
 rows repeated with one id each get a row; an empty table gives an empty result; without training texts the base is
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,10 @@ from quakeframe.llm.common import fold, stored, text_batches, words_of
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS = 2
 PRIOR = 1000.0
-HEAD = 200_000
+HEAD = 50_000
 #: Taken from the count of every different word for the pieces' share.
 DISCOUNT = 0.7
-#: Different words that a task counts or remembers before it passes them on or forgets them.
+#: Different words that a task counts before it passes them on.
 HELD = 300_000
 START = "▁"
 LOG10 = math.log(10)
@@ -57,54 +59,68 @@ class Lattice:
         rest = weights[~group].sum() + stop
         self.weights = np.log(np.where(group, weights / weights[group].sum(), weights / rest)).tolist()
         self.stop = math.log(stop / rest)
-        self.longest = max(map(len, pieces), default=1)
+        # numbers of the pieces, and -1 for what only begins a piece: where neither is found, no longer piece fits
+        self.prefixes = {name[:k]: -1 for name in pieces for k in range(1, len(name))} | pieces
+        self.logs = {name: self.weights[k] if k >= 0 else 1.0 for name, k in self.prefixes.items()}  # over 0: begins a piece only
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each position after the first: (from, log weight, pieces) of the arcs that end there."""
+    def word(self, word: str) -> float:
+        """Natural log of a word's marginal probability over the pieces: the forward sums alone, with no arcs kept."""
         s = START + word
-        pieces, weights, n = self.pieces, self.weights, len(s)
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = pieces.get(s[i:j])
-                if k is not None:
-                    into[j].append((i, weights[k], (k,)))
-            if s[i] not in pieces:
-                used = tuple(self.spell[b] for b in s[i].encode("utf-8", "replace"))
-                into[i + 1].append((i, sum(weights[k] for k in used), used))
-        return into
-
-    @staticmethod
-    def forward(into: list[list[tuple[int, float, tuple[int, ...]]]]) -> list[float]:
-        """Log probability of all ways to reach each position."""
-        alpha = [0.0] * len(into)
-        exp, log = math.exp, math.log
-        for j in range(1, len(into)):
-            found = [alpha[i] + w for i, w, _ in into[j]]
+        n, find, exp, log = len(s), self.logs.get, math.exp, math.log
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        alpha = 0.0
+        for i in range(n + 1):
+            found = into[i]
             if len(found) == 1:
-                alpha[j] = found[0]
+                alpha = found[0]
             else:
                 top = max(found)
-                alpha[j] = top + log(sum([exp(x - top) for x in found]))
-        return alpha
-
-    def word(self, word: str) -> float:
-        """Natural log of a word's marginal probability over the pieces."""
-        return self.forward(self.arcs(word))[-1] + self.stop
-
-    def expect(self, word: str, into_counts: np.ndarray) -> None:
-        """Add the expected uses of the pieces in a word."""
-        into = self.arcs(word)
-        alpha = self.forward(into)
-        share = [0.0] * len(into)  # posterior probability that a segmentation passes a position
-        share[-1] = 1.0
-        for j in range(len(into) - 1, 0, -1):
-            if share[j]:
-                for i, w, used in into[j]:
-                    p = share[j] * math.exp(alpha[i] + w - alpha[j])
+                alpha = top + log(sum([exp(x - top) for x in found]))
+            for j in range(i + 1, n + 1):
+                w = find(s[i:j])
+                if w is None:
+                    break
+                if w <= 0:
+                    into[j].append(alpha + w)
+            if i < n and find(s[i], 1.0) > 0:
+                into[i + 1].append(alpha + sum([self.weights[self.spell[b]] for b in s[i].encode("utf-8", "replace")]))
+        return alpha + self.stop
+
+    def expect(self, word: str, into_counts: list[float]) -> None:
+        """Add the expected uses of the pieces in a word: forward sums, then the share of all segmentations that use each arc."""
+        s = START + word
+        n, find, weights, exp, log = len(s), self.prefixes.get, self.weights, math.exp, math.log
+        arcs: list[list[tuple[int, float, int]]] = [[] for _ in range(n + 1)]  # from, its forward sum plus weight, piece (-1: bytes)
+        alpha = [0.0] * (n + 1)
+        for i in range(n + 1):
+            found = arcs[i]
+            if len(found) == 1:
+                alpha[i] = found[0][1]
+            elif found:
+                top = max([x for _, x, _ in found])
+                alpha[i] = top + log(sum([exp(x - top) for _, x, _ in found]))
+            a = alpha[i]
+            for j in range(i + 1, n + 1):
+                k = find(s[i:j])
+                if k is None:
+                    break
+                if k >= 0:
+                    arcs[j].append((i, a + weights[k], k))
+            if i < n and find(s[i], -1) < 0:
+                arcs[i + 1].append((i, a + sum([weights[self.spell[b]] for b in s[i].encode("utf-8", "replace")]), -1))
+        share = [0.0] * n + [1.0]  # posterior probability that a segmentation passes a position
+        for j in range(n, 0, -1):
+            passed = share[j]
+            if passed:
+                for i, x, k in arcs[j]:
+                    p = passed * exp(x - alpha[j])
                     share[i] += p
-                    for k in used:
+                    if k >= 0:
                         into_counts[k] += p
+                    else:
+                        for b in s[i].encode("utf-8", "replace"):
+                            into_counts[self.spell[b]] += p
 
 
 def vocabulary(path: str = VOCABULARY) -> tuple[dict[str, int], list[int], np.ndarray]:
@@ -128,21 +144,22 @@ def vocabulary(path: str = VOCABULARY) -> tuple[dict[str, int], list[int], np.nd
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """word, n over the rows of ``documents``; a task counts before it passes on."""
+    """word, n of all words of ``documents`` (train, text): n counts the rows to train on, and is 0 for words that those lack. A task counts before it passes on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
         held: Counter[bytes] = Counter()
-        for _, texts in text_batches(batches):
-            for text in texts:
-                held.update(words_of(text))
+        for rest, texts in text_batches(batches):
+            for train, text in zip(rest["train"], texts, strict=True):
+                words = words_of(text)
+                held.update(words if train else dict.fromkeys(words, 0))
             if len(held) > HELD:
                 yield out()
                 held.clear()
         yield out()
 
-    return documents.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select("train", "text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def estimate(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, prior: float = PRIOR) -> Lattice:
@@ -155,11 +172,12 @@ def estimate(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, pr
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             model = shipped.value
-            found, n = np.zeros(len(model.weights)), 0
+            found, n = [0.0] * len(model.weights), 0
             for batch in batches:
                 for word in batch.column("word").to_pylist():
                     model.expect(word, found)
                 n += batch.num_rows
+            found = np.array(found)
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1], pa.int64()), pa.array([*found[at].tolist(), float(n)])], ["piece", "n"])
 
@@ -169,24 +187,35 @@ def estimate(counts: DataFrame, path: str = VOCABULARY, rounds: int = ROUNDS, pr
             if k >= 0:
                 used[k] += n
         lattice = Lattice(pieces, spell, used, sums.get(-1, 0.0) + 0.2 * prior)
+        shipped.destroy()
     return lattice
 
 
+def piece_scores(counts: DataFrame, lattice: Lattice) -> DataFrame:
+    """word, n, p: every different word's marginal log probability over the pieces, computed once."""
+    shipped = counts.sparkSession.sparkContext.broadcast(lattice)  # as large as the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            p = [model.word(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(p, pa.float64())], ["word", "n", "p"])
+
+    return counts.select("word", "n").mapInArrow(run, "word string, n long, p double")
+
+
 def _log_sum(x: float, y: float) -> float:
     top = max(x, y)
     return top + math.log(math.exp(x - top) + math.exp(y - top))
 
 
 class Scorer:
-    """What a task needs for a document: the lattice, the counts of the head, and what it remembers of words."""
+    """What a task needs for a document: counts and log probabilities of the head's words, and the end's."""
 
-    def __init__(self, lattice: Lattice, head: dict[bytes, int], divisor: float, n_end: int, n: int, different: int):
-        self.lattice, self.head, self.divisor, self.n_end, self.n = lattice, head, divisor, n_end, n
+    def __init__(self, head: dict[bytes, tuple[int, float]], divisor: float, n_end: int, n: int, different: int):
+        self.divisor, self.n_end, self.n = divisor, n_end, n
         self.share = math.log((DISCOUNT * different + 1) / (n + 1))  # of the pieces
-        self.remembered: dict[bytes, float] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"remembered": {}}
+        self.head = {w: (self.base(c), self.whole(p, c)) for w, (c, p) in head.items()}
 
     def base(self, count: int) -> float:
         return math.log10((count + 0.1) / self.divisor)
@@ -196,58 +225,54 @@ class Scorer:
         p = self.share + pieces
         return _log_sum(p, math.log((count - DISCOUNT) / (self.n + 1))) if count else p
 
-    def score(self, text: str) -> tuple[int, int, float, float, list[dict]]:
-        """Tokens; known tokens, base score and log score of the end and head words; the other words with their numbers and pieces' log probability."""
-        found = Counter(words_of(text))
-        head, remembered, lattice, divisor, log10 = self.head, self.remembered, self.lattice, self.divisor, math.log10
-        tokens, known, base, rest = 1, int(self.n_end > 0), self.base(self.n_end), []
+    def score(self, text: str) -> tuple[int, int, float, float, list[bytes], list[int]]:
+        """Tokens; known tokens, base score and log score of the end and head words; the other words with their numbers."""
+        found, find = Counter(words_of(text)), self.head.get
+        tokens, known, base = 1, int(self.n_end > 0), self.base(self.n_end)
+        others: list[bytes] = []
+        times: list[int] = []
         score = math.log(self.n_end / (self.n + 1)) if self.n_end else 0.0
-        if len(remembered) > HELD:
-            remembered.clear()
         for w, n in found.items():
             tokens += n
-            p = remembered.get(w)
-            c = head.get(w)
-            if p is None:
-                p = lattice.word(w.decode("utf-8", "replace"))
-                if c is not None:
-                    p = self.whole(p, c)
-                remembered[w] = p
-            if c is None:
-                rest.append({"word": w, "n": n, "p": p})
+            told = find(w)
+            if told is None:
+                others.append(w)
+                times.append(n)
             else:
-                score += n * p
                 known += n
-                base += n * log10((c + 0.1) / divisor)
-        return tokens, known, base, score, rest
+                base += n * told[0]
+                score += n * told[1]
+        return tokens, known, base, score, others, times
 
 
 def score(documents: DataFrame, path: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    training = rows.filter(fold("doc_id", 10) != 0)
-    counts = stored(word_counts(training), "word-counts")
-    n_texts = training.count()
-    n_words, different = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    train = F.coalesce(fold("doc_id", 10) != 0, F.lit(False))
+    counts = stored(word_counts(rows.select(train.alias("train"), "text")), "word-counts")
+    n_texts = rows.filter(train).count()
+    known = counts.filter(F.col("n") > 0)
+    n_words, different = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n_words + n_texts, different + (n_texts > 0)
     divisor = n + 0.1 * (v + 1)
-    lattice = estimate(counts, path)
-    frequent = {r["word"].encode(): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(head).collect()}
-    scorer = documents.sparkSession.sparkContext.broadcast((shared := Scorer(lattice, frequent, divisor, n_texts, n, different)))
+    words = stored(piece_scores(counts, estimate(known, path)), "word-scores")
+    frequent = {r["word"].encode(): (r["n"], r["p"]) for r in words.filter(F.col("n") > 0).orderBy(F.desc("n"), "word").limit(head).collect()}
+    scorer = documents.sparkSession.sparkContext.broadcast((shared := Scorer(frequent, divisor, n_texts, n, different)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, key = scorer.value, TaskContext.get().partitionId() << 40
-        rest_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32()), ("p", pa.float64())]))
         for ids, texts in text_batches(batches):
             found = [s.score(t) for t in texts]
-            cols = list(zip(*found, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(range(key, key + len(texts)), pa.int64()), pa.array(ids["doc_id"], pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], rest_type)], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
+            tokens, known, base, score, others, times = list(zip(*found, strict=True)) or [()] * 6
+            ends = pa.array(np.cumsum([0, *map(len, times)]), pa.int32())
+            rest = pa.StructArray.from_arrays([pa.array(list(chain.from_iterable(others)), pa.binary()), pa.array(list(chain.from_iterable(times)), pa.int32())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(key, key + len(texts)), pa.int64()), pa.array(ids["doc_id"], pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(ends, rest)], ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rest"])
             key += len(texts)
 
     # the key of a row is settled by writing it
-    scored = stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:int,p:double>>"), "scored")
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").cast("string").alias("word"), F.col("r.n").alias("times"), F.col("r.p").alias("p"))
-    told = rest.join(counts, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    scored = stored(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:int>>"), "scored")
+    rest = scored.select("row", F.explode("rest").alias("r")).select("row", F.col("r.word").cast("string").alias("word"), F.col("r.n").alias("times"))
+    told = rest.join(words.withColumnRenamed("n", "c"), "word")
     pieces = F.col("p") + F.lit(shared.share)
     arc = F.log((F.greatest(F.col("c"), F.lit(1)) - F.lit(DISCOUNT)) / F.lit(n + 1.0))
     top = F.greatest(pieces, arc)
