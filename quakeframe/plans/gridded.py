@@ -1,0 +1,71 @@
+"""Queries of gridded models: slices, perturbations, votes, averaging, similarity, clusters, traces."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quakeframe.operators import clustering, fusion, grid, similarity, waveform
+from quakeframe.plans.registry import n, query, r
+
+CELL = ["ilat", "ilon", "depth"]
+
+
+@query("""with l as (select depth from (select distinct depth from vox) d order by abs(depth - 140), depth limit 1) select m, ilat, ilon, round(v, 6) as v from vox where depth = (select depth from l)""")
+def grid_slice(t):
+    """Voxels of the level nearest to a depth."""
+    return grid.slice_at(t("vox"), "depth", 140.0).select("m", "ilat", "ilon", r("v").alias("v"))
+
+
+@query("""select m, ilat, ilon, depth, round(v / avg(v) over (partition by m, depth) - 1, 6) + 0.0 as perturbation from vox""")
+def grid_perturbation(t):
+    """Relative perturbation about each level's mean."""
+    return grid.lateral_perturbation(t("vox"), ["m"], "depth", "v").select("m", *CELL, r("perturbation").alias("perturbation"))
+
+
+@query("""with o as (select a.m, a.ilat, a.ilon, a.depth, count(*) as c from vox a join vox b on a.m = b.m and a.depth = b.depth and abs(a.ilat - b.ilat) <= 1 and abs(a.ilon - b.ilon) <= 1 where b.v is not null group by a.m, a.ilat, a.ilon, a.depth)
+select m, ilat, ilon, depth, c = 9 as eroded from o""")
+def grid_erosion(t):
+    """Cells whose neighbourhood is whole."""
+    return grid.erode(t("vox"), ["m", "depth"], "ilat", "ilon", F.col("v").isNotNull(), 1).select("m", *CELL, "eroded")
+
+
+@query("""select ilat, ilon, depth, round(median(v), 6) as median, round(avg(v), 6) as mean, count(v) as coverage, round(stddev_pop(v), 6) + 0.0 as std from vox group by ilat, ilon, depth""")
+def model_vote(t):
+    """Median, mean, count and deviation of the models in each cell."""
+    return fusion.vote(t("vox"), CELL, "v").select(*CELL, r("median").alias("median"), r("mean").alias("mean"), n("coverage").alias("coverage"), r("std").alias("std"))
+
+
+@query("""with c as (select ilat, ilon, depth, median(v) as med, greatest(stddev_pop(v), 0.001) as sd from vox group by ilat, ilon, depth), l as (select m, avg(-0.5 * ((v - med) / sd) * ((v - med) / sd)) as loglik from vox join c using (ilat, ilon, depth) group by m),
+p as (select m, exp(loglik) / (select sum(exp(loglik)) from l) as p from l)
+select ilat, ilon, depth, round(sum(p * v) / sum(p), 6) as bma_mean, count(*) as n_models from vox join p using (m) where v is not null group by ilat, ilon, depth""")
+def model_average(t):
+    """Posterior mean of the models in each cell."""
+    v = t("vox")
+    weights = fusion.posterior(fusion.log_likelihood(v, CELL, "m", "v"), "m")
+    return fusion.bma(v, CELL, "m", "v", weights).select(*CELL, r("bma_mean").alias("bma_mean"), n("n_models").alias("n_models"))
+
+
+@query("""select cast(a.m as varchar) as model_a, cast(b.m as varchar) as model_b, round(corr(a.v, b.v), 6) as corr, count(*) as n from vox a join vox b on a.ilat = b.ilat and a.ilon = b.ilon and a.depth = b.depth and a.m < b.m where a.v is not null and b.v is not null group by a.m, b.m""")
+def model_correlation(t):
+    """Correlation of every two models over their common cells."""
+    pairs = similarity.model_pairs(t("vox").withColumn("m", F.col("m").cast("string")), CELL, "m", "v")
+    return similarity.correlation_matrix(pairs).select("model_a", "model_b", r("corr").alias("corr"), n("n").alias("n"))
+
+
+@query()
+def model_ssim(t):
+    """Structural similarity of every two models by level."""
+    return similarity.ssim(similarity.model_pairs(t("vox"), CELL, "m", "v"), ["model_a", "model_b", "depth"], "ilat", "ilon")
+
+
+@query()
+def voxel_mixture(t):
+    """Gaussian mixture labels of the first model's voxels."""
+    return clustering.gaussian_mixture(t("vox").filter("m = 0"), ["depth", "v"], 3, rounds=10)[0].select(*CELL, "label")
+
+
+@query()
+def trace_measures(t):
+    """Time shift, correlations and misfit of each trace against a louder copy."""
+    traces = t("emb").withColumn("test", F.transform("embedding", lambda x: x * 1.1))
+    return waveform.measure_pairs(traces, ["vec_id"], "embedding", "test", 1.0, 10.0)
