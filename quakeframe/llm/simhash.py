@@ -263,7 +263,11 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, block: int = BLO
     named = nodes.filter(F.col("node").isNotNull())
     n, both = bit_counts(named)
     groups = plan(n, both, radius)
-    linked = components(links(named, groups, radius, block))
+    # the fingerprints of rows repeated with one id are linked through it
+    of_doc = found.join(nodes, "fingerprint").filter(F.col("doc_id").isNotNull())
+    several = small(stored(of_doc.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("doc_id", "a"), "repeated-ids"))
+    same_id = of_doc.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    linked = components(links(named, groups, radius, block).union(same_id))
     of = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
     return found.join(of, "fingerprint")
 
