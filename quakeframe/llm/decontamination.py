@@ -6,8 +6,9 @@ training positions are joined with those of the benchmark. A hit fixes a diagona
 position in the item); along it the document is compared with the item token by token, and the pair is reported if
 some window of ``window`` tokens (of the whole item where it is shorter) agrees in ``least`` of its positions.
 
-Items shorter than the masks' span get seeds of all their tokens instead; items of fewer than ``min_tokens`` tokens
-are evidence of nothing and never match.
+Masks are chosen for each number of tokens compared (``window``, or the item's length where that is less), so that
+whatever tokens of an accepted window differ, some mask at some shift lies on equal ones: every pair that the rule
+accepts is found. Items of fewer than ``min_tokens`` tokens are evidence of nothing and never match.
 
 Defined results: null and empty texts (of either table) match nothing; rows repeated with one id count once, with
 the best of their matches; items of equal text are all reported; null ids are left out of the result; empty tables
@@ -16,12 +17,26 @@ give an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.llm.common import small, stored
 
-#: Fixed masks of weight 7 and span 10; the pair finds most items of 15 tokens with up to three substitutions.
+#: Masks by (tokens compared, tokens that may differ); each set hits every choice of differing tokens, as a test enumerates.
+COVERS = {
+    (13, 2): ((0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 8, 9)),
+    (12, 2): ((0, 1, 2, 4, 6, 7), (0, 1, 3, 7, 8, 9), (0, 2, 5, 6, 7, 8)),
+    (11, 2): ((0, 1, 2, 3, 5, 6), (0, 1, 5, 6, 7, 8), (0, 1, 3, 4, 8, 9)),
+    (10, 2): ((0, 1, 3, 4, 5), (0, 1, 2, 6, 8), (0, 2, 3, 5, 6)),
+    (9, 1): ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 7, 8)),
+    (8, 1): ((0, 1, 3, 4, 5), (0, 2, 3, 4, 7)),
+    (7, 1): ((0, 1, 2, 3, 5), (0, 1, 3, 4, 5), (0, 2, 4, 5, 6)),
+    (6, 1): ((0, 1, 3, 4), (0, 2, 3, 5)),
+    (5, 1): ((0, 1, 2, 3), (0, 1, 3, 4), (0, 1, 2, 4), (0, 2, 3, 4)),
+}
+#: Masks of weight 7 and span 10, which miss some accepted pairs: the seeds of the SQL only.
 MASKS = ((0, 1, 2, 3, 6, 8, 9), (0, 3, 4, 5, 7, 8, 9))
 SPAN = 10
 WINDOW = 13
@@ -42,12 +57,19 @@ def seeds(t: Column, mask: tuple[int, ...], number: int) -> Column:
     return F.transform(at, lambda i: F.xxhash64(F.lit(number), *[F.get(t, i + o) for o in mask]))
 
 
-def _all_seeds(rows: DataFrame, key: str, short: list[int]) -> DataFrame:
-    """key, pos, seed over all masks; short: lengths of items that are shorter than the masks."""
-    masks = [*MASKS, *[tuple(range(n)) for n in short]]
+def cover(n: int, least: float) -> tuple[tuple[int, ...], ...]:
+    """Masks of which one hits any ``n`` tokens that agree in ``least`` of them: those of COVERS, or n cut into one block more than tokens may differ."""
+    differ = min(n - 1, n - math.ceil(n * least))
+    cuts = [n * k // (differ + 1) for k in range(differ + 2)]
+    return COVERS.get((n, differ)) or tuple(tuple(range(z - a)) for z, a in sorted({(z, a) for a, z in zip(cuts, cuts[1:], strict=False)}))
+
+
+def _all_seeds(rows: DataFrame, key: str, masks: list[tuple[int, int, tuple[int, ...]]], window: int | None = None) -> DataFrame:
+    """key, pos, seed over all masks (number, tokens compared, offsets); with ``window`` each row has the masks of its own length only."""
     out = None
-    for number, mask in enumerate(masks):
-        one = rows.select(key, F.posexplode(seeds(F.col("t"), mask, number)).alias("pos", "seed"))
+    for number, n, mask in masks:
+        of = rows if window is None else rows.filter(F.least(F.size("t"), F.lit(window)) == n)
+        one = of.select(key, F.posexplode(seeds(F.col("t"), mask, number)).alias("pos", "seed"))
         out = one if out is None else out.union(one)
     return out
 
@@ -55,14 +77,15 @@ def _all_seeds(rows: DataFrame, key: str, short: list[int]) -> DataFrame:
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: float = LEAST, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """doc_id, item_id, n_same, n_compared, position: the best window of every contaminated pair."""
     items = stored(benchmark.select("item_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= min_tokens), "items")
-    short = sorted(r[0] for r in items.filter(F.size("t") < SPAN).select(F.size("t")).distinct().collect())  # lengths below SPAN
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("t"), F.lit(window))).distinct().collect())  # at most ``window`` of them
+    masks = [(k, n, mask) for k, (n, mask) in enumerate((n, mask) for n in lengths or [window] for mask in cover(n, least))]
     texts = items.groupBy("t").agg(F.min("item_id").alias("item"))  # items of equal text are one
-    known = stored(_all_seeds(texts.select("item", "t"), "item", short).select("seed", F.col("item"), F.col("pos").alias("item_pos")), "seeds")
+    known = stored(_all_seeds(texts.select("item", "t"), "item", masks, window).select("seed", F.col("item"), F.col("pos").alias("item_pos")), "seeds")
 
     docs = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), tokens(F.col("text")).alias("t"))
     # first what can match at all: one row for each seed, so a passage in many items multiplies nothing here
     distinct = small(stored(known.select("seed").distinct(), "seed-keys"))
-    hits = stored(_all_seeds(docs, "doc_id", short).join(distinct, "seed", "left_semi"), "hits")
+    hits = stored(_all_seeds(docs, "doc_id", masks).join(distinct, "seed", "left_semi"), "hits")
     diagonals = hits.join(small(known), "seed").select("doc_id", "item", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
 
     # then the tokens of documents with hits, next to those of the items
