@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import Num, col
+from quakeframe.operators.common import checked_broadcast
 
 
 def keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
@@ -158,12 +159,21 @@ def pick_spread(df: DataFrame, group: Sequence[str], azimuth: str, distance: str
 
 def max_scaled(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """A value over its group's maximum."""
-    top = F.max(value).over(Window.partitionBy(*group))
-    return df.withColumn(out, F.when(top > 0, F.col(value) / top).otherwise(0.0))
+    top = F.col("_top")
+    return _with_group(df, group, F.max(value).alias("_top")).withColumn(out, F.when(top > 0, F.col(value) / top).otherwise(0.0)).drop("_top")
 
 
 def min_max_scaled(df: DataFrame, group: Sequence[str], value: str, out: str) -> DataFrame:
     """A value between its group's minimum (0) and maximum (1); 1 where all are equal."""
-    w = Window.partitionBy(*group)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(1.0))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    both = _with_group(df, group, F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    return both.withColumn(out, F.when(hi > lo, (F.col(value) - lo) / (hi - lo)).otherwise(1.0)).drop("_lo", "_hi")
+
+
+def _with_group(df: DataFrame, group: Sequence[str], *values: Column) -> DataFrame:
+    """``df`` with aggregates of its group (null keys are one group): combined where rows are read and joined back, so one key is not one task."""
+    keys = [f"_key{k}" for k in range(len(group))]
+    found = checked_broadcast(df.groupBy(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]).agg(*values))
+    if not keys:
+        return df.crossJoin(found)
+    return df.join(found, _all([F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)])).drop(*keys)

@@ -390,6 +390,12 @@ def scaled_terms(t):
     return windows.min_max_scaled(windows.max_scaled(a, ["g"], "mag", "s"), ["g"], "lat", "u").select("event_id", r("s").alias("s"), r("u").alias("u"))
 
 
+@query("""with a as (select event_id, lat, lon, mag from evt) select event_id, round(mag / (max(mag) over ()), 6) as s, round(case when max(lat) over () > min(lat) over () then (lat - min(lat) over ()) / (max(lat) over () - min(lat) over ()) else 1 end, 6) as u from a""")
+def scaled_terms_all(t):
+    """Terms of a score of every event, scaled by maximum and by range."""
+    return windows.min_max_scaled(windows.max_scaled(t("evt"), [], "mag", "s"), [], "lat", "u").select("event_id", r("s").alias("s"), r("u").alias("u"))
+
+
 @query(f"""with recursive s as (select sta, elev, lat, lon, row_number() over (order by elev desc, sta) as k from station), near as (select a.k as i, b.k as j from s a join s b on a.k > b.k where {_SP} <= 6),
 walk(k, taken) as (select cast(0 as bigint), cast([] as bigint[]) union all select w.k + 1, case when exists (select 1 from near where i = w.k + 1 and list_contains(w.taken, j)) then w.taken else list_append(w.taken, w.k + 1) end from walk w where w.k < (select count(*) from s))
 select sta from s where list_contains((select taken from walk order by k desc limit 1), k)""")
