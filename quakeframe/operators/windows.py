@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import Num, col
-from quakeframe.operators.common import checked_broadcast
+from quakeframe.operators.common import checked_broadcast, stored
 
 
 def keep_one(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], last: bool = False) -> DataFrame:
@@ -25,16 +25,41 @@ def upsert(existing: DataFrame, new: DataFrame, key: Sequence[str], order: Seque
     return keep_one(both, key, ["_src", *order], last=True).drop("_src")
 
 
-def tolerance_dedup(df: DataFrame, order: Sequence[str], near: list[tuple[str, float]], back: int = 50, within: Sequence[str] = ()) -> DataFrame:
+def tolerance_dedup(df: DataFrame, order: Sequence[str], near: list[tuple[str, float]], back: int = 50, within: Sequence[str] = (), bucket: int = 10_000) -> DataFrame:
     """Rows without a near one (in every column of ``near``) among the ``back`` rows before them, dropped ones included.
 
-    ``within`` names columns whose groups (days, say) are searched on their own; without it all rows are one group.
+    ``within`` names columns whose groups (days, say) are searched on their own; without it all rows are one group, cut
+    by rank into buckets of about ``bucket`` rows, each handed the last ``back`` rows of the one before it.
     """
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(-back, -1)
+    if not within:
+        ranked = _ranked(df, order)
+        rows = max(bucket, back, 1)
+        home = F.floor(F.col("_rank") / rows)
+        copies = ranked.filter(F.col("_rank") % rows >= rows - back).withColumns({"_bucket": home + 1, "_copy": F.lit(True)})
+        both = ranked.withColumns({"_bucket": home, "_copy": F.lit(False)}).unionByName(copies)
+        marked = _near_before(both, Window.partitionBy("_bucket").orderBy("_rank").rowsBetween(-back, -1), near)
+        return marked.filter(~F.col("_copy") & ~F.col("_near")).select(*df.columns)
+    marked = _near_before(df, Window.partitionBy(*within).orderBy(*order).rowsBetween(-back, -1), near)
+    return marked.filter(~F.col("_near")).drop("_near")
+
+
+def _near_before(df: DataFrame, w: WindowSpec, near: list[tuple[str, float]]) -> DataFrame:
+    """``_near``: whether a row of the window is near."""
     before = F.collect_list(F.struct(*[F.col(c) for c, _ in near])).over(w)
     same = lambda s: _all([F.abs(s[c] - F.col(c)) <= t for c, t in near])
-    marked = df.withColumn("_before", before)
-    return marked.filter(~F.coalesce(F.exists("_before", same), F.lit(False))).drop("_before")
+    return df.withColumn("_before", before).withColumn("_near", F.coalesce(F.exists("_before", same), F.lit(False))).drop("_before")
+
+
+def _ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``_rank`` from 0 in the order of all rows: ranks within range partitions, and the counts of those before (one number a partition)."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts, total = [], 0
+    for part, n in sorted(map(tuple, dealt.groupBy("_part").count().collect())):
+        counts.append((part, total))
+        total += n
+    starts = df.sparkSession.createDataFrame(counts, "_part int, _start long")
+    inside = dealt.withColumn("_inside", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    return stored(inside.join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_inside")).drop("_part", "_start", "_inside"), "ranks")
 
 
 def _all(conditions: Sequence[Column]) -> Column:

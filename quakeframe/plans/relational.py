@@ -291,6 +291,12 @@ def dedup_tolerance(t):
     return windows.tolerance_dedup(t("evt"), ["t", "event_id"], [("lat", 1.0), ("lon", 1.0), ("mag", 0.5)], within=["year"]).select("event_id")
 
 
+@query("""with o as (select event_id, lat, lon, mag, row_number() over (order by t, event_id) as k from evt) select event_id from o a where not exists (select 1 from o b join (select unnest(range(1, 51)) as d) x on true where b.k = a.k - x.d and abs(b.lat - a.lat) <= 1 and abs(b.lon - a.lon) <= 1 and abs(b.mag - a.mag) <= 0.5)""")
+def dedup_tolerance_all(t):
+    """Rows without a near one among the 50 before, over the whole catalogue."""
+    return windows.tolerance_dedup(t("evt"), ["t", "event_id"], [("lat", 1.0), ("lon", 1.0), ("mag", 0.5)]).select("event_id")
+
+
 @query("""with a as (select event, cast(sta * 37 % 360 as double) as az from (select distinct event, sta from meas) x), s as (select event, az, lead(az) over (partition by event order by az) - az as g from a)
 select event, case when count(*) < 2 then 360.0 else greatest(coalesce(max(g), 0), 360 - max(az) + min(az)) end as gap, count(*) as n from s group by event""")
 def azimuth_gap(t):
