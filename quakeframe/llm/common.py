@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
+import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,22 +17,44 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 text exactly so.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of at most a few dozen bytes that a join may broadcast.
+#: Rows and bytes of a table that a join may broadcast, at most; parts that a row's partners are dealt over where the table is larger.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
+SALTS = 16
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode; a cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quakeframe-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; nothing else uses it."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables made inside when done: for a step whose result has been written elsewhere."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _made[before:]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,9 +67,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns by name, whatever characters the names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a stored table has at most ``rows`` rows and about ``size`` bytes; it is read as far as ``rows`` only."""
+    varying = [c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    width = F.lit(8 * len(df.columns))
+    for c in varying:
+        width = width + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a stored table of narrow rows) marked for broadcast if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """``df`` (a stored table) marked for broadcast if its rows and bytes are few; else as it is, for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with a stored ``table`` of one row for each ``key``, of which one may hold a third of ``rows``.
+
+    A small table is broadcast. A larger one is repeated for each of SALTS parts, and rows are dealt to the parts by
+    the task that reads them, so that no task gets all rows of a key.
+    """
+    if is_small(table):
+        return rows.join(F.broadcast(table), key, how)
+    parts = table.withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return rows.withColumn("_salt", F.spark_partition_id() % SALTS).join(parts, [key, "_salt"], how).drop("_salt")
 
 
 def fold(name: str, modulus: int) -> Column:
@@ -76,4 +128,25 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-LETTERS = re.compile(r"[^\W\d_]+")
+def _class(chars: Iterable[int]) -> str:
+    """Code points as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in chars:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+
+_KINDS = [unicodedata.category(chr(c)) for c in range(0x20000)]  # beyond are ideographs, which are letters, and variation selectors, which cut words
+_MARKS = [c for c, k in enumerate(_KINDS) if k[0] == "M"]
+_NUMBERS = [c for c, k in enumerate(_KINDS) if k in ("Nl", "No")]
+_PLAIN = re.compile(r"[^\W\d_]+")
+_WHOLE = re.compile(rf"(?:[^\W\d_{_class(_NUMBERS)}]+[{_class(_MARKS)}]*)+")
+_ODD = re.compile(f"[{_class(c for c in sorted(_MARKS + _NUMBERS) if c < 0x10000)}\U00010000-\U0010FFFF]")
+
+
+def letters_in(text: str) -> re.Pattern[str]:
+    """The pattern of runs of letters (Unicode categories L) with their combining marks; a plainer, faster one for texts without marks and without numbers such as a half."""
+    return _PLAIN if text.isascii() or not _ODD.search(text) else _WHOLE

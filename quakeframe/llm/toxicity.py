@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import LETTERS, fold, stored, text_batches
+from quakeframe.llm.common import fold, letters_in, stored, text_batches
 
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
@@ -111,8 +111,9 @@ def _chains(rows: list[tuple[str, int]], picked: set[str], rng: np.random.Genera
     cache: dict[str, bool] = {}
     kept: tuple[list, list] = ([], [])
     for text, y in rows:
+        letters = letters_in(text)
         for s in SENTENCE.split(text):
-            tokens = LETTERS.findall(s)
+            tokens = letters.findall(s)
             for k in range(0, len(tokens), CHAIN):
                 piece = tokens[k : k + CHAIN]
                 labels = []
@@ -140,7 +141,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> Field:
     if not sum(toxic) or sum(toxic) == len(rows):
         out.constant = 0.5 * sum(toxic) / max(len(rows), 1)
         return out
-    picked = pick([{w.lower() for w in LETTERS.findall(t)} for t, _ in rows], toxic)
+    picked = pick([{w.lower() for w in letters_in(t).findall(t)} for t, _ in rows], toxic)
     rng = np.random.default_rng(seed)
     chains = _chains(rows, picked, rng)
 
@@ -216,9 +217,9 @@ def marginals(model: Field, texts: list[str], cache: dict[str, float] | None = N
     lengths: list[int] = []
     counts = []
     for text in texts:
-        n = len(values)
+        n, letters = len(values), letters_in(text)
         for s in SENTENCE.split(text):
-            tokens = LETTERS.findall(s)
+            tokens = letters.findall(s)
             if tokens:
                 for w in tokens:
                     v = cache.get(w)
@@ -265,20 +266,21 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """The bounded sample of labelled documents outside the held-out fold: at most 2 x ``most`` texts of SAMPLE_CHARS characters reach the driver."""
+    """The bounded sample of labelled documents outside the held-out fold: at most 2 x ``most`` texts of SAMPLE_CHARS characters reach the driver.
+
+    Labels meet the documents by id and a hash of the text; of each label the ``most`` of the smallest hashes are taken, and only their texts are fetched.
+    """
     known = labels.filter((fold("doc_id", 3) != 1) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    known = stored(known, "toxic-labels")
-    # twice as many ids as texts, since some are too long or lack a document; 4 x most rows are broadcast
+    rows = documents.select(F.col("doc_id").cast("long"), "text").filter(F.length("text").between(1, SAMPLE_CHARS)).withColumn("key", F.xxhash64("doc_id", "text"))
+    able = stored(rows.select("doc_id", "key").join(known, "doc_id"), "toxic-labelled")
+    order = (F.xxhash64("doc_id", F.lit(42)), "doc_id", "key")
     ids = None
     for label in (0, 1):
-        top = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(2 * most)
+        top = able.filter(F.col("toxic") == label).orderBy(*order).limit(most)
         ids = top if ids is None else ids.union(top)
-    texts = documents.select(F.col("doc_id").cast("long"), "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(stored(ids, "toxic-sample")), "doc_id").dropDuplicates(["doc_id"])
-    found = stored(texts, "toxic-texts")
-    out: list[tuple[str, int]] = []
-    for label in (0, 1):
-        out += [(r["text"], label) for r in found.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(most).collect()]
-    return out
+    chosen = F.broadcast(stored(ids.distinct(), "toxic-sample"))  # 2 x ``most`` rows of three numbers
+    found = stored(rows.join(chosen, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")), "toxic-texts")
+    return [(r["text"], r["toxic"]) for r in found.orderBy("toxic", *order).collect()]
 
 
 def score(documents: DataFrame, model: Field, spans: bool = False) -> DataFrame:
@@ -324,7 +326,7 @@ def offsets(text: str, p: np.ndarray) -> list[dict[str, int]]:
     """Ranges of the tokens over one half, in code points, end exclusive."""
     if not (p > 0.5).any():
         return []
-    return [{"start": m.start(), "end": m.end()} for m, q in zip(LETTERS.finditer(text), p, strict=True) if q > 0.5]
+    return [{"start": m.start(), "end": m.end()} for m, q in zip(letters_in(text).finditer(text), p, strict=True) if q > 0.5]
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Field:
