@@ -2,8 +2,9 @@
 
 Every historical version of every path is content-addressed by the SHA-256 of its bytes. A blob is scanned once for
 each rule version: the ledger holds, for every blob, the rule versions that it has been scanned with and the spans
-they found; a later call scans the pairs of blob and rule version that the ledger lacks and appends them. Findings
-are joined back to all paths that ever held the blob, so copies cost a hash and a join instead of a scan.
+they found, each with its rule version; a later call scans the pairs of blob and rule version that the ledger lacks
+and appends them, and reads the contents of no other blob. Findings are joined back to all paths that ever held the
+blob, so copies cost a hash and a join instead of a scan.
 
 Defined results: a null text counts as empty and has no findings; repeated rows each get their own result row; an
 empty table gives an empty result; other columns are ignored, whatever their names.
@@ -11,14 +12,18 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import scratch, small, stored
+from quakeframe.llm.common import columns_of, scratch, spread_join, stored
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+FOUND = "array<struct<rule:string,kind:string,start:int,end:int>>"
+#: Elements that a fold appends to one array; appending copies it, so longer arrays are folded in pieces.
+PIECE = 256
 
 
 @dataclass(frozen=True)
@@ -51,27 +56,46 @@ MORE_RULES = (
 RULES = BASE_RULES + MORE_RULES
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit(state before, element)`` for every element of an array, the state going on by ``step``; folded piece by piece, in time about linear."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["at"], x).alias("at"), F.array_append(acc["out"], emit(acc["at"], x)).alias("out"))
+
+    def outer(acc: Column, k: Column) -> Column:
+        piece = F.aggregate(F.slice(values, k * PIECE + 1, F.lit(PIECE)), F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+        # the transform binds the piece, which would else be folded for each use
+        return F.get(F.transform(F.array(piece), lambda p: F.struct(p["at"].alias("at"), F.array_append(acc["out"], p["out"]).alias("out"))), F.lit(0))
+
+    pieces = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / PIECE).cast("int") - 1, F.lit(0)))
+    return F.flatten(F.aggregate(pieces, F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer)["out"])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def spans(text: Column, rule: Rule) -> Column:
     """The spans of one rule, in code points, end exclusive.
 
     What lies between matches, from split(), and the matches themselves alternate; their running lengths are the offsets.
     """
     pattern = F.lit(rule.pattern)
     pairs = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("part"),
+        F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), F.length).alias("hit"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length).alias("part"),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= rule.least, F.array_append(acc["found"], found)).otherwise(acc["found"]).alias("found"))
+    def emit(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        return F.when(x["part"] >= rule.least, F.struct(F.lit(rule.key).alias("rule"), F.lit(rule.kind).alias("kind"), start.alias("start"), (start + x["hit"]).alias("end")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
+    found = lambda p: running(p, F.lit(0), lambda at, x: at + x["gap"] + x["hit"], emit, "struct<rule:string,kind:string,start:int,end:int>")
     paired = F.filter(pairs, lambda x: x["hit"].isNotNull())
-    return F.when(text.rlike(rule.pattern), F.aggregate(paired, zero, step)["found"]).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(rule.pattern), F.filter(bound(paired, found), lambda x: x.isNotNull())).otherwise(F.array().cast(FOUND))
 
 
 def joined(found: Column) -> Column:
@@ -90,7 +114,7 @@ class BlobLedger:
     A scan is appended under Spark's commit protocol: a call that dies leaves no rows, and its blobs stay unseen.
     """
 
-    SCHEMA = f"blob binary, rules array<string>, spans {SPAN}"
+    SCHEMA = f"blob binary, rules array<string>, spans {FOUND}"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -102,60 +126,86 @@ class BlobLedger:
 
     def scan(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> None:
         """Scan the texts of ``versions`` with those rule versions that the ledger lacks for them."""
-        content = F.coalesce(F.col(text), F.lit(""))
-        # copies meet in the map side's first aggregation: a blob of a third of all rows is a row for each task
-        blobs = versions.select(content.alias("content")).groupBy(F.unhex(F.sha2("content", 256)).alias("blob")).agg(F.any_value("content").alias("content"))
-        seen = self.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
         keys = F.array(*[F.lit(r.key) for r in rules])
-        todo = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("rules") > 0)
-        found = [F.when(F.array_contains("rules", r.key), spans(F.col("content"), r, k)).otherwise(F.array().cast(SPAN)) for k, r in enumerate(rules)]
+        contents = versions.select(F.coalesce(F.col(text), F.lit("")).alias("content")).withColumn("blob", F.unhex(F.sha2("content", 256)))
+        lacking = None
+        if _exists(self.spark, self.path):
+            # hashes first: only the contents of blobs with something left to scan are dealt out
+            seen = self.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+            blobs = contents.select("blob").distinct().join(seen, "blob", "left")
+            lacking = blobs.select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).filter(F.size("rules") > 0)
+            lacking = stored(lacking, "unseen-blobs")
+            contents = spread_join(contents, lacking.select("blob"), "blob", "left_semi")
+        # copies meet in the map side's first aggregation: a blob of a third of all rows is a row for each task
+        todo = contents.groupBy("blob").agg(F.any_value("content").alias("content"))
+        todo = todo.withColumn("rules", keys) if lacking is None else todo.join(lacking, "blob")
+        found = [F.when(F.array_contains("rules", r.key), spans(F.col("content"), r)).otherwise(F.array().cast(FOUND)) for r in rules]
         todo.select("blob", "rules", F.concat(*found).alias("spans")).write.mode("append").parquet(self.path)
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """blob, spans of the given rules; blobs without any are left out."""
-        kinds = [r.kind for r in rules]
-        hits = self.rows().filter(F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-        return hits.withColumn("spans", F.filter("spans", lambda s: s["kind"].isin(kinds))).filter(F.size("spans") > 0)
+        """blob, spans of the given rule versions, ranked in their order; blobs without any are left out."""
+        def own(rule: Rule, rank: int) -> Column:
+            found = F.transform(F.filter("spans", lambda s: s["rule"] == rule.key), lambda s: F.struct(s["start"], F.lit(rank).alias("rank"), s["kind"], s["end"]))
+            # a pair that was scanned twice found the same
+            return F.coalesce(F.any_value(F.when(F.array_contains("rules", rule.key), found), ignoreNulls=F.lit(True)), F.array().cast(SPAN))
+
+        hits = self.rows().filter(F.size("spans") > 0).groupBy("blob").agg(F.concat(*[own(r, k) for k, r in enumerate(rules)]).alias("spans"))
+        return hits.filter(F.size("spans") > 0)
 
     def of_paths(self, versions: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """All rows of ``versions`` with their blob and its spans, an empty array where none was found."""
-        addressed = versions.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-        return addressed.join(self.findings(rules), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
+        """All rows of ``versions`` as ``row``, with their blob and its spans, an empty array where none was found."""
+        addressed = versions.select(F.struct(*columns_of(versions)).alias("row"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).alias("blob"))
+        held = spread_join(addressed, stored(self.findings(rules), "findings"), "blob")
+        return held.select("row", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def scan_documents(documents: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan a table of doc_id and text; returns doc_id and spans for every row."""
     spark = documents.sparkSession
     ledger = BlobLedger(spark, ledger_path or scratch(spark, "ledger"))
-    versions = documents.select("doc_id", "text")
-    ledger.scan(versions, rules=rules)
-    addressed = versions.select("doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
-    return addressed.join(ledger.findings(rules), "blob", "left").select("doc_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    ledger.scan(documents.select("text"), rules=rules)
+    return ledger.of_paths(documents.select("doc_id", "text"), rules=rules).select("row.doc_id", "spans")
 
 
 def redacted(text: Column, found: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with every span of ``found`` replaced by ``mask``; spans that overlap get one mask."""
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    """``text`` with every span of ``found`` replaced by ``mask``; spans that overlap get one mask.
+
+    The text is first cut where a piece of the spans ends, and then within: a cut walks over what it cuts from.
+    """
+    kind = "struct<at:int,start:int,end:int>"
+    follow = lambda at, s: F.greatest(at, s["end"])
+    told = bound(F.array_sort(found), lambda sorted_: running(sorted_, F.lit(0), follow, lambda at, s: F.struct(at.alias("at"), s["start"].alias("start"), F.greatest(at, s["end"]).alias("end")), kind))
+
+    def part(all_: Column, k: Column) -> Column:
+        own = F.slice(all_, k * PIECE + 1, F.lit(PIECE))
+        first, last = F.get(own, F.lit(0))["at"], F.element_at(own, -1)["end"]
+        gap = lambda cut, s: F.concat(F.substring(cut, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask))
+        return bound(F.substring(text, first + 1, last - first), lambda cut: F.array_join(F.transform(own, lambda s: F.when(s["start"] >= s["at"], gap(cut, s)).otherwise("")), ""))
+
+    def whole(all_: Column) -> Column:
+        pieces = F.sequence(F.lit(0), F.ceil(F.size(all_) / PIECE).cast("int") - 1)
+        tail = F.substring(text, F.element_at(all_, -1)["end"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(pieces, lambda k: part(all_, k)), ""), tail)
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.array_sort(found), zero, step)
-    return F.when(F.size(found) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(found) > 0, bound(told, whole)).otherwise(text)
 
 
 def redact_documents(documents: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``documents`` with every secret in the text masked, and n_chars (if there is one) as it is then; all rows stay."""
+    """``documents`` with every secret in the text masked, and n_chars (if there is one) as it is then; all rows and columns stay."""
     spark = documents.sparkSession
     ledger = BlobLedger(spark, ledger_path or scratch(spark, "ledger"))
-    ledger.scan(documents, rules=rules)
-    findings = small(stored(ledger.findings(rules).withColumnRenamed("blob", "_blob").withColumnRenamed("spans", "_spans"), "findings"))
-    held = documents.join(findings, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)) == F.col("_blob"), "left")
-    out = held.withColumn("text", F.when(F.col("_spans").isNotNull(), redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*documents.columns)
+    ledger.scan(documents.select("text"), rules=rules)
+    held = ledger.of_paths(documents, rules=rules)
+    held = held.withColumn("masked", redacted(F.col("row.text"), F.col("spans")))
+    cols = []
+    for f in documents.schema.fields:
+        own = F.col("row").getField(f.name)
+        if f.name == "text":
+            own = F.col("masked")
+        elif f.name == "n_chars":
+            own = F.when(F.size("spans") > 0, F.length("masked").cast(f.dataType)).otherwise(own)
+        cols.append(own.alias(f.name))
+    return held.select(*cols)
 
 
 def digest(found: DataFrame) -> DataFrame:
