@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from quakeframe.llm.decontamination import LEAST, MASKS, MIN_TOKENS, SPAN, WINDOW
+from quakeframe.llm.decontamination import LEAST, WINDOW
 from quakeframe.llm.secret_scan import BASE_RULES, RULES
 
 
@@ -46,16 +44,14 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 """
 
 def _op1() -> str:
+    """Every diagonal of every document and item that agrees in enough tokens at all, and every window on it; no seeds."""
     listed = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-    seed = lambda mask: " || ' ' || ".join(f"t[i + {o + 1}]" for o in mask)
-    keys = " union all ".join(f"select id, i, '{k}: ' || {seed(m)} as seed from (select id, t, unnest(range(0, len(t) - {m[-1]})) as i from @)" for k, m in enumerate(MASKS))
-    short = " union all ".join(f"select id, i, 'all {n}: ' || {seed(tuple(range(n)))} as seed from (select id, t, unnest(range(0, len(t) - {n - 1})) as i from @ where {{0}})".replace("{0}", "#" + str(n)) for n in range(MIN_TOKENS, SPAN))
-    of = lambda table, cond: (keys + " union all " + re.sub(r"#(\d+)", cond, short)).replace("@", table)
-    return f"""with items as (select item_id as id, {listed} as t from benchmark where len({listed}) >= {MIN_TOKENS}),
+    return f"""with items as (select item_id as id, {listed} as t from benchmark where len({listed}) > 0),
     docs as (select doc_id as id, {listed} as t from documents),
-    a as ({of("docs", "true")}), b as ({of("items", r"len(t) = \1")}),
-    hit as (select distinct a.id as doc_id, b.id as item_id, a.i - b.i as shift from a join b using (seed)),
-    lined as (select doc_id, item_id, shift, d.t as dt, i.t as it, least({WINDOW}, len(i.t)) as n, greatest(0, -shift) as lo, least(len(i.t), len(d.t) - shift) as hi from hit join docs d on d.id = doc_id join items i on i.id = item_id),
+    item_words as (select id, least({WINDOW}, len(t)) as n, unnest(t) as w, generate_subscripts(t, 1) as k from items),
+    doc_words as (select * from (select id, unnest(t) as w, generate_subscripts(t, 1) as k from docs) where w in (select w from item_words)),
+    diagonal as (select d.id as doc_id, i.id as item_id, d.k - i.k as shift from doc_words d join item_words i using (w) group by d.id, i.id, d.k - i.k, i.n having count(*) >= ceil(i.n * {LEAST})),
+    lined as (select doc_id, item_id, shift, d.t as dt, i.t as it, least({WINDOW}, len(i.t)) as n, greatest(0, -shift) as lo, least(len(i.t), len(d.t) - shift) as hi from diagonal join docs d on d.id = doc_id join items i on i.id = item_id),
     starts as (select *, unnest(range(lo, hi - n + 1)) as s from lined),
     judged as (select doc_id, item_id, n as n_compared, s + shift as position, len(list_filter(range(s, s + n), lambda k: dt[k + shift + 1] = it[k + 1])) as n_same from starts),
     ranked as (select *, row_number() over (partition by doc_id, item_id order by n_same desc, n_compared desc, position) as r from judged)
