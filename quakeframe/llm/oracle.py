@@ -58,4 +58,14 @@ def _op1() -> str:
     select doc_id, item_id, cast(n_same as integer) as n_same, cast(n_compared as integer) as n_compared, cast(position as integer) as position from ranked where r = 1 and n_same >= ceil(n_compared * {LEAST})"""
 
 
-ORACLE_SQL = {"op1_decontamination": _op1(), "op8_quality_rules": OP8, "op9_secret_scan": _op9()}
+OP4 = """
+with d as (select page_id, coalesce(html, '') as html from pages),
+h as (select *, sha1(html) as hex, max(page_id) over (partition by html) as latest from d),
+c as (select *, list_transform(range(0, 8), lambda k: cast('0x' || substr(hex, 5 * k + 1, 5) as bigint)) as parts from h),
+e as (select *, list_aggregate(list_transform(parts, lambda v: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >> s) & 31 as integer) + 1, 1)), 'string_agg', '')), 'string_agg', '') as digest from c)
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, digest as payload_digest, case when page_id is not distinct from latest then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from latest then latest end as refers_to from e
+"""
+
+
+ORACLE_SQL = {"op1_decontamination": _op1(), "op4_warc": OP4, "op8_quality_rules": OP8, "op9_secret_scan": _op9()}

@@ -3,8 +3,10 @@
 Archives have one gzip member per record, so that a record can be read by its offset and length alone. Of pages with
 equal payloads (of ``least`` bytes or more) that of the largest id is a response; the others are revisits that refer
 to it. The index sorts captures by the reversed-host form of their URL, cut into compressed blocks; each index file
-ends with a sparse directory of its blocks (first key, offset, length). A lookup finds the file by its range of keys,
-the block by binary search in the directory, and reads both, and then the record, by range.
+ends with a sparse directory of its blocks (first key, offset, length). A lookup finds the files by their range of
+keys and the blocks by binary search in the directory. The blocks found are dealt to tasks and read by range, each
+once whatever the number of its keys that are asked for, and so are then the records. A URL with a third of all
+captures is in many blocks, hence in many tasks.
 
 Tasks write under names of their own and report them; the tables of names are committed by Spark, so that the files
 of a task that died or ran twice are never read. Paths may be local to a shared file system or any URI that Arrow opens.
@@ -32,13 +34,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import scratch, small, stored, text_batches
+from quakeframe.llm.common import scratch, spread_join, stored, text_batches
 
 DATE = "2024-01-01T00:00:00Z"
 #: Captures in an index block; bytes after which a task begins another archive; captures in an index file, about.
 BLOCK = 1000
 ARCHIVE_BYTES = 1 << 30
 INDEX_ROWS = 5_000_000
+#: Bytes of an archive that are read by one task together; bytes that a task reads, about.
+RANGE_BYTES = 4 << 20
+TASK_BYTES = 128 << 20
 LEVEL = 4
 _ID = "urn:x-page:"
 
@@ -102,8 +107,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
     hashed = rows.select("page_id", F.unhex(F.sha1("html")).alias("digest"), F.octet_length("html").alias("bytes"))
     # payloads that occur once are responses and are not joined
     groups = hashed.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    groups = small(stored(groups.select("digest", "latest"), "payload-groups"))
-    told = rows.withColumn("digest", F.unhex(F.sha1("html"))).join(groups, "digest", "left")
+    told = spread_join(rows.withColumn("digest", F.unhex(F.sha1("html"))), stored(groups.select("digest", "latest"), "payload-groups"), "digest")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest"))
     told = told.select("page_id", "url", F.col("html").alias("text"), refers.alias("refers_to"))
 
@@ -176,89 +180,93 @@ def build_index(captures: DataFrame, path: str, block: int = BLOCK, file_rows: i
 
 
 class IndexFile:
-    """One index file: its directory is read at once, blocks by range."""
+    """The directory of an index file: first key, offset and length of its blocks."""
 
     def __init__(self, store: fs.FileSystem, path: str):
-        self.file = store.open_input_file(path)
-        size = self.file.size()
-        tail = int.from_bytes(self.file.read_at(8, size - 8), "big")
-        self.directory = [tuple(x) for x in json.loads(zlib.decompress(self.file.read_at(tail, size - 8 - tail)))]
+        with store.open_input_file(path) as file:
+            size = file.size()
+            tail = int.from_bytes(file.read_at(8, size - 8), "big")
+            self.directory = [tuple(x) for x in json.loads(zlib.decompress(file.read_at(tail, size - 8 - tail)))]
         self.firsts = [x[0] for x in self.directory]
 
-    def block(self, k: int) -> list[list]:
-        _, offset, length = self.directory[k]
-        return [json.loads(x) for x in zlib.decompress(self.file.read_at(length, offset)).decode().split("\n")]
-
-    def find(self, key: str) -> Iterator[list]:
-        """Captures of a key, from the last block that begins before it."""
+    def blocks(self, key: str) -> Iterator[int]:
+        """The blocks in which a key may be, from the last that begins before it."""
         for k in range(max(bisect.bisect_left(self.firsts, key) - 1, 0), len(self.firsts)):
             if self.firsts[k] > key:
                 return
-            yield from (x for x in self.block(k) if x[0] == key)
+            yield k
 
 
 _CAPTURE = "key string, page_id long, url string, file string, offset long, length long"
+_TYPES = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
 
 
 def _capture_batch(rows: list[list]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "url", "file", "offset", "length"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], ["key", "page_id", "url", "file", "offset", "length"])
 
 
-def scan_index(files: DataFrame, path: str) -> DataFrame:
-    """All captures of the index, block by block in the order of their keys: a row for each block is dealt out, then read by range."""
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = open_fs(path)
+def keys_of(urls: DataFrame) -> DataFrame:
+    """url, key of all rows of ``urls``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                d = IndexFile(store, f"{root}/{name}").directory
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(d)), pa.array([x[1] for x in d], pa.int64()), pa.array([x[2] for x in d], pa.int64())], ["index", "at", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string())], ["url", "key"])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = open_fs(path)
-        for batch in batches:
-            for name, at, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                with store.open_input_file(f"{root}/{name}") as f:
-                    yield _capture_batch([json.loads(x) for x in zlib.decompress(f.read_at(size, at)).decode().split("\n")])
+    return urls.select("url").mapInArrow(run, "url string, key string")
 
-    listed = files.select("file").mapInArrow(blocks, "index string, at long, size long")
-    return listed.repartition("index", "at").mapInArrow(read, _CAPTURE)
 
+def search(keys: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """key, index, at, size: the blocks in which each key may be, by binary search. The ranges of the index files (a row each) reach every task."""
+    ranges = sorted((r["first_key"], r["last_key"], r["file"]) for r in files.collect())  # index files are few: INDEX_ROWS captures each
 
-def lookup(urls: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """url and its captures, for every row of ``urls`` that has any. The ranges of the index files (a row each) are broadcast."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_fs(path)
+        firsts = [r[0] for r in ranges]
         opened: dict[str, IndexFile] = {}
         for batch in batches:
             rows = []
-            for url, names in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for name in names:
+            for key in batch.column("key").to_pylist():
+                at = bisect.bisect_right(firsts, key)
+                while at and ranges[at - 1][1] >= key:  # files of one key follow each other
+                    at -= 1
+                    name = ranges[at][2]
                     if name not in opened:
                         if len(opened) > 64:
                             opened.clear()
                         opened[name] = IndexFile(store, f"{root}/{name}")
-                    rows += [[url, *x[1:]] for x in opened[name].find(surt(url))]
-            yield _capture_batch(rows).rename_columns(["asked", "page_id", "url", "file", "offset", "length"])
+                    rows += [(key, name, *opened[name].directory[k][1:]) for k in opened[name].blocks(key)]
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "index", "at", "size"])
 
-    ranges = sorted((r["first_key"], r["last_key"], r["file"]) for r in files.collect())  # index files are few: INDEX_ROWS captures each
+    return keys.select("key").mapInArrow(run, "key string, index string, at long, size long")
 
-    def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts = [r[0] for r in ranges]
+
+def lookup(urls: DataFrame, files: DataFrame, path: str) -> DataFrame:
+    """The captures (key, page_id, url, file, offset, length) of all URLs of ``urls``, each capture once however often it is asked for."""
+    asked = keys_of(urls).select("key").distinct()
+    # keys in order, so that a task opens few index files
+    wanted = stored(search(asked.repartitionByRange("key").sortWithinPartitions("key"), files, path), "index-blocks")
+    blocks = wanted.agg(F.count_distinct("index", "at")).first()[0]
+    parts = max(1, min(blocks, max(64, blocks // 16)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = open_fs(path)
+        last: tuple[str, int] | None = None
+        held: dict[str, list[list]] = {}
         for batch in batches:
-            asked = batch.column("url").to_pylist()
-            found = []
-            for url in asked:
-                key = surt(url)
-                at = bisect.bisect_right(firsts, key)
-                names = []
-                while at and ranges[at - 1][1] >= key:
-                    at -= 1
-                    names.append(ranges[at][2])
-                found.append(names[::-1])
-            yield pa.RecordBatch.from_arrays([pa.array(asked, pa.string()), pa.array(found, pa.list_(pa.string()))], ["url", "files"])
+            rows = []
+            for key, name, at, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (name, at) != last:
+                    last, held = (name, at), {}
+                    with store.open_input_file(f"{root}/{name}") as f:
+                        for line in zlib.decompress(f.read_at(size, at)).decode().split("\n"):
+                            x = json.loads(line)
+                            held.setdefault(x[0], []).append(x)
+                rows += held.get(key, ())
+            yield _capture_batch(rows)
 
-    return urls.select("url").mapInArrow(which, "url string, files array<string>").mapInArrow(run, _CAPTURE.replace("key", "asked"))
+    # a number of its own keeps the blocks apart however few bytes their names are
+    return wanted.repartition(parts, "index", "at").sortWithinPartitions("index", "at", "key").mapInArrow(read, _CAPTURE)
 
 
 def read_captures(captures: DataFrame, path: str) -> DataFrame:
@@ -282,12 +290,17 @@ def read_captures(captures: DataFrame, path: str) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return captures.select("file", "offset", "length").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # records next to each other in an archive are read by one task, in order
+    captures = stored(captures.select("file", "offset", "length"), "found")
+    n, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, min(n // 500, 64), size // TASK_BYTES)
+    dealt = captures.repartition(parts, "file", F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("file", "offset")
+    return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Archive pages, index the captures, and read every record back through the index."""
+    """Archive pages, index the captures, and read every record back by looking its URL up in the index."""
     path = path or scratch(spark, "warc")
     captures = write_archives(pages, f"{path}/archive")
     files = build_index(captures, f"{path}/index")
-    return read_captures(scan_index(files, f"{path}/index"), f"{path}/archive")
+    return read_captures(lookup(pages, files, f"{path}/index"), f"{path}/archive")
