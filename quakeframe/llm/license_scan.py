@@ -2,11 +2,15 @@
 
 Texts and templates are cut into tokens (runs of ASCII letters and digits, and of other characters), and into
 shingles of five tokens. Windows of several lengths overlap so far that a copy of a template lies whole in a window
-of its size class, which holds at most about twice the template's tokens. A window's signature has one minimum for
-each band; a copy of a template makes up a share ``s`` of its window's shingles, an eighth at least, so one minimum
-is a shingle of the template with probability s, and some of the 48 bands' with 1 - (1 - s)^48, over 0.998.
-A minimum that is a shingle of a template of the class retrieves it. Verification is exact: the share of the
-template's distinct shingles that the window holds must reach CONTAINMENT.
+of its size class, which has under four times the template's shingles (the smallest class: eight shingles for a
+template of up to five). Windows and templates have a signature of 48 minima, one row to a band: a window retrieves a
+template when the signatures agree in a band. A window that holds a share c of the template's shingles resembles it
+by c / (5 - c) at least, so a whole copy collides with probability 1 - (3/4)^48, over 0.999998, and one of 0.8 with
+1 - (1 - 0.8/4.2)^48, over 0.9999 (a template of one shingle in a window of eight: over 0.998). Verification is exact:
+the share of the template's distinct shingles that the window holds must reach CONTAINMENT.
+
+Matches of a template that overlap are one, that of the largest containment. Where templates share most of their
+shingles, a match that overlaps one of more shingles is left out: a text of three clauses is not also one of two.
 
 Defined results: null, empty and short texts (under five tokens) hold nothing; rows repeated with one id each get
 their own result rows; templates of equal text are all reported; an empty table gives an empty result; other columns
@@ -15,6 +19,7 @@ are ignored. Templates are a parameter, few and fixed (TEMPLATE_TOKENS together
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
@@ -46,6 +51,12 @@ TEMPLATES: Mapping[str, str] = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-3.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "EPL-2.0-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
 }
 _TABLE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -80,13 +91,15 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Templates by number: name, distinct shingles, number of tokens, and window class; which shingles each class looks for."""
+    """Templates by number: name, distinct shingles, number of tokens; the bands of each class; which other templates share most of each."""
 
     names: list[str]
     sets: list[np.ndarray]
     sizes: list[int]
-    wanted: dict[int, dict[int, list[int]]]  # class (windows of 2^class blocks) -> shingle -> templates
+    wanted: dict[int, dict[tuple[int, int], list[int]]]  # class (windows of 2^class blocks) -> band and minimum -> templates
     bits: np.ndarray  # of the low 16 bits of all shingles
+    minima: np.ndarray  # of the low 16 bits of the shingles in signatures
+    within: list[set[int]]
 
     @property
     def classes(self) -> list[int]:
@@ -103,19 +116,23 @@ def window_class(size: int) -> int:
 
 def index(templates: Mapping[str, str] = TEMPLATES) -> Index:
     cache: dict[bytes, int] = {}
-    out = Index([], [], [], defaultdict(lambda: defaultdict(list)), np.zeros(65536, dtype=bool))
+    out = Index([], [], [], defaultdict(lambda: defaultdict(list)), np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool), [])
     for name, text in sorted(templates.items()):
         words = tokens(text)
         s = np.unique(shingles(token_hashes(words, cache)))
         if not len(s):
             raise ValueError(f"template {name} has fewer than {SHINGLE} tokens")
         k = window_class(len(words))
-        for x in s.tolist():
-            out.wanted[k][x].append(len(out.names))
+        for band, m in enumerate(_MULTIPLY):
+            x = s[np.argmin(s * np.uint64(m))]
+            out.wanted[k][band, int(x)].append(len(out.names))
+            out.minima[int(x) & 0xFFFF] = True
         out.bits[(s & np.uint64(0xFFFF)).astype(np.int64)] = True
         out.names.append(name)
         out.sets.append(s)
         out.sizes.append(len(words))
+    for k, s in enumerate(out.sets):
+        out.within.append({j for j, t in enumerate(out.sets) if j != k and np.isin(s, t).mean() >= CONTAINMENT / 1.25})
     if sum(out.sizes) > TEMPLATE_TOKENS:
         raise ValueError(f"templates of over {TEMPLATE_TOKENS} tokens do not go to every task")
     out.wanted = {k: dict(v) for k, v in out.wanted.items()}
@@ -136,7 +153,7 @@ _INVERSE = np.array([pow(m, -1, 2**64) for m in _MULTIPLY], dtype=np.uint64)
 
 
 def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tuple[int, float, int, int]]:
-    """(template, containment, first token, tokens) of the matches in a text, for each template one per run of windows that hold it."""
+    """(template, containment, first token, tokens) of the matches in a text, for each template one per run of overlapping matches."""
     s = shingles(token_hashes(words, cache))
     if not len(s):
         return []
@@ -153,9 +170,10 @@ def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tu
         if k in ix.wanted:
             wanted = ix.wanted[k]
             back = window * _INVERSE
-            likely = ix.bits[(back & np.uint64(0xFFFF)).astype(np.int64)]
+            likely = ix.minima[(back & np.uint64(0xFFFF)).astype(np.int64)]
             for w in np.flatnonzero(likely.any(axis=1)).tolist():
-                near = {t for x in back[w][likely[w]].tolist() for t in wanted.get(x, ())}
+                bands = np.flatnonzero(likely[w]).tolist()
+                near = {t for b, x in zip(bands, back[w][likely[w]].tolist(), strict=True) for t in wanted.get((b, x), ())}
                 first = w * size * STEP
                 inside = s[first : first + STEP * 2**k]
                 for t in near:
@@ -169,11 +187,29 @@ def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tu
                 level = np.concatenate([level, level[-1:]])
             level = np.minimum(level[0::2], level[1::2])
             size *= 2
-    # overlapping windows see the same copy
-    best: dict[tuple[int, int], tuple[int, float, int, int]] = {}
-    for m in sorted(found):
-        best[m[0], m[2]] = max(best.get((m[0], m[2]), m), m, key=lambda x: (x[1], -x[3]))
-    return sorted(best.values(), key=lambda m: (m[2], m[0]))
+    # overlapping windows see the same copy: of matches of one template that overlap, the best and first stays
+    once: list[tuple[int, float, int, int]] = []
+    end = 0
+    for m in sorted(found, key=lambda m: (m[0], m[2], -m[3])):
+        if once and once[-1][0] == m[0] and m[2] < end:
+            once[-1] = max(once[-1], m, key=lambda x: (x[1], -x[3], -x[2]))
+            end = max(end, m[2] + m[3])
+        else:
+            once.append(m)
+            end = m[2] + m[3]
+    held: dict[int, list[tuple[int, float, int, int]]] = defaultdict(list)
+    for m in once:
+        held[m[0]].append(m)
+    weight = lambda m: (m[1] * len(ix.sets[m[0]]), m[0])
+    kept = [m for m in once if not any(weight(o) > weight(m) for t in ix.within[m[0]] for o in _overlapping(held.get(t, []), m))]
+    return sorted(kept, key=lambda m: (m[2], m[0]))
+
+
+def _overlapping(matches: list[tuple[int, float, int, int]], of: tuple[int, float, int, int]) -> list[tuple[int, float, int, int]]:
+    """Of one template's matches in their order, which do not overlap each other, those that overlap another match."""
+    lo = bisect.bisect_right(matches, of[2], key=lambda m: m[2])
+    hi = bisect.bisect_left(matches, of[2] + of[3], key=lambda m: m[2])
+    return [m for m in matches[max(lo - 1, 0) : hi] if m[2] + m[3] > of[2]]
 
 
 def scan(documents: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
