@@ -72,6 +72,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row (maps aside): rows with one id and one hash are copies of each other."""
+    return F.xxhash64(*[c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+
+
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a stored table has at most ``rows`` rows and about ``size`` bytes; it is read as far as ``rows`` only."""
     varying = [c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]

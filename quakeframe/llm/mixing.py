@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import columns_of, small, stored, word_count
+from quakeframe.llm.common import columns_of, row_hash, small, stored, word_count
 
 #: Weights of the sources in the order of their names, repeating; their share of all sizes; the most a source's size is multiplied by.
 WEIGHTS = (5, 2, 1)
@@ -104,11 +104,6 @@ def drawn_blocks(size: int, quota: int, block_words: int, order: list[tuple[int,
     return rounds * blocks + max(need, 1)
 
 
-def equal_rows(documents: DataFrame) -> Column:
-    """A hash of all columns of a row (maps aside): rows with one id and one hash are copies of each other."""
-    return F.xxhash64(*[c for c, f in zip(columns_of(documents), documents.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
-
-
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS, seed: int = 42, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, row_hash, n_equal, size, source_size, target, taken and ``pieces`` (shard, copy, words from, to, order) of every document.
 
@@ -117,7 +112,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     if share > most:
         raise ValueError("the share of all sizes cannot exceed the most of each")
     spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), equal_rows(documents).alias("row_hash"))
+    sized = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), row_hash(documents).alias("row_hash"))
     classes = stored(sized.groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("n_equal")), "mix-sizes")
     totals = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n_equal")).alias("source_size"), F.count("*").alias("n")).collect()
     totals.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -196,7 +191,7 @@ def draw(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     picks = mixed.filter(F.col("taken") > 0).select(F.col("doc_id").alias("id"), "row_hash", "n_equal", "size", F.explode("pieces").alias("piece"))
     parts = F.least(F.lit(64), F.ceil(F.col("n_equal") / EQUAL_ROWS)).cast("int")
     picks = picks.withColumn("salt", F.pmod(F.col("piece.order"), parts).cast("int"))
-    rows = documents.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc"), equal_rows(documents).alias("hash"))
+    rows = documents.select(F.struct(*kept).alias("row"), F.col("doc_id").cast("long").alias("doc"), row_hash(documents).alias("hash"))
     repeated = mixed.filter(F.col("n_equal") > 1).groupBy(F.col("doc_id").alias("r_id"), F.col("row_hash").alias("r_hash")).agg(F.max(parts).alias("parts"))
     repeated = small(stored(repeated, "mix-repeated"))
     same = F.col("doc").eqNullSafe(F.col("r_id")) & (F.col("hash") == F.col("r_hash"))

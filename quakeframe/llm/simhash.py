@@ -8,15 +8,17 @@ plus the candidates estimated from counts over all distinct fingerprints. Every
 key and under the keys within its partition's threshold; documents that share a key are candidates and are verified
 with the whole fingerprints.
 
-Equal fingerprints are one node, whatever the number of their documents. A key's fingerprints are not paired: a
-search that removes what it has reached links each to the smallest of its connected set, so a key yields fewer links
-than members. Keys with more members than ``block`` are cut into blocks, and each pair of blocks is a task's work.
-Components come from star contraction with tables in the shared folder between rounds.
+Equal fingerprints are one node, whatever the number and the ids of their documents. A key's fingerprints are not
+paired: a search that removes what it has reached links each to the smallest of its connected set, so a key yields
+fewer links than members. The members of a key with more than ``block`` are dealt once more, by radius + 1 groups of
+the bits outside the key, of which linked ones agree in one; what is then still larger is cut into blocks, and each
+pair of blocks is a task's work. Components come from star contraction with tables in the shared folder between
+rounds; its joins are of narrow rows, which adaptive execution splits where one node has many links.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint 0 and are linked like any other;
-rows repeated with one id each get a row and count as one document (what
-links to any of their texts is linked); documents with a null id are fingerprinted but are not a component's name
-(the component is null if it holds no other id); an empty table gives an empty result; other columns are ignored.
+rows repeated with one id each get a row and count as one document (what links to any of their texts is linked);
+documents with a null id are linked like any other, but are not a component's name (the component is null if it holds
+no other id); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import small, stored, text_batches, words_of
+from quakeframe.llm.common import columns_of, row_hash, small, spread_join, stored, text_batches, words_of
 
 BITS = 64
 SHINGLE = 4
@@ -64,13 +66,14 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+    """doc_id, row_hash (of all columns) and fingerprint (as a signed long) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in text_batches(batches):
             found = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(found)], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"], pa.int64()), pa.array(rest["row_hash"], pa.int64()), pa.array(found)], ["doc_id", "row_hash", "fingerprint"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fingerprint long")
+    rows = documents.select(F.col("doc_id").cast("long"), row_hash(documents).alias("row_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, fingerprint long")
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -195,14 +198,25 @@ def stars(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[int], lis
 def links(distinct: DataFrame, groups: list[tuple[list[int], int]], radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a < b) between nodes whose components are those of all pairs within ``radius``. distinct: fingerprint, node."""
     keys = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fingerprint").bitwiseAND(F.lit(mask).cast("long")).bitwiseXOR(F.lit(flip).cast("long")).alias("key")) for k, mask, flip in probes(groups)])
-    filed = distinct.select("fingerprint", "node", F.explode(keys).alias("k")).select("k.part", "k.key", "fingerprint", "node")
-    sizes = filed.groupBy("part", "key").agg(F.count("*").alias("n"))
-    large = small(stored(sizes.filter(F.col("n") > block).select("part", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "simhash-large"))
-    own = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("blocks")).cast("int")
-    dealt = filed.join(large, ["part", "key"], "left").withColumn("own", F.when(F.col("blocks").isNotNull(), own))
-    # a large key's row goes to the task of every pair of blocks that has its own
-    pairs = F.when(F.col("own").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: F.least(o, F.col("own")).cast("long") * F.col("blocks") + F.greatest(o, F.col("own"))))
-    dealt = dealt.select("part", "key", F.explode(pairs).alias("pair"), "fingerprint", "node")
+    none = F.lit(0).cast("long")
+    filed = distinct.select("fingerprint", "node", F.explode(keys).alias("k")).select("k.part", "k.key", F.lit(-1).alias("sub"), none.alias("rest"), "fingerprint", "node")
+    large = _large(filed, block)
+    dealt = filed.withColumn("pair", none)
+    if large is not None:  # deal the members of large keys once more, by bits outside the key
+        own = ["part", "key", "sub", "rest"]
+        subs = [F.array(*[F.struct(F.lit(j).alias("sub"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("long")).alias("rest")) for j, m in enumerate(rest_masks(bits, radius))]) for bits, _ in groups]
+        chosen = F.coalesce(*[F.when(F.col("part") == k, x) for k, x in enumerate(subs)])
+        hot = filed.join(small(large), own, "left_semi").drop("sub", "rest").withColumn("s", F.explode(chosen)).select("part", "key", "s.sub", "s.rest", "fingerprint", "node")
+        again = _large(hot, block)
+        dealt = filed.join(small(large), own, "left_anti").withColumn("pair", none)
+        if again is None:
+            dealt = dealt.unionByName(hot.withColumn("pair", none))
+        else:  # a row goes to the task of every pair of blocks that has its own
+            dealt = dealt.unionByName(hot.join(small(again), own, "left_anti").withColumn("pair", none))
+            mine = F.pmod(F.xxhash64("fingerprint", F.lit(7)), F.col("blocks"))
+            pairs = F.transform(F.sequence(none, F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
+            cut = hot.join(small(again), own).withColumn("mine", mine).withColumn("pair", F.explode(pairs))
+            dealt = dealt.unionByName(cut.select(*own, "fingerprint", "node", "pair"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(key_cols: list[np.ndarray], fp: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -224,15 +238,30 @@ def links(distinct: DataFrame, groups: list[tuple[list[int], int]], radius: int
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            same = np.all([c[:] == c[-1] for c in cols[:3]], axis=0)
+            same = np.all([c == c[-1] for c in cols[:5]], axis=0)
             cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0  # the last key may go on in the next batch
             held = [c[cut:] for c in cols]
             if cut:
-                yield from out([c[:cut] for c in cols[:3]], cols[3][:cut].view(np.uint64), cols[4][:cut])
+                yield from out([c[:cut] for c in cols[:5]], cols[5][:cut].view(np.uint64), cols[6][:cut])
         if held is not None and len(held[0]):
-            yield from out(held[:3], held[3].view(np.uint64), held[4])
+            yield from out(held[:5], held[5].view(np.uint64), held[6])
 
-    return dealt.repartition("part", "key", "pair").sortWithinPartitions("part", "key", "pair").mapInArrow(run, "a long, b long").distinct()
+    place = ["part", "key", "sub", "rest", "pair"]
+    return dealt.select(*place, "fingerprint", "node").repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a long, b long").distinct()
+
+
+def rest_masks(bits: list[int], radius: int) -> list[int]:
+    """The bits outside a key's, dealt to radius + 1 masks: fingerprints within the radius agree under one of them."""
+    rest = [b for b in range(BITS) if b not in bits]
+    return [_signed(sum(1 << b for b in rest[k :: radius + 1])) for k in range(radius + 1)]
+
+
+def _large(filed: DataFrame, block: int) -> DataFrame | None:
+    """Keys of more than ``block`` members, with the number of blocks they make; None without any."""
+    own = ["part", "key", "sub", "rest"]
+    sizes = filed.groupBy(*own).agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    found = stored(sizes.select(*own, F.ceil(F.col("n") / block).cast("long").alias("blocks")), "simhash-large")
+    return None if found.isEmpty() else found
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -256,31 +285,44 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components are not settled after {most_rounds} rounds")
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """doc_id, fingerprint (signed long) and component_id of every row of ``documents``."""
+def _linked(documents: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: doc_id, row_hash, fingerprint of every row; fingerprint, component of those with a link."""
     found = stored(fingerprints(documents), "fingerprints")
-    nodes = stored(found.groupBy("fingerprint").agg(F.min("doc_id").alias("node")), "nodes")
-    named = nodes.filter(F.col("node").isNotNull())
-    n, both = bit_counts(named)
+    nodes = stored(found.groupBy("fingerprint").agg(F.col("fingerprint").alias("node")).select("fingerprint", "node"), "nodes")
+    n, both = bit_counts(nodes)
     groups = plan(n, both, radius)
     # the fingerprints of rows repeated with one id are linked through it
-    of_doc = found.join(nodes, "fingerprint").filter(F.col("doc_id").isNotNull())
-    several = small(stored(of_doc.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a <> most").select("doc_id", "a"), "repeated-ids"))
-    same_id = of_doc.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    linked = components(links(named, groups, radius, block).union(same_id))
-    of = nodes.join(linked, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
-    return found.join(of, "fingerprint")
-
-
-def keep_one(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each component, that of the smallest id; of rows repeated with its id the one of the first text. Rows with a null id stay."""
-    found = stored(near_duplicates(documents, radius).select("doc_id", "component_id"), "components")
-    gone = small(stored(found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "duplicates"))
-    again = small(stored(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated"))
-    left = documents.join(gone, "doc_id", "left_anti")
-    once = left.join(again, "doc_id", "left_anti").select(*documents.columns)
-    repeated = left.join(again, "doc_id", "left_semi").select(*documents.columns).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return once.unionByName(repeated)
+    of_doc = found.filter(F.col("doc_id").isNotNull())
+    several = stored(of_doc.groupBy("doc_id").agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("most")).filter("a <> most").select("doc_id", "a"), "repeated-ids")
+    same_id = spread_join(of_doc, several, "doc_id", "inner").select("a", F.col("fingerprint").alias("b")).distinct()
+    linked = components(links(nodes, groups, radius, block).union(same_id))
+    return found, linked.select(F.col("node").alias("fingerprint"), "component")
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """doc_id, fingerprint (signed long) and component_id of every row of ``documents``."""
+    found, linked = _linked(documents, radius, block)
+    ids = found.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    named = ids.join(linked, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = named.join(least, "component").select("fingerprint", "component_id")
+    return found.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+def keep_one(documents: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """One row of each component, that of the smallest id (of several with that id, or with none at all, that of the smallest hash); all columns as they are."""
+    found, linked = _linked(documents, radius, block)
+    of = found.join(linked, "fingerprint", "left").select(F.struct("doc_id", "row_hash").alias("key"), F.coalesce("component", "fingerprint").alias("component"))
+    of = stored(of, "components")
+    # rows alone in their component are none of the following tables
+    first = F.min(F.struct(F.col("key.doc_id").isNull().alias("last"), F.col("key").alias("key")))["key"].alias("first")
+    several = stored(of.groupBy("component").agg(first, F.count("*").alias("n")).filter("n > 1").select("component", "first"), "several")
+    gone = stored(spread_join(of, several, "component", "inner").filter(F.col("key") != F.col("first")).select("key").distinct(), "duplicates")
+    again = stored(spread_join(of, several, "component", "inner").filter(F.col("key") == F.col("first")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "equal-rows")
+    rows = documents.select(F.struct(*columns_of(documents)).alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), row_hash(documents).alias("row_hash")).alias("key"))
+    left = spread_join(rows, gone, "key", "left_anti")
+    once = spread_join(left, again, "key", "left_anti").select("row.*")
+    return once.unionByName(spread_join(left, again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
