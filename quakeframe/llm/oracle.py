@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quakeframe.llm.decontamination import LEAST, WINDOW
+from quakeframe.llm.quality import POLICIES
+from quakeframe.llm.quality import RULES as QUALITY_RULES
 from quakeframe.llm.secret_scan import BASE_RULES, RULES
 
 
@@ -58,6 +60,15 @@ def _op1() -> str:
     select doc_id, item_id, cast(n_same as integer) as n_same, cast(n_compared as integer) as n_compared, cast(position as integer) as position from ranked where r = 1 and n_same >= ceil(n_compared * {LEAST})"""
 
 
+def _ablation() -> str:
+    used = ", ".join(f"('{p}', {v}, {mask}, {r.bit}, '{r.name}')" for (p, v), mask in POLICIES.items() for r in QUALITY_RULES if mask >> r.bit & 1)
+    bits = OP8.strip().removeprefix("with").rsplit("\nselect", 1)[0]
+    return f"""with {bits}, t as (select bit_or(bits) as any_bits, bit_and(bits) as all_bits from b),
+    u(policy, version, mask, bit, rule) as (values {used})
+    select policy, version, bit, rule, count(*) filter ((bits >> bit) & 1 = 1) as n_fail, count(*) filter ((bits & mask) = (1 << bit)) as n_only,
+      count(*) filter ((bits & mask & ~(1 << bit)) = 0) as n_kept_without, cast(max(any_bits) as bigint) as any_bits, cast(max(all_bits) as bigint) as all_bits from b, u, t group by policy, version, bit, rule"""
+
+
 OP4 = """
 with d as (select page_id, coalesce(html, '') as html from pages),
 h as (select *, sha1(html) as hex, max(page_id) over (partition by html) as latest from d),
@@ -68,4 +79,4 @@ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, dig
 """
 
 
-ORACLE_SQL = {"op1_decontamination": _op1(), "op4_warc": OP4, "op8_quality_rules": OP8, "op9_secret_scan": _op9()}
+ORACLE_SQL = {"op1_decontamination": _op1(), "op4_warc": OP4, "op8_quality_rules": OP8, "op9_secret_scan": _op9(), "quality_ablation": _ablation()}

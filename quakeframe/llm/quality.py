@@ -1,8 +1,8 @@
 """Quality rules with a bitmask ledger.
 
-Every document is measured once and every rule is evaluated once; the ledger holds the measurements and one long
-whose bit k says that rule k failed. Policies are versioned masks over those bits: applying another policy, or asking
-what each rule costs (its ablation), reads the ledger and never the texts.
+Every document is measured once and every rule is evaluated once; the ledger, a stored table, holds the measurements
+and one long whose bit k says that rule k failed. Policies are versioned masks over those bits: applying another
+policy, or asking what each rule costs (its ablation), reads the ledger and never the texts.
 
 Defined results: a null text has no words; empty texts measure zero everywhere (and fail the rule on length); rows
 repeated with one id each get a row; an empty table gives an empty ledger; other columns are ignored.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakeframe.llm.common import text_batches
+from quakeframe.llm.common import stored, text_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,6 +48,7 @@ RULES = (
 POLICIES = {
     ("base", 1): 0b0000011,
     ("web", 1): 0b1111111,
+    ("web", 2): 0b1110011,
 }
 BASE = ("base", 1)
 PRODUCTION = ("web", 1)
@@ -85,7 +86,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, int]:
 
 
 def ledger(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the measures, and fail_bits of every row."""
+    """doc_id, the measures, and fail_bits of every row: a stored table, from which all policies are answered."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rest, texts in text_batches(batches):
             found = np.array([measure(t) for t in texts], dtype=np.int64).reshape(-1, len(MEASURES))
@@ -95,7 +96,7 @@ def ledger(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     bits = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << r.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("fail_bits", bits)
+    return stored(measured.withColumn("fail_bits", bits), "quality-ledger")
 
 
 def passes(policy: tuple[str, int] = PRODUCTION) -> Column:
@@ -117,6 +118,16 @@ def ablation(rows: DataFrame, policy: tuple[str, int] = PRODUCTION, rules: tuple
     return each.groupBy("bit", "rule").agg(some(F.col("bits").bitwiseAND(F.col("mask")) != 0).alias("n_fail"), some((others == 0) & (F.col("bits") != 0)).alias("n_only"), some(others == 0).alias("n_kept_without"))
 
 
+def report(rows: DataFrame, policies: tuple[tuple[str, int], ...] = tuple(POLICIES)) -> DataFrame:
+    """The ablations of several policies over one ledger, with the bits that any and that all of its documents fail."""
+    all_ = rows.agg(F.coalesce(F.bit_or("fail_bits"), F.lit(0).cast("long")).alias("any_bits"), F.coalesce(F.bit_and("fail_bits"), F.lit(0).cast("long")).alias("all_bits"))
+    out = None
+    for name, version in policies:
+        one = ablation(rows, (name, version)).select(F.lit(name).alias("policy"), F.lit(version).alias("version"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(all_))  # one row
+
+
 def digest(rows: DataFrame) -> DataFrame:
     """The result columns of the query."""
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(BASE)).alias("base_failed"), passes(PRODUCTION).alias("kept"), "fail_bits")

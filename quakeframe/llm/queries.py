@@ -54,6 +54,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.ledger(_table(spark, sf_dir, "documents")))
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule costs under each version of each policy, from one stored ledger."""
+    return quality.report(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document through a fresh blob ledger."""
     return secret_scan.digest(secret_scan.scan_documents(_table(spark, sf_dir, "documents")))
@@ -64,4 +69,4 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix, quality_ablation)}
