@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Documents with toxic content go; one document of each group of near-duplicates stays; documents that hold a benchmark
 item go; secrets are masked in the text; the rest is mixed to the sources' target weights.
+
+Defined results: rows are judged by their content and told apart by all their columns, so that null and repeated ids
+take part in every stage: of rows that are equal in all columns one is kept by the second stage. Null and empty texts
+are clean, are near-duplicates of each other, hold no benchmark item and no secret, and have no word that the mix
+could take. Other columns go through unchanged; the last stage adds mix_shard, mix_copy and mix_order. An empty table
+gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quakeframe.llm import decontamination, mixing, secret_scan, simhash, toxicity
-from quakeframe.llm.common import stored
+from quakeframe.llm.common import scratch, scratch_removed
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,12 +26,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of linked fingerprints."""
+    """The row of the smallest id of each component of linked fingerprints."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark (items of under five tokens are no evidence)."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -47,13 +53,16 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: A conditional random field is not SQL: the stages are tested against brute-force versions instead.
+#: A conditional random field is not SQL: tests/llm compares every stage with a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over documents of ``sf_dir``."""
+    """The rows of the last stage over documents of ``sf_dir``. What a stage leaves in the shared folder beside its result is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch(spark, f"pipeline-{name}")
+        with scratch_removed(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
