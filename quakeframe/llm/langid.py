@@ -241,7 +241,8 @@ def learn(documents: DataFrame, most: int = REFERENCE) -> Parser:
     langs = chosen.select("of").distinct().count()
     most = min(most, REFERENCES // max(langs, 1))
     texts = known.join(small(chosen), ["of", "doc_id", "key", "version"])
-    cut = stored(pieces(texts, -(-most // PIECE)).distinct(), "langid-pieces")
+    cut = pieces(texts, -(-most // PIECE)).groupBy("of", "piece").agg(F.min(F.struct("round", "key", "doc_id")).alias("p"))  # equal pieces teach once
+    cut = stored(cut.select("of", "piece", "p.*"), "langid-pieces")
     before = F.sum(F.length("piece") + 1).over(Window.partitionBy("of").orderBy("round", "key", "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1))
     taken = cut.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
     references: dict[str, list[str]] = {}

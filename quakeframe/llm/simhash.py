@@ -111,7 +111,8 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
 
 def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int = RADIUS) -> tuple[list[int], float]:
     """Thresholds of the groups, of sum radius - groups + 1, that minimise probes plus estimated candidates; and that cost."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 1)  # of nothing, the plan with the fewest probes
+    p = np.diag(both) / n
     costs = []
     for g in groups:
         differ = np.zeros(len(g) + 1)  # distribution of the bits in which two fingerprints differ

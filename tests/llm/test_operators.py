@@ -14,12 +14,12 @@ from tests.compare import DATA, connection, difference
 
 SF = f"{DATA}/sf0.01"
 ODD = [(1, None, "a", "x"), (2, "", None, "x"), (2, "one two", "a", None), (3, "word " * 70_000, "b", "x"), (None, "no id at all", "b", "x"), (4, "same text here", "b", "x"), (5, "same text here", "b", "x")]
-SCHEMA = "doc_id long, text string, source string, lang string, seed int, size int, key int, n int"
+SCHEMA = "doc_id long, text string, source string, lang string, seed int, size int, key int, n int, digest int, row int, blob int, spans int, fingerprint int, word int"
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, 1, 2, 3, 4) for r in ODD], SCHEMA)
+    return spark.createDataFrame([(*r, *range(10)) for r in ODD], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_odd_rows_have_defined_results(spark, odd):
     got = {k: v.collect() for k, v in _runs(spark, odd).items()}
     for name in ("lm_score", "simhash", "langid", "toxicity", "quality", "secrets", "mixing", "redacted"):
         assert len(got[name]) == len(ODD), name
-    assert got["decontamination"] == [] and len(got["clean"]) == len(ODD)
+    assert {(r["doc_id"], r["item_id"]) for r in got["decontamination"]} == {(4, 1), (5, 1)} and len(got["clean"]) == len(ODD)  # three tokens are no evidence
     of = {r["doc_id"]: r for r in got["simhash"]}
     assert of[1]["fingerprint"] == "0" * 16 and of[4]["component_id"] == of[5]["component_id"] == 4
     assert of[2]["component_id"] == 1  # one of its texts is empty, as is that of document 1
@@ -167,11 +167,11 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     captures = warc.write_archives(pages, str(tmp_path / "a"))
     files = warc.build_index(captures, str(tmp_path / "i"), block=7, file_rows=50)
     asked = pages.select("url").distinct()
-    hits = warc.lookup(asked, files, str(tmp_path / "i")).select("asked", "page_id").collect()
-    keys = {}
-    for r in rows:
-        keys.setdefault(warc.surt(r["url"]), set()).add(r["page_id"])
-    assert {(h["asked"], h["page_id"]) for h in hits} == {(u["url"], p) for u in asked.collect() for p in keys[warc.surt(u["url"])]}
+    hits = warc.lookup(asked, files, str(tmp_path / "i")).select("key", "page_id").collect()
+    assert sorted(map(tuple, hits)) == sorted((warc.surt(r["url"]), r["page_id"]) for r in rows)
+    one = asked.limit(1)
+    hits = warc.lookup(one, files, str(tmp_path / "i")).select("page_id").collect()
+    assert {h["page_id"] for h in hits} == {r["page_id"] for r in rows if warc.surt(r["url"]) == warc.surt(one.first()["url"])}
 
 
 def test_langid_is_right_on_held_out_documents(spark, documents):
@@ -193,7 +193,7 @@ def test_suffix_automaton_phrases_equal_brute_force():
                 n, i = n + 1, k
             want.append(n)
         got = langid.phrases(parser, [text])[0].tolist()
-        assert all(abs(a - b) <= 1 for a, b in zip(got, want, strict=True))  # the phrase still open at the end is not counted
+        assert got == want
 
 
 def test_toxicity_ranks_held_out_documents(spark):
@@ -210,7 +210,7 @@ def test_mix_keeps_targets_and_bounds(documents):
     for r in rows:
         by[r["source_size"], r["target"]] = by.get((r["source_size"], r["target"]), 0) + r["taken"]
     assert all(abs(taken - target) <= 1 for (_, target), taken in by.items())
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(documents.repartition(7)).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(documents.repartition(7)).collect()))
 
 
 def test_split_tree_keeps_quotas():
@@ -233,7 +233,7 @@ def _by_all_diagonals(docs, items):
     best = {}
     for (d, x), (i, y) in itertools.product(docs.items(), items.items()):
         n = min(decontamination.WINDOW, len(y))
-        if n < decontamination.MIN_TOKENS or len(x) < n:
+        if not n or len(x) < n:
             continue
         same = (np.array(x)[:, None] == np.array(y)).astype(np.int8)
         sums = sum(same[k : len(x) - n + 1 + k, k : len(y) - n + 1 + k] for k in range(n))
@@ -247,16 +247,16 @@ def _found(docs, items):
 
 
 def test_masks_hit_every_accepted_pattern():
-    for n in range(decontamination.MIN_TOKENS, 25):
+    for n in range(1, 25):
         differ = n - math.ceil(n * decontamination.LEAST)
         masks = decontamination.cover(n, decontamination.LEAST)
-        assert n > decontamination.WINDOW or masks == decontamination.COVERS[n, differ]
+        assert n > decontamination.WINDOW or n < decontamination.SHORT or masks == decontamination.COVERS[n, differ]
         at = [{o + s for o in m} for m in masks for s in range(n - m[-1])]
         assert all(any(not a & set(p) for a in at) for p in itertools.combinations(range(n), differ)), n
 
 
 def test_every_accepted_substitution_is_found(spark):
-    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (4, 5, 8, 10, 14)}
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 4, 5, 8, 10, 14)}
     docs = {}
     for n, words in items.items():
         for differ in range(4):
@@ -282,6 +282,8 @@ def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert ledger.rows().count() == 2
     ledger.scan(docs, rules=secret_scan.RULES)
     assert ledger.rows().count() == 4 and all("assign@1" not in r["rules"] for r in ledger.rows().filter("not array_contains(rules, 'hex@1')").collect())
+    ledger.scan(docs.union(docs.limit(1).selectExpr("9L", "'new text'")), rules=secret_scan.RULES)
+    assert ledger.rows().count() == 5
     assert ledger.of_paths(docs).filter("size(spans) > 0").count() == 3
 
 
