@@ -12,10 +12,12 @@ BROADCAST_ROWS = 200_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, or in a folder of our own where that is unset."""
+    """A new path in spark.checkpoint.dir; where that is unset, in a folder of our own in local mode. A cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="quakeframe-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

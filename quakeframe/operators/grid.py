@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import Num, clean, col, safe_log
 from quakeframe.functions.seismic import voigt_vp, voigt_vs
+from quakeframe.operators.common import stored
 
 
 def slice_at(df: DataFrame, axis: str, at: float, group: Sequence[str] = ()) -> DataFrame:
@@ -116,14 +117,35 @@ def resolution_class(df: DataFrame, i: str, j: str, valid: Column) -> DataFrame:
     return df.join(seen, [i, j], "left").withColumn("resolution", F.when(valid, F.when(F.col("_near"), "fine").otherwise("coarse"))).drop("_near")
 
 
+def fill_all_nearest(df: DataFrame, group: Sequence[str], i: str, j: str, value: str) -> DataFrame:
+    """Missing values from the nearest valid cell, however far (ties: the smaller indices); groups without any stay as they are.
+
+    The reach doubles from round to round; a cell found in a round's square counts if no cell outside can be nearer.
+    """
+    size = df.groupBy(*group).agg(F.greatest(F.max(i) - F.min(i), F.max(j) - F.min(j)).alias("n"), F.count(clean(value)).alias("have")).filter("have > 0")
+    most = size.agg(F.max("n")).first()[0] or 0
+    rows, reach = df, 1
+    while True:
+        rows = stored(_filled(rows, df, group, i, j, value, reach, exact=reach < most), "filled")
+        if reach >= most or not rows.filter(clean(value).isNull()).limit(1).count():
+            return rows
+        reach *= 2
+
+
 def fill_nearest(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, reach: int) -> DataFrame:
-    """Missing values from the nearest valid cell within ``reach`` steps (ties: the smaller indices)."""
+    """Missing values from the nearest valid cell within ``reach`` steps in both directions (ties: the smaller indices)."""
+    return _filled(df, df, group, i, j, value, reach, exact=False)
+
+
+def _filled(df: DataFrame, source: DataFrame, group: Sequence[str], i: str, j: str, value: str, reach: int, exact: bool) -> DataFrame:
+    """Missing values of ``df`` from the nearest valid cell of ``source``; with ``exact`` only where nothing beyond ``reach`` can be nearer."""
     side = range(-reach, reach + 1)
     offsets = F.array(*[F.struct(F.lit(float(a * a + b * b)).alias("d"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a in side for b in side])
     holes = df.filter(clean(value).isNull()).select(*group, i, j)
     ask = holes.select(*group, i, j, F.explode(offsets).alias("_o")).select(*group, F.col(i).alias("_i"), F.col(j).alias("_j"), "_o", (F.col(i) + F.col("_o.a")).alias(i), (F.col(j) + F.col("_o.b")).alias(j))
-    have = df.filter(clean(value).isNotNull()).select(*group, i, j, F.col(value).alias("_v"))
-    best = ask.join(have, [*group, i, j]).groupBy(*group, "_i", "_j").agg(F.min_by("_v", F.struct("_o.d", i, j)).alias("_fill")).withColumnsRenamed({"_i": i, "_j": j})
+    have = source.filter(clean(value).isNotNull()).select(*group, i, j, F.col(value).alias("_v"))
+    near = ask.join(have, [*group, i, j])
+    best = (near.filter(F.col("_o.d") <= reach * reach) if exact else near).groupBy(*group, "_i", "_j").agg(F.min_by("_v", F.struct("_o.d", i, j)).alias("_fill")).withColumnsRenamed({"_i": i, "_j": j})
     return df.join(best, [*group, i, j], "left").withColumn(value, F.coalesce(clean(value), F.col("_fill"))).drop("_fill")
 
 

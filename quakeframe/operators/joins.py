@@ -18,16 +18,17 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
     buckets, so that what a row is compared with is bounded by the density, not by the size of its key. Ties go to
     the earlier right row, then to the smaller ``right_key``. Left rows without a partner stay, with nulls.
     """
-    keyed = left.withColumn("_id", F.monotonically_increasing_id())
+    # a partner depends on keys and time alone, so that left rows need no number of their own
+    asked = left.select(*by, F.col(left_time).alias("_t")).filter(F.col("_t").isNotNull()).distinct()
     bucket = lambda c: F.floor(F.col(c) / F.lit(float(most))).cast("long")
     offsets = F.array(F.lit(-1), F.lit(0), F.lit(1)) if nearest else F.array(F.lit(-1), F.lit(0))
-    probe = keyed.select("_id", *by, F.col(left_time).alias("_t"), F.explode(offsets).alias("_o")).withColumn("_b", bucket("_t") + F.col("_o"))
+    probe = asked.select("*", F.explode(offsets).alias("_o")).withColumn("_b", bucket("_t") + F.col("_o"))
     filed = right.withColumn("_b", bucket(right_time))
     gap = F.abs(F.col(right_time) - F.col("_t"))
     near = probe.join(filed, [*by, "_b"]).filter((gap <= most) & (F.lit(nearest) | (F.col(right_time) <= F.col("_t"))))
     rest = [c for c in right.columns if c not in by]
-    best = near.groupBy("_id").agg(F.min_by(F.struct(*rest), F.struct(gap.alias("gap"), F.col(right_time).alias("t"), F.col(right_key).alias("k"))).alias("_m"))
-    return keyed.join(best, "_id", "left").select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in rest])
+    best = near.groupBy(*by, "_t").agg(F.min_by(F.struct(*rest), F.struct(gap.alias("gap"), F.col(right_time).alias("t"), F.col(right_key).alias("k"))).alias("_m"))
+    return left.withColumn("_t", F.col(left_time)).join(best, [*by, "_t"], "left").select(*left.columns, *[F.col(f"_m.{c}").alias(c) for c in rest])
 
 
 def match_in_hour(left: DataFrame, right: DataFrame, by: Sequence[str], left_minute: str, right_minute: str, right_key: str, tolerance: int, left_key: str) -> DataFrame:

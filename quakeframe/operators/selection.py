@@ -13,7 +13,7 @@ from quakeframe.operators.common import stored
 from quakeframe.operators.joins import spatial_pairs
 
 
-def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "lat", lon: str = "lon", most: int | None = None, taken: DataFrame | None = None, rounds: int = 200) -> DataFrame:
+def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "lat", lon: str = "lon", most: int | None = None, taken: DataFrame | None = None) -> DataFrame:
     """Greedy thinning: rows in order of priority (largest first; ties: the smaller key), each taken unless a taken one is within ``radius`` degrees.
 
     The greedy result is settled in rounds without ordering all rows: a row whose undecided neighbours all come after
@@ -31,7 +31,7 @@ def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "la
     # an edge from each row to its neighbours that come after it
     edges = stored(pairs.filter(ahead).select(F.col("k1").alias("a"), F.col("k2").alias("b")), "spaced-edges")
     out: DataFrame | None = None
-    for _ in range(rounds):
+    while True:  # each round settles at least the first of every chain of neighbours
         firsts = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = stored(edges.join(firsts, "a").select(F.col("b").alias("x")).distinct(), "spaced-gone")
         if gone.isEmpty():
@@ -39,8 +39,6 @@ def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "la
         out = gone if out is None else out.union(gone)
         left = edges.join(gone.withColumnRenamed("x", "a"), "a", "left_anti")
         edges = stored(left.join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b"), "spaced-edges")
-    else:
-        raise RuntimeError(f"not settled after {rounds} rounds")
     kept = rows if out is None else rows.join(out.withColumnRenamed("x", key), key, "left_anti")
     result = df.join(kept.select(key), key, "left_semi")
     return result.orderBy(F.desc(priority), F.asc(key)).limit(most) if most is not None else result

@@ -60,8 +60,12 @@ def model_ssim(t):
 
 @query()
 def voxel_mixture(t):
-    """Gaussian mixture labels of the first model's voxels."""
-    return clustering.gaussian_mixture(t("vox").filter("m = 0"), ["depth", "v"], 3, rounds=10)[0].select(*CELL, "label")
+    """Gaussian mixture labels of every model's voxels, a mixture for each model."""
+    out = None
+    for m in range(3):
+        one = clustering.gaussian_mixture(t("vox").filter(F.col("m") == m), ["depth", "v"], 3, rounds=10)[0].select("m", *CELL, "label")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query()

@@ -23,13 +23,13 @@ def join_as_of(t):
     return joins.as_of(left, right, ["user_id"], "lt", "rt", "rid", 36000).select("lid", "rid", r("value").alias("value"))
 
 
-@query("""with a as (select event_id as lid, year, cast(event_id % 23 as int) as h, cast(event_id * 7 % 60 as int) as mi from evt where event_id % 3 = 0), b as (select event_id as rid, year, cast(event_id % 23 as int) as h, cast(event_id * 11 % 60 as int) as mj from evt where event_id % 3 = 1)
+@query("""with a as (select event_id as lid, year, cast(event_id % 23 as int) as h, cast(event_id * 7 % 60 as int) as mi from evt where event_id % 3 = 0), b as (select event_id as rid, year, cast(event_id % 23 as int) as h, cast(event_id * 11 % 60 as int) as mj from evt where event_id % 3 <> 0)
 select lid, rid from (select lid, rid, row_number() over (partition by lid order by abs(mi - mj), rid) as k from a join b on a.year = b.year and a.h = b.h where abs(mi - mj) <= 2) x where k = 1""")
 def join_in_hour(t):
     """Match within the hour, the nearest minute taken."""
     e = t("evt").withColumn("h", (F.col("event_id") % 23).cast("int"))
     a = e.filter("event_id % 3 = 0").select(F.col("event_id").alias("lid"), "year", "h", (F.col("event_id") * 7 % 60).cast("int").alias("mi"))
-    b = e.filter("event_id % 3 = 1").select(F.col("event_id").alias("rid"), "year", "h", (F.col("event_id") * 11 % 60).cast("int").alias("mj"))
+    b = e.filter("event_id % 3 <> 0").select(F.col("event_id").alias("rid"), "year", "h", (F.col("event_id") * 11 % 60).cast("int").alias("mj"))
     return joins.match_in_hour(a, b, ["year", "h"], "mi", "mj", "rid", 2, "lid").select("lid", "rid")
 
 
@@ -116,11 +116,16 @@ def coordinate_priority(t):
     return joins.by_priority(parts, ["sta"]).select("sta", r("elev", 4).alias("elev"))
 
 
-@query("""select count(*) as n, count(*) filter (x is null) as n_missing_left, count(*) filter (y is null) as n_missing_right, count(*) filter (abs(x - y) > 0.05) as n_over, round(max(abs(x - y)), 6) as max_abs_diff from (select a.v as x, b.v as y from (select * from vox where m = 0) a full outer join (select * from vox where m = 1 and ilat < 15) b on a.ilat = b.ilat and a.ilon = b.ilon and a.depth = b.depth) z""")
+@query("""select a.p as model_a, a.q as model_b, count(*) as n, count(*) filter (x is null) as n_missing_left, count(*) filter (y is null) as n_missing_right, count(*) filter (abs(x - y) > 0.0505) as n_over, round(max(abs(x - y)), 6) as max_abs_diff
+from (select p, q, ilat, ilon, depth, v as x from vox join (values (0, 1), (0, 2), (1, 2)) k(p, q) on m = p) a full outer join (select p, q, ilat, ilon, depth, v as y from vox join (values (0, 1), (0, 2), (1, 2)) k(p, q) on m = q) b on a.p = b.p and a.q = b.q and a.ilat = b.ilat and a.ilon = b.ilon and a.depth = b.depth group by 1, 2""")
 def mesh_diff(t):
-    """Differences of two models' values on one mesh."""
-    v = t("vox")
-    return joins.values_diff(v.filter("m = 0"), v.filter("m = 1 and ilat < 15"), ["ilat", "ilon", "depth"], "v", 0.05).withColumn("max_abs_diff", r("max_abs_diff"))
+    """Differences of every two models' values on one mesh."""
+    v, out = t("vox"), None
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        one = joins.values_diff(v.filter(F.col("m") == a), v.filter(F.col("m") == b), ["ilat", "ilon", "depth"], "v", 0.0505).withColumn("max_abs_diff", r("max_abs_diff"))
+        one = one.select(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _WM = """with s as (select event, model, band, nz, sum(w) as w from meas where w > 0 group by event, model, band, nz), c as (select *, sum(w) over (partition by event, model, band order by nz rows unbounded preceding) as cw, sum(w) over (partition by event, model, band) as tw from s), d as (select event, model, band, min(nz) as med from c where cw >= tw * 0.5 - 1e-9 group by event, model, band)"""
@@ -285,14 +290,8 @@ def upsert_keep_last(t):
     return out.withColumn("total", r("total", 2))
 
 
-@query("""with o as (select event_id, year, lat, lon, mag, row_number() over (partition by year order by t, event_id) as k from evt) select event_id from o a where not exists (select 1 from o b where b.year = a.year and b.k between a.k - 50 and a.k - 1 and abs(b.lat - a.lat) <= 1 and abs(b.lon - a.lon) <= 1 and abs(b.mag - a.mag) <= 0.5)""")
-def dedup_tolerance(t):
-    """Rows without a near one among the 50 before."""
-    return windows.tolerance_dedup(t("evt"), ["t", "event_id"], [("lat", 1.0), ("lon", 1.0), ("mag", 0.5)], within=["year"]).select("event_id")
-
-
 @query("""with o as (select event_id, lat, lon, mag, row_number() over (order by t, event_id) as k from evt) select event_id from o a where not exists (select 1 from o b join (select unnest(range(1, 51)) as d) x on true where b.k = a.k - x.d and abs(b.lat - a.lat) <= 1 and abs(b.lon - a.lon) <= 1 and abs(b.mag - a.mag) <= 0.5)""")
-def dedup_tolerance_all(t):
+def dedup_tolerance(t):
     """Rows without a near one among the 50 before, over the whole catalogue."""
     return windows.tolerance_dedup(t("evt"), ["t", "event_id"], [("lat", 1.0), ("lon", 1.0), ("mag", 0.5)]).select("event_id")
 
@@ -389,15 +388,8 @@ def spread_stations(t):
     return windows.pick_spread(s, ["event"], "az", "di", "s", "sta", 8, 4, 100.0).select("event", "az_bin", "dist_bin", "sta")
 
 
-@query("""with a as (select event_id, lat, lon, mag from evt where event_id % 40 = 0) select event_id, round(mag / (max(mag) over ()), 6) as s, round(case when max(lat) over () > min(lat) over () then (lat - min(lat) over ()) / (max(lat) over () - min(lat) over ()) else 1 end, 6) as u from a""")
-def scaled_terms(t):
-    """Terms of a score, scaled by maximum and by range."""
-    a = t("evt").filter("event_id % 40 = 0").withColumn("g", F.lit(1))
-    return windows.min_max_scaled(windows.max_scaled(a, ["g"], "mag", "s"), ["g"], "lat", "u").select("event_id", r("s").alias("s"), r("u").alias("u"))
-
-
 @query("""with a as (select event_id, lat, lon, mag from evt) select event_id, round(mag / (max(mag) over ()), 6) as s, round(case when max(lat) over () > min(lat) over () then (lat - min(lat) over ()) / (max(lat) over () - min(lat) over ()) else 1 end, 6) as u from a""")
-def scaled_terms_all(t):
+def scaled_terms(t):
     """Terms of a score of every event, scaled by maximum and by range."""
     return windows.min_max_scaled(windows.max_scaled(t("evt"), [], "mag", "s"), [], "lat", "u").select("event_id", r("s").alias("s"), r("u").alias("u"))
 

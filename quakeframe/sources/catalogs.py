@@ -18,16 +18,16 @@ def records(spark: SparkSession, path: str, lines: int) -> DataFrame:
 
 def _cut(line: Column, start: int, end: int | None = None) -> Column:
     """Characters [start, end) of a line, trimmed."""
-    return F.trim(F.substring(line, start + 1, (end - start) if end is not None else 10_000))
+    return F.trim(F.substring(line, start + 1, (end - start) if end is not None else 2**31 - 1 - start))
 
 
 def read_ndk(spark: SparkSession, path: str) -> DataFrame:
-    """Five-line fixed-width records. Magnitudes of 0.0 are null; moments are scaled by the record's exponent, those under 1e-30 are 0; ``corrupt`` marks rows without a position."""
+    """Five-line fixed-width records. Magnitudes of 0.0 are null; moments are scaled by the record's exponent, those under 1e-30 are 0; ``corrupt`` marks rows without a position, without an exponent or with fewer than twelve numbers of the tensor."""
     r = records(spark, path, 5)
     l1, l2, l4, l5 = (F.get("lines", F.lit(k)) for k in (0, 1, 3, 4))
     number = lambda c: c.try_cast("double")
     magnitude = lambda a, b: number(F.nullif(_cut(l1, a, b), F.lit("0.0")))
-    parts = F.split(F.trim(F.substring(l4, 3, 10_000)), r"\s+")
+    parts = F.split(_cut(l4, 2), r"\s+")
     scale = F.pow(F.lit(10.0), F.trim(F.substring(l4, 1, 2)).try_cast("int"))
 
     def moment(k: int) -> Column:
@@ -38,13 +38,14 @@ def read_ndk(spark: SparkSession, path: str) -> DataFrame:
         p = F.split(_cut(l5, a, b), r"\s+")
         return [F.coalesce(F.get(p, F.lit(k)).try_cast("int"), F.lit(0)).alias(n) for k, n in enumerate(names)]
 
+    whole = F.forall(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: number(F.get(parts, k))), lambda v: v.isNotNull())
     out = r.select(
-        "file", "record", _cut(l1, 0, 4).alias("catalog"), _cut(l1, 5, 15).alias("date"), _cut(l1, 16, 26).alias("time"), number(_cut(l1, 27, 33)).alias("latitude"), number(_cut(l1, 34, 41)).alias("longitude"), number(_cut(l1, 42, 47)).alias("depth"),
+        (~whole | scale.isNull()).alias("short"), "file", "record", _cut(l1, 0, 4).alias("catalog"), _cut(l1, 5, 15).alias("date"), _cut(l1, 16, 26).alias("time"), number(_cut(l1, 27, 33)).alias("latitude"), number(_cut(l1, 34, 41)).alias("longitude"), number(_cut(l1, 42, 47)).alias("depth"),
         magnitude(48, 51).alias("mb"), magnitude(52, 55).alias("ms"), _cut(l1, 56).alias("location"), _cut(l2, 0, 16).alias("event_name"), _cut(l2, 17, 61).alias("data_used"), _cut(l2, 62, 68).alias("source_type"),
         *[moment(2 * k).alias(n) for k, n in enumerate(MOMENT)], *[moment(2 * k + 1).alias(f"{n}_error") for k, n in enumerate(MOMENT)],
         *plane(58, 68, ("strike1", "dip1", "rake1")), *plane(69, 80, ("strike2", "dip2", "rake2")),
     )
-    return out.withColumns({"origin": origin_time("date", "time"), "corrupt": F.col("latitude").isNull() | F.col("longitude").isNull() | F.col("depth").isNull()})
+    return out.withColumns({"origin": origin_time("date", "time"), "corrupt": F.col("latitude").isNull() | F.col("longitude").isNull() | F.col("depth").isNull() | F.col("short")}).drop("short")
 
 
 def read_cmtsolution(spark: SparkSession, path: str) -> DataFrame:

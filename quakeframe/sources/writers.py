@@ -11,6 +11,9 @@ from quakeframe.functions.numeric import Num, col
 from quakeframe.functions.seismic import MOMENT, half_duration
 
 
+ONE_FILE = 100_000
+
+
 def write_table(df: DataFrame, path: str, partition: Sequence[str] = (), kind: str = "parquet", mode: str = "overwrite") -> None:
     """A table by partition columns, whose rows are gathered first so that a partition has few files."""
     out = df.repartition(*partition) if partition else df
@@ -50,11 +53,12 @@ def cmt_text(event: str = "event_name", origin: str = "origin", magnitude: Num |
 
 
 def write_lines(lines: DataFrame, path: str, partition: str | None = None) -> None:
-    """Text files of a ``value`` column; in one file for a short table, or a folder for each value of ``partition``."""
+    """Text of a ``value`` column: one file for at most ONE_FILE lines, else part files in the order of the lines; or a folder for each value of ``partition``."""
     if partition:
         lines.write.mode("overwrite").partitionBy(partition).text(path)
     else:
-        lines.coalesce(1).write.mode("overwrite").text(path)
+        one = lines.limit(ONE_FILE + 1).count() <= ONE_FILE
+        (lines.coalesce(1) if one else lines).write.mode("overwrite").text(path)
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
