@@ -20,7 +20,7 @@ def _haversine(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     dlat, dlon = b - a, F.radians(col(lon2)) - F.radians(col(lon1))
     h = F.pow(F.sin(dlat / 2), F.lit(2)) + F.cos(a) * F.cos(b) * F.pow(F.sin(dlon / 2), F.lit(2))
-    return F.lit(2.0) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return F.when(h.isNotNull(), F.lit(2.0) * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def haversine_deg(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
@@ -35,7 +35,7 @@ def cosine_distance_deg(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
     """Great-circle distance by the law of cosines."""
     a, b = F.radians(col(lat1)), F.radians(col(lat2))
     c = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(col(lon2) - col(lon1)))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    return F.when(c.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))))
 
 
 def azimuth_deg(lat1: Num, lon1: Num, lat2: Num, lon2: Num) -> Column:
@@ -79,11 +79,11 @@ class Box:
 
     def margin(self, lat: Num = "latitude", lon: Num = "longitude") -> Column:
         """Distance in degrees to the nearest edge, negative outside."""
-        return F.least(col(lat) - self.lat_min, F.lit(self.lat_max) - col(lat), col(lon) - self.lon_min, F.lit(self.lon_max) - col(lon))
+        return F.when(col(lat).isNotNull() & col(lon).isNotNull(), F.least(col(lat) - self.lat_min, F.lit(self.lat_max) - col(lat), col(lon) - self.lon_min, F.lit(self.lon_max) - col(lon)))
 
     def outside_by(self, lat: Num = "latitude", lon: Num = "longitude") -> Column:
         """Planar distance in degrees to the box, 0 inside."""
-        d = lambda x, lo, hi: F.greatest(F.lit(0.0), F.lit(lo) - col(x), col(x) - hi)
+        d = lambda x, lo, hi: F.when(col(x).isNotNull(), F.greatest(F.lit(0.0), F.lit(lo) - col(x), col(x) - hi))
         return F.sqrt(F.pow(d(lat, self.lat_min, self.lat_max), F.lit(2)) + F.pow(d(lon, self.lon_min, self.lon_max), F.lit(2)))
 
 
@@ -100,7 +100,8 @@ def intersect_boxes(boxes: list[Box]) -> Box:
 
 def interior_score(box: Box, lat: Num = "latitude", lon: Num = "longitude", reach: float = 20.0) -> Column:
     """1 inside a box, falling to 0 at ``reach`` degrees from it."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - box.outside_by(lat, lon) / reach)
+    far = box.outside_by(lat, lon)
+    return F.when(far.isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - far / reach))
 
 
 def unit_vector(lat: Num, lon: Num, geocentric: bool = True) -> list[Column]:

@@ -55,7 +55,7 @@ def moment_magnitude(m0: Num) -> Column:
 
 def half_duration(mag: Num) -> Column:
     """Exponential rule, within 1 and 300 s."""
-    return F.least(F.lit(300.0), F.greatest(F.lit(1.0), F.pow(F.lit(10.0), (col(mag) - 5.0) / 3.0) * 2.26))
+    return F.when(col(mag).isNotNull(), F.least(F.lit(300.0), F.greatest(F.lit(1.0), F.pow(F.lit(10.0), (col(mag) - 5.0) / 3.0) * 2.26)))
 
 
 def half_duration_piecewise(mag: Num) -> Column:
@@ -94,7 +94,7 @@ def _mechanism(m: pd.DataFrame) -> pd.Series:
     values, vectors = np.linalg.eigh(tensors)
     plunge = np.degrees(np.arcsin(np.clip(np.abs(vectors[:, 0, :]), 0, 1)))  # the first axis is up
     steep = plunge.argmax(axis=1)  # columns by value: 0 is P, 1 is B, 2 is T
-    names = np.array(["normal", "strike-slip", "thrust"])[steep]
+    names = np.array(["normal", "strike-slip", "thrust"], dtype=object)[steep]
     names[bad | (np.abs(values).max(axis=1) == 0)] = None
     return pd.Series(names.tolist())
 
@@ -184,7 +184,7 @@ def facies(band: Num, dlnvp: Num, dlnvs: Num, thresholds: dict[str, tuple[float,
 
 def gap_score(gap: Num, count: Num, few: int = 4, floor: float = 0.3) -> Column:
     """Azimuthal coverage from the largest gap; with few azimuths a fixed low score."""
-    return F.when(col(count) < few, floor).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - col(gap) / 180.0))
+    return F.when(col(count) < few, floor).when(col(gap).isNotNull(), F.greatest(F.lit(0.0), F.lit(1.0) - col(gap) / 180.0))
 
 
 def spread_score(std: Num, mean: Num, count: Num, best: float = 0.3) -> Column:

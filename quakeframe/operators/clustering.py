@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import clean, unit_hash
 from quakeframe.operators.common import stored
+from quakeframe.operators.similarity import label_agreement
 
 
 def valid_points(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -114,14 +115,49 @@ def scan_k(df: DataFrame, features: Sequence[str], key: Sequence[str], ks: Seque
     return [(k, fit_weighted_kmeans(df, features, key, k, beta, starts=1, seed=seed).objective) for k in ks]
 
 
+def scan_beta(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int, betas: Sequence[float], seed: int = 42) -> DataFrame:
+    """beta, objective, the features' weights, and the silhouette of weighted k-means for each beta."""
+    x = stored(valid_points(df, features), "betas")
+    rows = []
+    for beta in betas:
+        model = fit_weighted_kmeans(x, features, key, k, beta, starts=1, seed=seed)
+        rows.append((float(beta), float(model.objective), model.weights.tolist(), silhouette(model.predict(x), features)))
+    return df.sparkSession.createDataFrame(rows, "beta double, objective double, weights array<double>, silhouette double")
+
+
+def subsample_stability(df: DataFrame, features: Sequence[str], key: Sequence[str], k: int, fraction: float = 0.8, repeats: int = 5, seed: int = 42) -> DataFrame:
+    """repeat, n, ari: how a mixture fitted to a part of the rows (by the hash of their key) labels that part, against one fitted to all."""
+    x = stored(valid_points(df, features), "stability")
+    whole = gaussian_mixture(x, features, k, seed, 100, starts=3)[0].select(*key, F.col("label").alias("_whole"))
+    out = None
+    for n in range(repeats):
+        part = x.filter(unit_hash(*key, seed=seed + n + 1) <= fraction)
+        labelled = gaussian_mixture(part, features, k, seed + n + 1, 100, starts=3)[0].select(*key, "label").join(whole, list(key))
+        one = label_agreement(labelled, [], "label", "_whole").select(F.lit(n).alias("repeat"), "n", "ari")
+        out = one if out is None else out.unionByName(one)
+    return stored(out, "stability")
+
+
+def k_robustness(df: DataFrame, features: Sequence[str], key: Sequence[str], ks: Sequence[int], fraction: float = 0.8, repeats: int = 3, seed: int = 42) -> DataFrame:
+    """k, mean_ari, least_ari, bic of a mixture for each K: how stable it is under subsampling, next to its fit."""
+    x = stored(valid_points(df, features), "robustness")
+    fits = scan_mixtures(x, features, ks, seed).select("k", "bic", "silhouette")
+    out = None
+    for k in ks:
+        one = subsample_stability(x, features, key, k, fraction, repeats, seed).agg(F.avg("ari").alias("mean_ari"), F.min("ari").alias("least_ari")).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return fits.join(out, "k")
+
+
 def vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(valid_points(df, features))
 
 
-def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, rounds: int = 50) -> tuple[DataFrame, GaussianMixture, float]:
-    """Labels and probabilities of a Gaussian mixture, the model, and its log-likelihood."""
+def gaussian_mixture(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, rounds: int = 50, starts: int = 1) -> tuple[DataFrame, GaussianMixture, float]:
+    """Labels and probabilities of a Gaussian mixture (two components at least; the likeliest of ``starts``), the model, and its log-likelihood."""
     x = vectors(df, features)
-    model = GaussianMixture(k=k, seed=seed, maxIter=rounds).fit(x)
+    fits = [GaussianMixture(k=k, seed=seed + n, maxIter=rounds, tol=1e-5).fit(x) for n in range(starts)]
+    model = max(fits, key=lambda m: m.summary.logLikelihood)
     out = model.transform(x).withColumn("gamma", vector_to_array("probability")).withColumnRenamed("prediction", "label").drop("probability", "features")
     return out, model, model.summary.logLikelihood
 
@@ -132,12 +168,12 @@ def mixture_parameters(k: int, d: int) -> int:
 
 
 def scan_mixtures(df: DataFrame, features: Sequence[str], ks: Sequence[int], seed: int = 42) -> DataFrame:
-    """k, n_points, loglik, bic, aic, silhouette of a mixture for each K."""
+    """k, n_points, loglik, bic, aic, silhouette of a mixture for each K (two at least)."""
     x = stored(valid_points(df, features), "mixtures")
     n = x.count()
     rows = []
     for k in ks:
-        labelled, _, loglik = gaussian_mixture(x, features, k, seed)
+        labelled, _, loglik = gaussian_mixture(x, features, k, seed, 100, starts=3)
         p = mixture_parameters(k, len(features))
         rows.append((k, n, float(loglik), p * math.log(n) - 2 * loglik, 2 * p - 2 * loglik, silhouette(labelled, features)))
     return df.sparkSession.createDataFrame(rows, "k int, n_points long, loglik double, bic double, aic double, silhouette double")
@@ -188,8 +224,9 @@ def random_field(df: DataFrame, features: Sequence[str], index: tuple[str, str,
     mean = [list(map(float, g.mean)) for g in model.gaussians]
     cov = [np.array(g.cov.toArray()) for g in model.gaussians]
     offs = [(a, s) for a in range(3) for s in (-1, 1)]
+    times = lambda factor: lambda g: g * factor  # noqa: E731  a lambda's second argument would be the index
     for _ in range(rounds):
-        sent = F.array(*[F.struct(*[(F.col(n) + (s if a == m else 0)).cast("int").alias(n) for m, n in enumerate(index)], F.transform("gamma", lambda g, a=a: g * reach[a]).alias("g")) for a, s in offs])
+        sent = F.array(*[F.struct(*[(F.col(n) + (s if a == m else 0)).cast("int").alias(n) for m, n in enumerate(index)], F.transform("gamma", times(reach[a])).alias("g")) for a, s in offs])
         field = rows.select(F.explode(sent).alias("e")).select("e.*").groupBy(*index).agg(*[F.sum(F.get("g", F.lit(j))).alias(f"_s{j}") for j in range(k)])
         near = rows.join(field, list(index), "left")
         logs = []

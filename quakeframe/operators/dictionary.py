@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +82,6 @@ def couple(df: DataFrame, low: str, high: str, atoms: np.ndarray, sparsity: int,
 
 def transform(df: DataFrame, low: str, atoms: np.ndarray, other: np.ndarray, sparsity: int, out: str = "patch") -> DataFrame:
     """Patches of the other resolution from the codes of the first."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: other @ omp(atoms, np.asarray(x, float), sparsity))

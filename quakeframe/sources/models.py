@@ -1,12 +1,18 @@
 """Gridded models as long tables of voxels (model, latitude, longitude, depth, parameters), from text and to Parquet.
 
-NetCDF and HDF5 have no reader here: such models are converted to Parquet once, outside, and read by ``read_voxels``.
+Classic NetCDF files are read by ``netcdf``. HDF5, and so NetCDF-4, has no reader here: such models are converted to
+Parquet once, outside, and read by ``read_voxels``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import io
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import islice
 from typing import Any
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -14,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import clean
+from quakeframe.sources.netcdf import read_netcdf
 
 MISSING = 9999.0
 
@@ -54,7 +61,44 @@ def read_voxels(spark: SparkSession, path: str, model: str | None = None, params
     return df.select("model", "latitude", "longitude", "depth", *[p for p in params if p in df.columns]) if params else df
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"geocsv": read_geocsv, "text": read_text_grid, "by_file": read_by_file, "parquet": read_voxels}
+def read_xlsx(spark: SparkSession, path: str, model: str, columns: Sequence[str] | None = None, scale: dict[str, float] | None = None) -> DataFrame:
+    """The first sheet of workbooks as voxels: names in the first row (or as given, in order). A workbook has a million rows at most and is read by one task."""
+    files = spark.read.format("binaryFile").load(path)
+    names = list(columns) if columns else [c.strip().lower() for c in next(_sheet(files.orderBy("path").select("content").first()[0]))]
+    skip = 0 if columns else 1
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for content in pdf["content"]:
+                rows = [(r + [None] * len(names))[: len(names)] for r in islice(_sheet(content), skip, None)]
+                yield pd.DataFrame({"t": rows})
+
+    t = files.select("content").mapInPandas(run, "t array<string>")
+    return t.select(F.lit(model).alias("model"), *[(_value(F.trim(F.get("t", F.lit(k)))) * (scale or {}).get(n, 1.0)).alias(n) for k, n in enumerate(names) if n])
+
+
+def _sheet(content: bytes) -> Iterator[list[str | None]]:
+    """The rows of a workbook's first sheet, cells as text."""
+    name = lambda e: e.tag.rsplit("}", 1)[-1]
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(e.text or "" for e in item.iter() if name(e) == "t") for item in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        sheet = min((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+        for _, row in ElementTree.iterparse(z.open(sheet)):
+            if name(row) != "row":
+                continue
+            out: list[str | None] = []
+            for cell in row:
+                letters = "".join(c for c in cell.get("r", "") if c.isalpha())
+                at = reduce(lambda n, c: 26 * n + ord(c) - 64, letters, 0) - 1 if letters else len(out)
+                text = "".join(e.text or "" for e in cell.iter() if name(e) in ("v", "t"))
+                out += [None] * (at - len(out)) + [shared[int(text)] if cell.get("t") == "s" else text]
+            row.clear()
+            yield out
+
+
+READERS: dict[str, Callable[..., DataFrame]] = {"netcdf": read_netcdf, "xlsx": read_xlsx, "geocsv": read_geocsv, "text": read_text_grid, "by_file": read_by_file, "parquet": read_voxels}
 
 
 def read_model(spark: SparkSession, kind: str, path: str, **options: Any) -> DataFrame:
