@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import Num, clean, col, ratio
+from quakeframe.operators.common import checked_broadcast
 
 
 def weighted_mean(value: Num, weight: Num) -> Column:
@@ -84,7 +85,7 @@ def interpolate_profile(profile: DataFrame, group: Sequence[str], depth: str, va
     inside = F.when(last, F.col(level) == F.col(depth)).otherwise((F.col(level) >= F.col(depth)) & (F.col(level) < F.col("_d2")))
     part = (F.col(level) - F.col(depth)) / (F.col("_d2") - F.col(depth))
     # levels are a grid of a few hundred depths
-    return seg.join(F.broadcast(levels.select(level).distinct()), inside).select(*group, level, F.when(last, F.col(value)).otherwise(F.col(value) + part * (F.col("_v2") - F.col(value))).alias(value))
+    return seg.join(checked_broadcast(levels.select(level).distinct()), inside).select(*group, level, F.when(last, F.col(value)).otherwise(F.col(value) + part * (F.col("_v2") - F.col(value))).alias(value))
 
 
 def param_ranges(df: DataFrame, params: Sequence[str], digits: int = 4) -> DataFrame:

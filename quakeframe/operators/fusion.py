@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import clean, ratio, unit_hash
+from quakeframe.operators.common import checked_broadcast
 
 
 def vote(df: DataFrame, cell: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def bma(df: DataFrame, cell: Sequence[str], model: str, value: str, weights: Dat
     The variance weighs with the posterior as it is, or renormalised over the models that are there.
     """
     v = clean(value)
-    j = df.join(F.broadcast(weights.select(model, "posterior")), model).filter(v.isNotNull())  # a row for each model
+    j = df.join(checked_broadcast(weights.select(model, "posterior")), model).filter(v.isNotNull())  # a row for each model
     p = F.col("posterior")
     each = j.groupBy(*cell).agg(F.sum(p).alias("_p"), F.sum(p * v).alias("_pv"), F.sum(p * v * v).alias("_pvv"), F.max_by(model, F.struct(p, F.col(model))).alias("dominant"), F.sum(p * F.log(p)).alias("_plp"), F.count("*").alias("n_models"))
     mean = F.col("_pv") / F.col("_p")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import Num, col
+from quakeframe.operators.common import checked_broadcast
 
 
 def measure(ref: np.ndarray, test: np.ndarray, dt: float, max_lag: float) -> dict[str, float] | None:
@@ -138,4 +139,4 @@ def travel_times(queries: DataFrame, table: DataFrame, phase: str = "phase", dis
     seg = table.select(F.col("phase").alias("_ph"), F.col("dist_deg").alias("_d1"), F.col("t").alias("_t1"), F.lead("dist_deg").over(w).alias("_d2"), F.lead("t").over(w).alias("_t2"))
     inside = (F.col(phase) == F.col("_ph")) & (F.col(distance) >= F.col("_d1")) & (F.col(distance) < F.coalesce("_d2", F.col("_d1") + 1e-9))
     t = F.col("_t1") + F.coalesce((F.col(distance) - F.col("_d1")) / (F.col("_d2") - F.col("_d1")) * (F.col("_t2") - F.col("_t1")), F.lit(0.0))
-    return queries.join(F.broadcast(seg), inside, "left").withColumn(out, t).drop("_ph", "_d1", "_t1", "_d2", "_t2")
+    return queries.join(checked_broadcast(seg), inside, "left").withColumn(out, t).drop("_ph", "_d1", "_t1", "_d2", "_t2")

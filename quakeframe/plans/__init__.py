@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quakeframe.plans import columns, gridded, incremental, relational, scalars  # noqa: F401  they register their queries
+from quakeframe.plans import columns, gridded, incremental, pipelines, relational, scalars  # noqa: F401  they register their queries
 from quakeframe.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = QUERIES["score_table"]

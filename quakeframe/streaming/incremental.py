@@ -22,7 +22,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 class UpsertTable:
-    """A table in versions: each merge writes a new folder, and readers take the last complete one.
+    """A table in versions: each merge writes a new folder, and readers take the last complete one; the last two stay.
 
     A merge that dies leaves the version before as it was; a batch that is run again is merged into the same version,
     so that every batch counts once.
@@ -50,6 +50,10 @@ class UpsertTable:
         v = self.version() + 1 if version is None else version
         before = self.read(self.version(below=v))
         upsert(before, rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/v{v}")
+        old = self.version(below=self.version(below=v))  # readers may still be at the version before
+        if old >= 0:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         return v
 
     def follow(self, stream: DataFrame, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> StreamingQuery:
