@@ -40,6 +40,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ROUNDS = 2
 PRIOR = 1000.0
 HEAD = 50_000
+#: Bytes of a word that goes to every task, at most; longer ones are joined like the rest.
+HEAD_BYTES = 200
 #: Taken from the count of every different word for the pieces' share.
 DISCOUNT = 0.7
 #: Different words that a task counts before it passes them on.
@@ -256,7 +258,7 @@ def score(documents: DataFrame, path: str = VOCABULARY, head: int = HEAD) -> Dat
     n, v = n_words + n_texts, different + (n_texts > 0)
     divisor = n + 0.1 * (v + 1)
     words = stored(piece_scores(counts, estimate(known, path)), "word-scores")
-    frequent = {r["word"].encode(): (r["n"], r["p"]) for r in words.filter(F.col("n") > 0).orderBy(F.desc("n"), "word").limit(head).collect()}
+    frequent = {r["word"].encode(): (r["n"], r["p"]) for r in words.filter((F.col("n") > 0) & (F.octet_length("word") <= HEAD_BYTES)).orderBy(F.desc("n"), "word").limit(head).collect()}
     scorer = documents.sparkSession.sparkContext.broadcast((shared := Scorer(frequent, divisor, n_texts, n, different)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
