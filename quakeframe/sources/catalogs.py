@@ -23,6 +23,7 @@ def _cut(line: Column, start: int, end: int | None = None) -> Column:
 
 def read_ndk(spark: SparkSession, path: str) -> DataFrame:
     """Five-line fixed-width records. Magnitudes of 0.0 are null; moments are scaled by the record's exponent, those under 1e-30 are 0; ``corrupt`` marks rows without a position, without an exponent or with fewer than twelve numbers of the tensor."""
+    # fixed values: the columns in which the public format has its fields
     r = records(spark, path, 5)
     l1, l2, l4, l5 = (F.get("lines", F.lit(k)) for k in (0, 1, 3, 4))
     number = lambda c: c.try_cast("double")

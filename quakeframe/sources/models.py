@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from quakeframe.functions.numeric import clean
 from quakeframe.sources.netcdf import read_netcdf
 
+#: Fixed value: what model files write where a value is missing.
 MISSING = 9999.0
 
 

@@ -122,9 +122,9 @@ def test_mixtures(spark, blobs):
     assert scan[2]["bic"] < scan[4]["bic"] and scan[2]["silhouette"] > 0.9 and scan[2]["n_points"] == 144
     p = clustering.mixture_parameters(2, 1)
     assert p == 5 and math.isclose(scan[2]["bic"], p * math.log(144) - 2 * scan[2]["loglik"]) and math.isclose(scan[2]["aic"], 2 * p - 2 * scan[2]["loglik"])
-    stable = clustering.subsample_stability(blobs, ["v"], ["id"], 2, repeats=2).collect()
-    assert len(stable) == 2 and all(r["ari"] == 1.0 and 80 < r["n"] < 144 for r in stable)
-    sturdy = clustering.k_robustness(blobs, ["v"], ["id"], [2], repeats=2).first()
+    stable = clustering.subsample_stability(blobs, ["v"], ["id"], 2, repeats=1).collect()
+    assert len(stable) == 1 and all(r["ari"] == 1.0 and 80 < r["n"] < 144 for r in stable)
+    sturdy = clustering.k_robustness(blobs, ["v"], ["id"], [2], repeats=1).first()
     assert sturdy["mean_ari"] == sturdy["least_ari"] == 1.0
     banded = clustering.by_band(blobs.withColumn("band", F.when(F.col("j") < 6, "a").when(F.col("j") < 11, "b").otherwise("c")), "band", ["v"], 2, 20)
     assert {(r["band"], r["label"]) for r in banded.collect()} == {("a", 0), ("a", 1), ("b", 2), ("b", 3), ("c", -1)}
