@@ -12,7 +12,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 text exactly so.
@@ -104,6 +104,21 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left")
     return rows.withColumn("_salt", F.spark_partition_id() % SALTS).join(parts, [key, "_salt"], how).drop("_salt")
 
 
+def ranked(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` (a stored table) with ``rank`` (from 0, in the order, nulls first) and ``of`` (rows) within each ``group``, a column without nulls.
+
+    Rows are dealt by ranges of the order, ties by the place where they lie, so that no group and no value need fit one
+    task; what is summed over the parts is a count for each part and group. Rows that tie get ranks in any order.
+    """
+    keys = [group, *order, "_tie"]
+    dealt = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = stored(dealt.drop("_tie").withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)), name)
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    runs = runs.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(Window.partitionBy(group)).alias("of"))
+    return placed.join(small(stored(runs, f"{name}-runs")), [group, "_part"]).withColumn("rank", F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def fold(name: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(name).cast("string")) % modulus

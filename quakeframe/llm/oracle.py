@@ -79,4 +79,41 @@ select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, dig
 """
 
 
-ORACLE_SQL = {"op1_decontamination": _op1(), "op4_warc": OP4, "op8_quality_rules": OP8, "op9_secret_scan": _op9(), "quality_ablation": _ablation()}
+def _op12(levels: int = 14) -> str:
+    """The trees level by level (for up to 3^14 documents of a source), and every leaf folded along them."""
+    h = lambda *c: "concat(" + ", ".join(f"case when {x} is null then '-' else concat(octet_length(encode(cast({x} as varchar))), ':', {x}) end" for x in c) + ")"
+    def tree(base: str, key: str) -> str:
+        out = []
+        for k in range(1, levels + 1):
+            low = base if k == 1 else f"{base}{k - 1}"
+            out.append(f"{base}{k} as materialized (select {key}, i // 3 as i, max((n + 2) // 3) as n, sha256(string_agg(h, '' order by i)) as h, list(h order by i) as kids from {low} where n > 1 group by {key}, i // 3)")
+        return ", ".join(out)
+
+    def fold(base: str, key: str, row: str, to: str) -> str:
+        """``row`` (with i, cur, sib) taken up the tree; nodes on top stay as they are."""
+        out = []
+        for k in range(1, levels + 1):
+            low = row if k == 1 else f"{to}{k - 1}"
+            kids = f"list_transform(range(1, len(t.kids) + 1), lambda q: case when q = r.i % 3 + 1 then r.cur else t.kids[q] end)"
+            sibs = f"list_transform(list_filter(range(1, len(t.kids) + 1), lambda q: q <> r.i % 3 + 1), lambda q: t.kids[q])"
+            out.append(f"{to}{k} as materialized (select r.* exclude (i, cur, sib), coalesce(t.i, r.i) as i, case when t.i is null then r.cur else sha256(array_to_string({kids}, '')) end as cur, case when t.i is null then r.sib else concat(r.sib, array_to_string({sibs}, '')) end as sib from {low} r left join {base}{k} t on t.{key} = r.{key} and t.i = r.i // 3)")
+        return ", ".join(out)
+
+    steps = "[" + "-1, " * 7 + "-1]"
+    return f"""with d as (select *, coalesce('=' || source, '') as tree, xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: list_prepend(cast(ord(c) as bigint), {steps})))),
+        lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, case when a & 1 = 1 then cast(3988292384 as bigint) else 0 end) end), cast(4294967295 as bigint)) as crc from documents),
+    l as (select doc_id, tree, sha256({h('doc_id', 'source', 'lang', 'n_chars', 'text')}) as h, sha256({h('doc_id', 'source', 'lang', 'n_chars', "(case when crc % 2 = 0 then replace(text, chr(10), '') else text end)")}) as other from d),
+    b as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i, count(*) over (partition by tree) as n from l),
+    {tree("b", "tree")},
+    subs as ({" union all ".join(f"select tree, h from b{k or ''} where n = 1" for k in range(levels + 1))}),
+    f as materialized (select 0 as one, tree, h, row_number() over (order by tree) - 1 as i, count(*) over () as n from subs),
+    {tree("f", "one")},
+    root as ({" union all ".join(f"select h from f{k or ''} where n = 1" for k in range(levels + 1))}),
+    r0 as (select doc_id, tree, h as leaf, i, other as cur, '' as sib from b),
+    {fold("b", "tree", "r0", "u")},
+    q0 as (select u.doc_id, u.leaf, f.h as subroot, u.cur, u.sib, f.i, 0 as one from u{levels} u join f using (tree)),
+    {fold("f", "one", "q0", "v")}
+    select doc_id, leaf, subroot, root.h as root, sha256(sib) as proof_sha256, cur as folded_root, cur = root.h as verified from v{levels}, root"""
+
+
+ORACLE_SQL = {"op1_decontamination": _op1(), "op4_warc": OP4, "op8_quality_rules": OP8, "op9_secret_scan": _op9(), "op12_merkle": _op12(), "quality_ablation": _ablation()}

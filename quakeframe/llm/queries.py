@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, langid, license_scan, lm_score, mixing, quality, secret_scan, simhash, toxicity, warc
+from quakeframe.llm import decontamination, langid, license_scan, lm_score, merkle, mixing, packing, quality, secret_scan, simhash, toxicity, warc
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -69,4 +70,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix, quality_ablation)}
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof in the manifest, and whether a tampered row leads to its root."""
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix, op12_merkle, op13_packing, quality_ablation)}
