@@ -75,8 +75,10 @@ class WordIds(dict):
 
     def of_words(self, words: list[str]) -> list[bytes]:
         """The ids of different words. ``WORDS`` of them are kept for later, besides those at hand."""
-        if len(self) > WORDS:
+        if len(self) > WORDS:  # those of these texts stay, and so the frequent ones
+            kept = {w: self[w] for w in words if w in self}
             self.clear()
+            self.update(kept)
         heads = {}
         for w in words:
             if w not in self:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quakeframe.llm import decontamination, langid, license_scan, lm_score, merkle, mixing, packing, quality, secret_scan, simhash, toxicity, warc
+from quakeframe.llm import alignment, decontamination, langid, license_scan, lm_score, merkle, mixing, packing, quality, secret_scan, simhash, toxicity, warc
 from quakeframe.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -70,6 +70,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers in every document, and how common its links are."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's proof in the manifest, and whether a tampered row leads to its root."""
     return merkle.digest(_table(spark, sf_dir, "documents"))
@@ -80,4 +85,4 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix, op12_merkle, op13_packing, quality_ablation)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_score, op3_license_scan, op4_warc, op5_simhash, op6_langid, op7_toxicity, op8_quality_rules, op9_secret_scan, op10_source_mix, op11_alignment, op12_merkle, op13_packing, quality_ablation)}
