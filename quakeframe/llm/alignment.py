@@ -5,7 +5,7 @@ a unit that no token of either reaches over (checked against the vocabularies),
 overlaps are kept and put together for a text. A document's pairs go out as postings with their multiplicities, packed
 by batch of documents and first id. Postings are dealt to buckets of about ``BUCKET`` by that id; an id with more of
 them has several buckets, whose counts come as totals summed before, cogrouped to each. A bucket, of bounded size, counts
-the documents of its pairs, finds each id's best, and gives back sums by document, which are summed once more.
+the documents of its pairs, finds each id's best, and gives back sums by document, packed by batch, which are summed once more batch by batch.
 
 Defined results: texts null, empty, or which a tokenizer doesn't give back byte by byte have no tokens, zeros, and an
 empty digest. Rows are told apart by their place, so that null and repeated ids are documents of their own. Very long
@@ -28,7 +28,7 @@ from quakeframe.llm.common import stored, text_batches
 
 #: Postings in a bucket, about; units that a Python worker keeps, and the longest of them.
 BUCKET = 1_000_000
-UNITS = 300_000
+UNITS = 200_000
 UNIT_CHARS = 60
 #: The code points of white space in the first tokenizer's pattern. A unit begins at one of STARTS after anything else.
 SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -145,7 +145,7 @@ def _encode(path_a: str, path_b: str) -> Callable[[Iterable[pa.RecordBatch]], It
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, first = units(path_a, path_b), TaskContext.get().partitionId() << 33
-        for columns, texts in text_batches(batches, chars=4_000_000):
+        for columns, texts in text_batches(batches, chars=3_000_000):
             rows, codes, at = [], [], []
             for k, (doc_id, found) in enumerate(zip(columns["doc_id"], known.of_texts(texts), strict=True)):
                 if not found or None in found:
@@ -198,11 +198,28 @@ def _contributions(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     else:
         starts = np.flatnonzero(np.diff(pair // _SIDE, prepend=-1))
         most = np.repeat(np.maximum.reduceat(n, starts), np.diff(np.append(starts, len(pair)))) if len(pair) else n
-    order = np.argsort(row, kind="stable")
-    rows, starts = np.unique(row[order], return_index=True)
     best, count = flat["m"] * (n == most)[which], flat["m"] * n[which]
-    sums = [np.add.reduceat(v[order], starts) if len(rows) else v for v in (best, count)]
-    return pa.table({"row": rows, "n_best": sums[0], "count_sum": sums[1]})
+    return _packed(*_summed(row, best, count), left.column("first").to_numpy())
+
+
+def _summed(row: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different rows, and the sums of each of ``values`` over them."""
+    order = np.argsort(row, kind="stable")
+    starts = np.flatnonzero(np.diff(row[order], prepend=-1))
+    return row[order][starts], *[np.add.reduceat(v[order], starts) if len(row) else v for v in values]
+
+
+def _packed(row: np.ndarray, best: np.ndarray, count: np.ndarray, batches: np.ndarray) -> pa.Table:
+    """Sums of documents, a row for each batch of documents."""
+    first = np.unique(batches)
+    ends = pa.array(np.append(np.searchsorted(row, first), len(row)), pa.int32())
+    return pa.table({"first": first} | {n: pa.ListArray.from_arrays(ends, pa.array(v)) for n, v in (("row", row), ("n_best", best), ("count_sum", count))})
+
+
+def _by_document(key: tuple, parts: pa.Table) -> pa.Table:
+    """The sums of a batch's documents over all buckets."""
+    sums = _summed(*[parts.column(n).combine_chunks().flatten().to_numpy() for n in ("row", "n_best", "count_sum")])
+    return pa.table(dict(zip(("row", "n_best", "count_sum"), sums, strict=True)))
 
 
 def link_sums(postings: DataFrame) -> DataFrame:
@@ -220,8 +237,8 @@ def link_sums(postings: DataFrame) -> DataFrame:
     placed = postings.join(to, "a").withColumn("bucket", F.col("bucket") + F.pmod(F.xxhash64("first"), F.col("parts")))
     hot = placed.filter(F.col("parts") > 1).select("a", F.explode("b").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
     totals = stored(hot, "alignment-totals").join(to, "a").select(F.explode(F.sequence(F.col("bucket"), F.col("bucket") + F.col("parts") - 1)).alias("bucket"), "b", "n")
-    sums = placed.select("bucket", "a", "first", "at", "b", "m").groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_contributions, "row long, n_best long, count_sum long")
-    return sums.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = placed.select("bucket", "a", "first", "at", "b", "m").groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_contributions, "first long, row array<long>, n_best array<long>, count_sum array<long>")
+    return sums.groupBy("first").applyInArrow(_by_document, "row long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
