@@ -120,46 +120,143 @@ def resolution_class(df: DataFrame, i: str, j: str, valid: Column) -> DataFrame:
 def fill_all_nearest(df: DataFrame, group: Sequence[str], i: str, j: str, value: str) -> DataFrame:
     """Missing values from the nearest valid cell, however far (ties: the smaller indices); groups without any stay as they are.
 
-    The reach doubles from round to round; a cell found in a round's square counts if no cell outside can be nearer.
+    A distance transform in two passes. Along each row (``i``) a cell gets the nearest valid column on either side, by
+    windows; along each column (``j``) the rows' squared distances are parabolas, whose lower envelope gives the nearest
+    row. A row of the grid, and a column of it, is what must fit a task. Cells of the grid without a row are holes on the way.
     """
-    size = df.groupBy(*group).agg(F.greatest(F.max(i) - F.min(i), F.max(j) - F.min(j)).alias("n"), F.count(clean(value)).alias("have")).filter("have > 0")
-    most = size.agg(F.max("n")).first()[0] or 0
-    rows, reach = df, 1
-    while True:
-        rows = stored(_filled(rows, df, group, i, j, value, reach, exact=reach < most), "filled")
-        if reach >= most or not rows.filter(clean(value).isNull()).limit(1).count():
-            return rows
-        reach *= 2
-
-
-def fill_nearest(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, reach: int) -> DataFrame:
-    """Missing values from the nearest valid cell within ``reach`` steps in both directions (ties: the smaller indices)."""
-    return _filled(df, df, group, i, j, value, reach, exact=False)
-
-
-def _filled(df: DataFrame, source: DataFrame, group: Sequence[str], i: str, j: str, value: str, reach: int, exact: bool) -> DataFrame:
-    """Missing values of ``df`` from the nearest valid cell of ``source``; with ``exact`` only where nothing beyond ``reach`` can be nearer."""
-    side = range(-reach, reach + 1)
-    offsets = F.array(*[F.struct(F.lit(float(a * a + b * b)).alias("d"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a in side for b in side])
-    holes = df.filter(clean(value).isNull()).select(*group, i, j)
-    ask = holes.select(*group, i, j, F.explode(offsets).alias("_o")).select(*group, F.col(i).alias("_i"), F.col(j).alias("_j"), "_o", (F.col(i) + F.col("_o.a")).alias(i), (F.col(j) + F.col("_o.b")).alias(j))
-    have = source.filter(clean(value).isNotNull()).select(*group, i, j, F.col(value).alias("_v"))
-    near = ask.join(have, [*group, i, j])
-    best = (near.filter(F.col("_o.d") <= reach * reach) if exact else near).groupBy(*group, "_i", "_j").agg(F.min_by("_v", F.struct("_o.d", i, j)).alias("_fill")).withColumnsRenamed({"_i": i, "_j": j})
-    return df.join(best, [*group, i, j], "left").withColumn(value, F.coalesce(clean(value), F.col("_fill"))).drop("_fill")
-
-
-def _gaussian(x: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian mean of a 2-D array, edges repeated."""
+    return _transformed(df, group, i, j, value).drop("_distance")
+
+
+def fill_nearest(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, reach: float) -> DataFrame:
+    """Missing values from the nearest valid cell within a distance of ``reach`` cells (ties: the smaller indices)."""
+    found = _transformed(df, group, i, j, value)
+    return found.withColumn(value, F.when(F.col("_distance") <= float(reach) ** 2, F.col(value))).drop("_distance")
+
+
+def _transformed(df: DataFrame, group: Sequence[str], i: str, j: str, value: str) -> DataFrame:
+    """``df`` with holes filled, and the squared distance that each value came from as ``_distance`` (0 for its own)."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    line = [*group, i]
+    have = F.when(clean(value).isNotNull(), F.struct(F.col(j).alias("at"), F.col(value).cast("double").alias("v")))
+    before = Window.partitionBy(*line).orderBy(j).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*line).orderBy(j).rowsBetween(0, Window.unboundedFollowing)
+    cells = df.select(*group, i).distinct().join(df.select(*group, j).distinct(), list(group)) if group else df.select(i).distinct().crossJoin(df.select(j).distinct())
+    whole = cells.join(df.select(*group, i, j, value), [*group, i, j], "left")  # the grid, with cells that have no row
+    sides = whole.withColumn("_l", F.last(have, ignorenulls=True).over(before)).withColumn("_r", F.first(have, ignorenulls=True).over(after))
+    nearer = F.when(F.col("_l").isNull() | ((F.col("_r.at") - F.col(j)) < (F.col(j) - F.col("_l.at"))), F.col("_r")).otherwise(F.col("_l"))
+    rows = sides.select(*group, i, j, nearer.alias("_n")).select(*group, i, j, F.col("_n.at").alias("_at"), F.col("_n.v").alias("_v"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(i)
+        x, at = pdf[i].to_numpy(), pdf[j].to_numpy()
+        ok = pdf["_at"].notna().to_numpy()
+        if not ok.any():
+            return pdf.assign(_fill=np.nan, _distance=np.nan)[[*group, i, j, "_fill", "_distance"]]
+        gap = np.where(ok, (pdf["_at"].to_numpy(float) - at) ** 2, 0)
+        best, square = lower_envelope(x[ok].astype(float), gap[ok], x.astype(float))
+        return pdf.assign(_fill=pdf["_v"].to_numpy(float)[ok][best], _distance=square)[[*group, i, j, "_fill", "_distance"]]
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, i, j]) + ", _fill double, _distance double"
+    filled = rows.groupBy(*group, j).applyInPandas(run, schema)
+    return df.join(filled, [*group, i, j], "left").withColumn(value, F.coalesce(clean(value), F.col("_fill"))).drop("_fill")
+
+
+def lower_envelope(x: np.ndarray, height: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each place of ``at`` which of the parabolas ``(. - x)^2 + height`` is lowest (ties: the first), and how low it is. ``x`` ascends."""
+    kept, start = [0], [-np.inf]
+    for k in range(1, len(x)):
+        while kept:
+            q = kept[-1]
+            cross = ((height[k] + x[k] ** 2) - (height[q] + x[q] ** 2)) / (2 * (x[k] - x[q]))
+            if cross > start[-1]:
+                break
+            kept.pop()
+            start.pop()
+        start.append(cross if kept else -np.inf)
+        kept.append(k)
+    best = np.array(kept)[np.maximum(np.searchsorted(start, at, side="left") - 1, 0)]
+    return best, (at - x[best]) ** 2 + height[best]
+
+
+def kernel(sigma: float) -> np.ndarray:
+    """Weights of a Gaussian mean, to four deviations."""
     radius = max(1, int(4 * sigma + 0.5))
-    kernel = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
-    kernel /= kernel.sum()
+    k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    return k / k.sum()
+
+
+def convolved(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """A 2-D array with a kernel run along both axes; what is smaller than the kernel is cut away."""
     for axis in (0, 1):
-        pad = [(radius, radius) if a == axis else (0, 0) for a in (0, 1)]
-        x = np.apply_along_axis(np.convolve, axis, np.pad(x, pad, mode="edge"), kernel, mode="valid")
+        x = np.lib.stride_tricks.sliding_window_view(x, len(k), axis=axis) @ k[::-1]
     return x
 
 
+#: Cells along a side of a tile, beside its halo.
+TILE = 256
+
+
+def tiles(df: DataFrame, group: Sequence[str], i: str, j: str, radius: int, tile: int | None = None) -> DataFrame:
+    """Cells sent to every tile whose halo of ``radius`` holds them: columns ``_ti``, ``_tj``, and the level's bounds ``_i0``, ``_i1``, ``_j0``, ``_j1``.
+
+    A tile holds ``tile`` + 2 ``radius`` cells a side at most, so that no task has a level. Bounds are a row for each level.
+    """
+    tile = tile or TILE
+    span = df.groupBy(*group).agg(F.min(i).alias("_i0"), F.max(i).alias("_i1"), F.min(j).alias("_j0"), F.max(j).alias("_j1"))
+    both = df.join(span, list(group)) if group else df.crossJoin(F.broadcast(span))  # without groups: one row
+
+    def reach(c: str, low: str, high: str) -> Column:
+        at = lambda x: F.floor(x / tile)
+        first, last = F.greatest(F.col(c) - radius, F.col(low)), F.least(F.col(c) + radius, F.col(high))
+        return F.sequence(at(first), at(last))
+
+    sent = both.withColumn("_ti", F.explode(reach(i, "_i0", "_i1")))
+    return sent.withColumn("_tj", F.explode(reach(j, "_j0", "_j1")))
+
+
+class Tile:
+    """A tile's cells as arrays, its halo filled up to the level's edge and repeated beyond it."""
+
+    def __init__(self, pdf: pd.DataFrame, i: str, j: str, radius: int, tile: int | None = None) -> None:
+        tile = tile or TILE
+        one = pdf.iloc[0]
+        low = (max(int(one["_ti"]) * tile, int(one["_i0"])), max(int(one["_tj"]) * tile, int(one["_j0"])))
+        high = (min(int(one["_ti"]) * tile + tile - 1, int(one["_i1"])), min(int(one["_tj"]) * tile + tile - 1, int(one["_j1"])))
+        self.low, self.radius = low, radius
+        self.edges = tuple(np.clip(np.arange(a - radius, z + radius + 1), int(one[e0]), int(one[e1])) for a, z, e0, e1 in zip(low, high, ("_i0", "_j0"), ("_i1", "_j1"), strict=True))
+        self.at = (pdf[i].to_numpy() - (low[0] - radius), pdf[j].to_numpy() - (low[1] - radius))
+        self.own = (pdf[i].between(low[0], high[0]) & pdf[j].between(low[1], high[1])).to_numpy()
+
+    def dense(self, values: np.ndarray) -> np.ndarray:
+        """The values with the halo; NaN where there is no cell."""
+        shape = tuple(len(e) for e in self.edges)
+        out = np.full(shape, np.nan)
+        out[self.at] = values
+        r, c = (e - (low - self.radius) for e, low in zip(self.edges, self.low, strict=True))
+        return out[np.ix_(r, c)]
+
+    def inner(self, values: np.ndarray) -> np.ndarray:
+        """Of an array without the halo, the values of the tile's own rows of the frame."""
+        return values[self.at[0][self.own] - self.radius, self.at[1][self.own] - self.radius]
+
+
+def smooth(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, sigma: float, tile: int | None = None) -> DataFrame:
+    """Gaussian mean of each level, by tiles with halos, edges repeated; missing cells count as the level's mean and stay missing."""
+    k = kernel(sigma)
+    radius, names = len(k) // 2, df.columns
+    mean = df.groupBy(*group).agg(F.avg(clean(value)).alias("_mean"))
+    with_mean = df.join(mean, list(group)) if group else df.crossJoin(F.broadcast(mean))  # without groups: one row
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = Tile(pdf, i, j, radius, tile)
+        x = own.dense(pdf[value].to_numpy(float))
+        y = own.inner(convolved(np.where(np.isnan(x), pdf["_mean"].iloc[0], x), k))
+        out = pdf[own.own][names]
+        return out.assign(**{value: np.where(out[value].isna(), np.nan, y)})
+
+    return tiles(with_mean, group, i, j, radius, tile).groupBy(*group, "_ti", "_tj").applyInPandas(run, df.schema)
+
+
 def dense(pdf: pd.DataFrame, i: str, j: str, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A level's voxels as an array, with their row and column in it."""
     r, c = pdf[i].to_numpy() - pdf[i].min(), pdf[j].to_numpy() - pdf[j].min()
@@ -168,20 +265,6 @@ def dense(pdf: pd.DataFrame, i: str, j: str, value: str) -> tuple[np.ndarray, np
     return out, r, c
 
 
-def smooth(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, sigma: float) -> DataFrame:
-    """Gaussian mean of each level; missing cells count as the level's mean and stay missing. A level is one array in a task."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, r, c = dense(pdf, i, j, value)
-        hole = np.isnan(x)
-        if hole.all():
-            return pdf
-        y = _gaussian(np.where(hole, np.nanmean(x), x), sigma)
-        y[hole] = np.nan
-        return pdf.assign(**{value: y[r, c]})
-
-    return df.groupBy(*group).applyInPandas(run, df.schema)
-
-
 def patches(df: DataFrame, group: Sequence[str], i: str, j: str, value: str, size: int, stride: int) -> DataFrame:
     """Square windows of a level as arrays in row order; windows with a missing cell are left out. Cells report to the windows they are in."""
     offset = F.array(*[F.lit(k) for k in range(size)])

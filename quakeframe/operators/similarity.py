@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.numeric import clean, col
-from quakeframe.operators.grid import _gaussian, dense
+from quakeframe.operators.grid import Tile, convolved, dense, kernel, tiles
 
 
 def model_pairs(df: DataFrame, cell: Sequence[str], model: str, value: str) -> DataFrame:
@@ -87,32 +87,41 @@ def label_agreement(df: DataFrame, group: Sequence[str], a: str, b: str) -> Data
     return j.select(*group, n.cast("long").alias("n"), ari.alias("ari"), nmi.alias("nmi"))
 
 
-def ssim_map(x: np.ndarray, y: np.ndarray, sigma: float, span: float | None = None) -> np.ndarray:
-    """Structural similarity of two arrays with Gaussian windows; cells missing in either are left out of all means."""
+def ssim_map(x: np.ndarray, y: np.ndarray, k: np.ndarray, span: float) -> np.ndarray:
+    """Structural similarity of two arrays with windows of weights ``k``; cells missing in either are left out of all means. What the kernel reaches over is cut away."""
+    radius = len(k) // 2
     hole = np.isnan(x) | np.isnan(y)
-    w = _gaussian((~hole).astype(float), sigma)
-    mean = lambda z: _gaussian(np.where(hole, 0.0, z), sigma) / np.maximum(w, 1e-12)
+    w = convolved((~hole).astype(float), k)
+    mean = lambda z: convolved(np.where(hole, 0.0, z), k) / np.maximum(w, 1e-12)
     mx, my = mean(x), mean(y)
     vx, vy, cov = mean(x * x) - mx * mx, mean(y * y) - my * my, mean(x * y) - mx * my
-    both = np.concatenate([x[~hole], y[~hole]])
-    span = span or (float(np.ptp(both)) if len(both) else 1.0) or 1.0
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
     out = (2 * mx * my + c1) * (2 * cov + c2) / ((mx * mx + my * my + c1) * (np.maximum(vx, 0) + np.maximum(vy, 0) + c2))
-    out[hole] = np.nan
+    out[hole[radius : len(hole) - radius, radius : hole.shape[1] - radius]] = np.nan
     return out
 
 
-def ssim(pairs: DataFrame, group: Sequence[str], i: str, j: str, sigma: float = 1.5) -> DataFrame:
-    """Mean SSIM of x and y for each group (a pair of models and a level): a level is one array in a task."""
+def ssim(pairs: DataFrame, group: Sequence[str], i: str, j: str, sigma: float = 1.5, tile: int | None = None) -> DataFrame:
+    """Mean SSIM of x and y for each group (a pair of models and a level), by tiles with halos whose sums are added up.
+
+    The range of values, of the cells that both have, is the whole level's. Groups without such a cell have a null.
+    """
+    k, radius = kernel(sigma), len(kernel(sigma)) // 2
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    cells = pairs.select(*group, i, j, clean("x").alias("x"), clean("y").alias("y"))
+    common = F.col("x").isNotNull() & F.col("y").isNotNull()
+    high, low = (f(F.when(common, g("x", "y"))) for f, g in ((F.max, F.greatest), (F.min, F.least)))
+    span = cells.groupBy(*group).agg(F.coalesce(high - low, F.lit(0.0)).alias("_span"))
+    span = span.withColumn("_span", F.when(F.col("_span") > 0, F.col("_span")).otherwise(1.0))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, _, _ = dense(pdf, i, j, "x")
-        y, _, _ = dense(pdf, i, j, "y")
-        m = ssim_map(x, y, sigma)
-        return pd.DataFrame([[*key, float(np.nanmean(m)) if np.isfinite(m).any() else None, int(np.isfinite(m).sum())]], columns=[*group, "ssim", "n"])
+        own = Tile(pdf, i, j, radius, tile)
+        m = ssim_map(own.dense(pdf["x"].to_numpy(float)), own.dense(pdf["y"].to_numpy(float)), k, float(pdf["_span"].iloc[0]))
+        return pd.DataFrame([[*key[: len(group)], float(np.nansum(m)), int(np.isfinite(m).sum())]], columns=[*group, "_sum", "_n"])
 
-    return pairs.select(*group, i, j, "x", "y").groupBy(*group).applyInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", ssim double, n long")
+    parts = tiles(cells.join(span, list(group)), group, i, j, radius, tile).groupBy(*group, "_ti", "_tj").applyInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", _sum double, _n long")
+    n = F.sum("_n")
+    return parts.groupBy(*group).agg(F.when(n > 0, F.sum("_sum") / n).alias("ssim"), n.alias("n"))
 
 
 def ssim_1d(pairs: DataFrame, group: Sequence[str], level: str, size: int = 7) -> DataFrame:

@@ -163,13 +163,24 @@ def grid_resolution(t):
     return grid.resolution_class(x, "ilat", "ilon", F.col("v").isNotNull() & (F.col("ilat") % 3 != 1)).select("ilat", "ilon", "resolution")
 
 
-@query("""with x as (select depth, ilat, ilon, case when ilat between 4 and 15 and ilon between 3 and 16 then null else v end as v from vox where m = 0),
-d as (select a.depth, a.ilat, a.ilon, b.v, row_number() over (partition by a.depth, a.ilat, a.ilon order by pow(a.ilat - b.ilat, 2) + pow(a.ilon - b.ilon, 2), b.ilat, b.ilon) as k from x a join x b on a.depth = b.depth and b.v is not null where a.v is null)
-select x.depth, x.ilat, x.ilon, round(coalesce(x.v, d.v), 6) as v from x left join d on x.depth = d.depth and x.ilat = d.ilat and x.ilon = d.ilon and d.k = 1""")
+@query("""with x as (select m, depth, ilat, ilon, case when ilat between 4 and 15 and ilon between 3 and 16 then null else v end as v from vox),
+d as (select a.m, a.depth, a.ilat, a.ilon, b.v, row_number() over (partition by a.m, a.depth, a.ilat, a.ilon order by pow(a.ilat - b.ilat, 2) + pow(a.ilon - b.ilon, 2), b.ilat, b.ilon) as k from x a join x b on a.m = b.m and a.depth = b.depth and b.v is not null where a.v is null)
+select x.m, x.depth, x.ilat, x.ilon, round(coalesce(x.v, d.v), 6) as v from x left join d on x.m = d.m and x.depth = d.depth and x.ilat = d.ilat and x.ilon = d.ilon and d.k = 1""")
 def grid_filled(t):
-    """Missing cells from the nearest valid one, however far."""
-    x = t("vox").filter("m = 0").withColumn("v", F.when(~(F.col("ilat").between(4, 15) & F.col("ilon").between(3, 16)), F.col("v")))
-    return grid.fill_all_nearest(x, ["depth"], "ilat", "ilon", "v").select("depth", "ilat", "ilon", r("v").alias("v"))
+    """Missing cells of every model from the nearest valid one, however far."""
+    x = t("vox").withColumn("v", F.when(~(F.col("ilat").between(4, 15) & F.col("ilon").between(3, 16)), F.col("v")))
+    return grid.fill_all_nearest(x, ["m", "depth"], "ilat", "ilon", "v").select("m", "depth", "ilat", "ilon", r("v").alias("v"))
+
+
+@query("""with c as (select cast(o_orderkey % 3 as int) as g, cast(floor(o_orderkey / 3) as int) % 260 as i, cast(floor(o_orderkey / 780) as int) % 230 as j, avg(cast(o_totalprice as double)) as p from ord group by 1, 2, 3),
+x as (select g, i, j, case when i between 30 and 229 and j between 3 and 202 then null else p end as v from c),
+d as (select a.g, a.i, a.j, min((a.i - b.i) * (a.i - b.i) + (a.j - b.j) * (a.j - b.j)) as near, arg_min(b.v, (a.i - b.i) * (a.i - b.i) * 100000.0 * 100000 + (a.j - b.j) * (a.j - b.j) * 100000.0 * 100000 + b.i * 1000.0 + b.j) as v from x a join x b on a.g = b.g where a.v is null and b.v is not null group by a.g, a.i, a.j)
+select x.g, x.i, x.j, round(coalesce(x.v, d.v), 4) as v from x left join d on x.g = d.g and x.i = d.i and x.j = d.j""")
+def grid_filled_wide(t):
+    """Holes 200 cells wide, in grids that lack cells too, from the nearest valid cell."""
+    c = t("ord").select((F.col("o_orderkey") % 3).cast("int").alias("g"), (F.floor(F.col("o_orderkey") / 3).cast("int") % 260).alias("i"), (F.floor(F.col("o_orderkey") / 780).cast("int") % 230).alias("j"), F.col("o_totalprice").cast("double").alias("p"))
+    x = c.groupBy("g", "i", "j").agg(F.avg("p").alias("p")).select("g", "i", "j", F.when(~(F.col("i").between(30, 229) & F.col("j").between(3, 202)), F.col("p")).alias("v"))
+    return grid.fill_all_nearest(x, ["g"], "i", "j", "v").select("g", "i", "j", r("v", 4).alias("v"))
 
 
 @query("""with p as (select a.m, a.depth, a.ilat as i, a.ilon as j, count(b.v) as c, string_agg(cast(round(b.v * 1000) as bigint), ',' order by b.ilat, b.ilon) as patch from vox a join vox b on a.m = b.m and a.depth = b.depth and b.ilat - a.ilat between 0 and 2 and b.ilon - a.ilon between 0 and 2 where a.ilat % 2 = 0 and a.ilon % 2 = 0 group by 1, 2, 3, 4)

@@ -52,10 +52,17 @@ def model_correlation(t):
     return similarity.correlation_matrix(pairs).select("model_a", "model_b", r("corr").alias("corr"), n("n").alias("n"))
 
 
-@query()
+@query("""with p as (select a.m as model_a, b.m as model_b, a.depth, a.ilat as i, a.ilon as j, a.v as x, b.v as y from vox a join vox b on a.ilat = b.ilat and a.ilon = b.ilon and a.depth = b.depth and a.m < b.m where a.v is not null and b.v is not null),
+s as (select model_a, model_b, depth, min(i) as i0, max(i) as i1, min(j) as j0, max(j) as j1, case when greatest(max(x), max(y)) > least(min(x), min(y)) then greatest(max(x), max(y)) - least(min(x), min(y)) else 1 end as span from p group by 1, 2, 3),
+k as (select cast(range as int) - 6 as a, exp(-0.5 * ((range - 6) / 1.5) * ((range - 6) / 1.5)) as w from range(13)),
+g as (select p.model_a, p.model_b, p.depth, p.i, p.j, any_value(s.span) as span, sum(ka.w * kb.w) as w, sum(ka.w * kb.w * q.x) as sx, sum(ka.w * kb.w * q.y) as sy, sum(ka.w * kb.w * q.x * q.x) as sxx, sum(ka.w * kb.w * q.y * q.y) as syy, sum(ka.w * kb.w * q.x * q.y) as sxy
+  from p join s using (model_a, model_b, depth) cross join k ka cross join k kb join p q on q.model_a = p.model_a and q.model_b = p.model_b and q.depth = p.depth and q.i = greatest(s.i0, least(s.i1, p.i + ka.a)) and q.j = greatest(s.j0, least(s.j1, p.j + kb.a)) group by 1, 2, 3, 4, 5),
+m as (select *, sx / w as mx, sy / w as my, greatest(sxx / w - sx / w * sx / w, 0) as vx, greatest(syy / w - sy / w * sy / w, 0) as vy, sxy / w - sx / w * sy / w as cov, 0.0001 * span * span as c1, 0.0009 * span * span as c2 from g)
+select model_a, model_b, depth, round(avg((2 * mx * my + c1) * (2 * cov + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))), 6) as ssim, count(*) as n from m group by 1, 2, 3""")
 def model_ssim(t):
     """Structural similarity of every two models by level."""
-    return similarity.ssim(similarity.model_pairs(t("vox"), CELL, "m", "v"), ["model_a", "model_b", "depth"], "ilat", "ilon")
+    found = similarity.ssim(similarity.model_pairs(t("vox"), CELL, "m", "v"), ["model_a", "model_b", "depth"], "ilat", "ilon")
+    return found.select("model_a", "model_b", "depth", r("ssim").alias("ssim"), n("n").alias("n"))
 
 
 @query()

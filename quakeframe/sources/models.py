@@ -1,7 +1,6 @@
 """Gridded models as long tables of voxels (model, latitude, longitude, depth, parameters), from text and to Parquet.
 
-Classic NetCDF files are read by ``netcdf``. HDF5, and so NetCDF-4, has no reader here: such models are converted to
-Parquet once, outside, and read by ``read_voxels``.
+NetCDF and HDF5 files are read by ``netcdf``, box by box.
 """
 
 from __future__ import annotations
@@ -99,7 +98,7 @@ def _sheet(content: bytes) -> Iterator[list[str | None]]:
             yield out
 
 
-READERS: dict[str, Callable[..., DataFrame]] = {"netcdf": read_netcdf, "xlsx": read_xlsx, "geocsv": read_geocsv, "text": read_text_grid, "by_file": read_by_file, "parquet": read_voxels}
+READERS: dict[str, Callable[..., DataFrame]] = {"netcdf": read_netcdf, "hdf5": read_netcdf, "xlsx": read_xlsx, "geocsv": read_geocsv, "text": read_text_grid, "by_file": read_by_file, "parquet": read_voxels}
 
 
 def read_model(spark: SparkSession, kind: str, path: str, **options: Any) -> DataFrame:

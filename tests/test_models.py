@@ -56,6 +56,35 @@ def test_structural_similarity(spark, maps):
     assert math.isclose(own["ssim"], 1.0)
 
 
+def test_tiles_equal_whole_levels(spark):
+    """Tiles of 5 cells with their halos give what one tile of the whole level gives, and no group of them holds a level."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(23, 31)), rng.normal(size=(23, 31))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:4, :9] = np.nan
+    rows = [(g, i - 7, j + 40, float(v) + g, float(y[i, j])) for g in (0, 1) for (i, j), v in np.ndenumerate(x) if not (i > 18 and j > 25)]
+    df = spark.createDataFrame(rows, "g int, i int, j int, x double, y double")
+    key = lambda r: tuple(r[c] for c in ("g", "i", "j"))
+    small, whole = ({key(r): math.nan if r["x"] is None else r["x"] for r in grid.smooth(df, ["g"], "i", "j", "x", 0.8, tile=t).collect()} for t in (5, 1000))
+    assert small.keys() == whole.keys() and len(whole) == len(rows)
+    assert all(math.isnan(whole[k]) if math.isnan(a) else math.isclose(a, whole[k], rel_tol=1e-9, abs_tol=1e-12) for k, a in small.items())
+    small, whole = ({r["g"]: (r["ssim"], r["n"]) for r in similarity.ssim(df, ["g"], "i", "j", 0.8, tile=t).collect()} for t in (5, 1000))
+    assert all(math.isclose(small[g][0], whole[g][0], rel_tol=1e-9) and small[g][1] == whole[g][1] == sum(not math.isnan(r[3]) for r in rows if r[0] == g) for g in (0, 1))
+    sent = grid.tiles(df, ["g"], "i", "j", 3, 5)
+    assert sent.groupBy("g", "_ti", "_tj").count().agg({"count": "max"}).first()[0] <= 11 * 11
+    assert sent.filter("floor(i / 5) = _ti and floor(j / 5) = _tj").count() == len(rows)
+
+
+def test_lower_envelopes():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x = np.sort(rng.choice(40, rng.integers(1, 12), replace=False)).astype(float)
+        h, at = rng.integers(0, 60, len(x)).astype(float), np.arange(-3.0, 45)
+        best, low = grid.lower_envelope(x, h, at)
+        all_ = (at[:, None] - x) ** 2 + h
+        assert (low == all_.min(axis=1)).all() and (best == all_.argmin(axis=1)).all()
+
+
 def test_similarity_of_profiles(spark):
     rng = np.random.default_rng(8)
     x, y = rng.normal(size=12), rng.normal(size=12)
