@@ -9,8 +9,9 @@ by c / (5 - c) at least, so a whole copy collides with probability 1 - (3/4)^48,
 1 - (1 - 0.8/4.2)^48, over 0.9999 (a template of one shingle in a window of eight: over 0.998). Verification is exact:
 the share of the template's distinct shingles that the window holds must reach CONTAINMENT.
 
-Matches of a template that overlap are one, that of the largest containment. Where templates share most of their
-shingles, a match that overlaps one of more shingles is left out: a text of three clauses is not also one of two.
+Overlapping windows of a template are one region, in which each copy is placed by itself: spans of the template's
+length first, then a quarter longer, then up to a window's, each time those of the largest containment that no copy
+before them holds, and that agree with the template in most places. So copies next to each other are rows of their own. Where templates share most of their shingles, a match that overlaps one of more shingles is left out: a text of three clauses is not also one of two.
 
 Defined results: null, empty and short texts (under five tokens) hold nothing; rows repeated with one id each get
 their own result rows; templates of equal text are all reported; an empty table gives an empty result; other columns
@@ -91,10 +92,11 @@ def shingles(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Templates by number: name, distinct shingles, number of tokens; the bands of each class; which other templates share most of each."""
+    """Templates by number: name, distinct shingles, all shingles in order, number of tokens; the bands of each class; which other templates share most of each."""
 
     names: list[str]
     sets: list[np.ndarray]
+    runs: list[np.ndarray]
     sizes: list[int]
     wanted: dict[int, dict[tuple[int, int], list[int]]]  # class (windows of 2^class blocks) -> band and minimum -> templates
     bits: np.ndarray  # of the low 16 bits of all shingles
@@ -116,10 +118,11 @@ def window_class(size: int) -> int:
 
 def index(templates: Mapping[str, str] = TEMPLATES) -> Index:
     cache: dict[bytes, int] = {}
-    out = Index([], [], [], defaultdict(lambda: defaultdict(list)), np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool), [])
+    out = Index([], [], [], [], defaultdict(lambda: defaultdict(list)), np.zeros(65536, dtype=bool), np.zeros(65536, dtype=bool), [])
     for name, text in sorted(templates.items()):
         words = tokens(text)
-        s = np.unique(shingles(token_hashes(words, cache)))
+        run = shingles(token_hashes(words, cache))
+        s = np.unique(run)
         if not len(s):
             raise ValueError(f"template {name} has fewer than {SHINGLE} tokens")
         k = window_class(len(words))
@@ -130,6 +133,7 @@ def index(templates: Mapping[str, str] = TEMPLATES) -> Index:
         out.bits[(s & np.uint64(0xFFFF)).astype(np.int64)] = True
         out.names.append(name)
         out.sets.append(s)
+        out.runs.append(run)
         out.sizes.append(len(words))
     for k, s in enumerate(out.sets):
         out.within.append({j for j, t in enumerate(out.sets) if j != k and np.isin(s, t).mean() >= CONTAINMENT / 1.25})
@@ -161,7 +165,7 @@ def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tu
     if not possible.any():  # no window can retrieve anything
         return []
     mins = minima(s)
-    found = []
+    found: dict[int, list[tuple[int, int]]] = defaultdict(list)
     size = 1  # blocks of which ``mins`` has the minima, starting at every ``size`` blocks' half
     level = mins
     for k in range(1, max(ix.classes) + 1):
@@ -177,26 +181,18 @@ def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tu
                 first = w * size * STEP
                 inside = s[first : first + STEP * 2**k]
                 for t in near:
-                    have = np.isin(inside, ix.sets[t])
-                    share = len(np.unique(inside[have])) / len(ix.sets[t])
-                    if share >= CONTAINMENT:
-                        at = np.flatnonzero(have)
-                        found.append((t, share, first + int(at[0]), int(at[-1] - at[0]) + SHINGLE))
+                    if len(np.unique(inside[np.isin(inside, ix.sets[t])])) >= CONTAINMENT * len(ix.sets[t]):
+                        found[t].append((first, first + len(inside)))
         if k < max(ix.classes):  # halves of the next class: disjoint pairs
             if len(level) % 2:
                 level = np.concatenate([level, level[-1:]])
             level = np.minimum(level[0::2], level[1::2])
             size *= 2
-    # overlapping windows see the same copy: of matches of one template that overlap, the best and first stays
     once: list[tuple[int, float, int, int]] = []
-    end = 0
-    for m in sorted(found, key=lambda m: (m[0], m[2], -m[3])):
-        if once and once[-1][0] == m[0] and m[2] < end:
-            once[-1] = max(once[-1], m, key=lambda x: (x[1], -x[3], -x[2]))
-            end = max(end, m[2] + m[3])
-        else:
-            once.append(m)
-            end = m[2] + m[3]
+    for t, windows in sorted(found.items()):
+        for lo, hi in _regions(windows):
+            have = lo + np.flatnonzero(np.isin(s[lo:hi], ix.sets[t]))
+            once += [(t, n / len(ix.sets[t]), int(a), int(z - a) + SHINGLE) for n, a, z in _copies(s, have, ix.runs[t], len(ix.sets[t]))]
     held: dict[int, list[tuple[int, float, int, int]]] = defaultdict(list)
     for m in once:
         held[m[0]].append(m)
@@ -205,6 +201,71 @@ def scan_text(ix: Index, words: list[bytes], cache: dict[bytes, int]) -> list[tu
     return sorted(kept, key=lambda m: (m[2], m[0]))
 
 
+def _regions(windows: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping windows joined, in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(windows):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def _copies(s: np.ndarray, at: np.ndarray, run: np.ndarray, distinct: int) -> list[tuple[int, int, int]]:
+    """(distinct shingles held, first and last place) of each copy of a template (its shingles in order: ``run``) among the places ``at`` of its shingles in ``s``; copies do not overlap.
+
+    Of spans that hold as many, the one that agrees with the template in most places comes first: where a template says
+    a thing twice, the end of one copy and the start of the next hold all of it too.
+    """
+    out: list[tuple[int, int, int]] = []
+    places: dict[int, list[int]] = defaultdict(list)
+    for k, x in enumerate(run.tolist()):
+        places[x].append(k)
+
+    def agreeing(a: int, z: int) -> int:
+        along = [(s[a : z + 1], run[k : k + z + 1 - a]) for k in places[int(s[a])]]
+        return max(int((x[: len(y)] == y).sum()) for x, y in along)
+
+    for width in (len(run), len(run) + len(run) // 4 + SHINGLE, 4 * len(run)):
+        while True:
+            new = []
+            for n, a, z in sorted(_spans(at, s[at], width, CONTAINMENT * distinct), key=lambda x: (-x[0], -agreeing(x[1], x[2]), x[2] - x[1], x[1])):
+                k = bisect.bisect_left(out, z + 1, key=lambda m: m[1])
+                if not (k and out[k - 1][2] >= a):
+                    out.insert(k, (n, a, z))
+                    new.append((a, z))
+            if not new:
+                break
+            free = np.ones(len(at), dtype=bool)
+            for a, z in new:
+                free &= (at < a) | (at > z)
+            at = at[free]
+    return out
+
+
+def _spans(at: np.ndarray, shingle: np.ndarray, width: int, least: float) -> list[tuple[int, int, int]]:
+    """From each place, what a span of up to ``width`` holds: distinct shingles and the last place that adds one; those of ``least`` or more."""
+    places, kinds = at.tolist(), shingle.tolist()
+    out, end = [], 0
+    count: dict[int, int] = defaultdict(int)
+    for k, a in enumerate(places):
+        while end < len(places) and places[end] < a + width:
+            count[kinds[end]] += 1
+            end += 1
+        if len(count) >= least:
+            last = end - 1
+            spare = dict.fromkeys(count, 0)
+            while count[kinds[last]] - spare[kinds[last]] > 1:  # it adds nothing
+                spare[kinds[last]] += 1
+                last -= 1
+            out.append((len(count), a, places[last]))
+        count[kinds[k]] -= 1
+        if not count[kinds[k]]:
+            del count[kinds[k]]
+    return out
+
+
 def _overlapping(matches: list[tuple[int, float, int, int]], of: tuple[int, float, int, int]) -> list[tuple[int, float, int, int]]:
     """Of one template's matches in their order, which do not overlap each other, those that overlap another match."""
     lo = bisect.bisect_right(matches, of[2], key=lambda m: m[2])

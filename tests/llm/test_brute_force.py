@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quakeframe.llm import decontamination, langid, license_scan, lm_score, mixing, secret_scan, simhash, toxicity, warc
-from quakeframe.llm.common import letters_in
+from quakeframe.llm.common import letters_in, row_hash
 from tests.compare import DATA
 from tests.llm.test_operators import _by_all_diagonals
 
@@ -98,6 +98,31 @@ def test_every_place_of_a_template_gives_one_row():
             assert [(ix.names[t], c, at, n) for t, c, at, n in license_scan.scan_text(ix, text, cache)] == [(name, 1.0, before, len(words))]
 
 
+def test_every_copy_of_a_template_gives_its_own_row():
+    """Two and three copies of every template, at gaps from none to 200 words, are rows of their own places, and nothing else is found."""
+    ix, cache = license_scan.index(), {}
+    for name in ix.names:
+        words = license_scan.tokens(license_scan.TEMPLATES[name])
+        for gap in (0, 1, 7, 40, 111, 200):
+            for copies in (2, 3):
+                text, want = [b"z%d" % k for k in range(13)], []
+                for c in range(copies):
+                    want.append((name, 1.0, len(text), len(words)))
+                    text = text + words + [b"y%d" % (1000 * c + k) for k in range(gap)]
+                assert [(ix.names[t], c, at, n) for t, c, at, n in license_scan.scan_text(ix, text, cache)] == want, (name, gap)
+
+
+def test_a_changed_copy_beside_a_whole_one():
+    ix, cache = license_scan.index(), {}
+    words = license_scan.tokens(license_scan.TEMPLATES["Apache-2.0-header"])
+    changed = [*words]
+    changed[40] = b"other"
+    for gap in (0, 3, 30):
+        text = [*changed, *[b"y%d" % k for k in range(gap)], *words, *words]
+        got = license_scan.scan_text(ix, text, cache)
+        assert [(at, n, c == 1.0) for _, c, at, n in got] == [(0, len(words), False), (len(words) + gap, len(words), True), (2 * len(words) + gap, len(words), True)]
+
+
 def test_changed_templates_are_found_and_others_are_not(spark):
     rng = random.Random(5)
     ix = license_scan.index()
@@ -406,3 +431,14 @@ def test_pipeline_of_an_empty_table_is_empty(spark, documents, tmp_path):
     for name in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_differ_in_a_map_alone_are_two_rows(spark):
+    """By entries, whatever their order, at any depth; both rows come out of the mix and of near-duplicates' identity."""
+    rows = [(1, "a b", "s", {"k": 1}, [{"x": {"y": "z"}}]), (1, "a b", "s", {"k": 2}, [{"x": {"y": "z"}}]), (1, "a b", "s", {"k": 2}, [{"x": {"y": None}}]), (1, "a b", "s", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, more map<string,int>, deep array<map<string,map<string,string>>>")
+    drawn = mixing.draw(docs, mixing.mix(docs)).select(F.struct("more", "deep").cast("string").alias("m")).distinct().collect()
+    assert len(drawn) == 4
+    assert simhash.keep_one(docs).count() == 1
+    both = spark.sql("select map('a', 1, 'b', 2) as m union all select map('b', 2, 'a', 1)")
+    assert len({r[0] for r in both.select(row_hash(both)).collect()}) == 1
