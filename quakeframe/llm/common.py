@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType
 
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` cuts UTF-8 text exactly so.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,9 +73,21 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def _hashable(value: Column, kind: DataType) -> Column:
+    """A value with its maps as entries in the order of their keys, at any depth."""
+    if "map<" not in kind.simpleString():
+        return value
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(_hashable(e["key"], kind.keyType).alias("key"), F.xxhash64(_hashable(e["value"], kind.valueType)).alias("value"), e["value"].isNull().alias("none")))
+        return F.array_sort(entries)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _hashable(x, kind.elementType))
+    return F.when(value.isNotNull(), F.struct(*[_hashable(value[f"`{f.name}`"] if "." in f.name else value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+
+
 def row_hash(df: DataFrame) -> Column:
-    """A hash of all columns of a row (maps aside): rows with one id and one hash are copies of each other."""
-    return F.xxhash64(*[c for c, f in zip(columns_of(df), df.schema.fields, strict=True) if "map<" not in f.dataType.simpleString()])
+    """A hash of all columns of a row: rows with one id and one hash are copies of each other. Maps are hashed by their entries in order."""
+    return F.xxhash64(*[_hashable(c, f.dataType) for c, f in zip(columns_of(df), df.schema.fields, strict=True)])
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
