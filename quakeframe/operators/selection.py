@@ -47,14 +47,21 @@ def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "la
 def farthest_points(df: DataFrame, key: str, n: int, score: str | None = None, lat: str = "lat", lon: str = "lon", seeds: DataFrame | None = None, weight: float = 1.0) -> DataFrame:
     """``n`` rows, each in turn the one of the largest distance to those before (plus ``weight`` x score); the first is the best-scored. Ties: the smaller key.
 
-    One aggregate a pick, which brings back one row; ``n`` is a small number such as a quota of events.
+    All ``seeds`` count as points before the first pick. One aggregate a pick, which brings back one row; ``n`` is a small number such as a quota of events.
     """
-    rows = stored(df.select(key, lat, lon, *([score] if score else [])), "farthest")
-    points = [(r["lat"], r["lon"]) for r in seeds.select("lat", "lon").limit(n).collect()] if seeds is not None else []
+    rows = df.select(key, lat, lon, *([score] if score else []))
+    if seeds is None:
+        rows = rows.withColumn("_seed", F.lit(None).cast("double"))
+    else:  # each row against all seeds, in blocks: the nearest one's distance stays
+        to = seeds.select(F.col("lat").alias("_slat"), F.col("lon").alias("_slon")).distinct()
+        near = rows.crossJoin(to).groupBy(key).agg(F.min(haversine_deg(lat, lon, F.col("_slat"), F.col("_slon"))).alias("_seed"))
+        rows = rows.join(near, key, "left")
+    rows = stored(rows, "farthest")
+    points: list[tuple] = []
     picks: list[tuple] = []
     value = F.col(score) * weight if score else F.lit(0.0)
     for k in range(n):
-        near = F.least(*[haversine_deg(lat, lon, a, b) for a, b in points]) if len(points) > 1 else haversine_deg(lat, lon, *points[0]) if points else F.lit(0.0)
+        near = F.coalesce(F.least(F.col("_seed"), F.lit(None).cast("double"), *[haversine_deg(lat, lon, a, b) for a, b in points]), F.lit(0.0))
         free = ~F.col(key).isin([p[0] for p in picks]) if picks else F.lit(True)
         best = rows.filter(free).agg(F.max_by(F.struct(key, lat, lon), F.struct(F.round(near + value, 9), -F.col(key))).alias("b"), F.max(near).alias("_d")).first()
         if best is None or best["b"] is None:

@@ -70,7 +70,7 @@ def waveform_coverage(files: DataFrame) -> DataFrame:
     return files.withColumns({"_key": key, "_ch": F.nullif(channel, F.lit(""))}).groupBy(F.col("folder").alias("event_id")).agg(F.count("*").alias("n_files"), F.count_distinct("_key").alias("n_stations"), F.count_distinct(F.substring_index("_key", ".", 1)).alias("n_networks"), F.count_distinct("_ch").alias("n_channels"))
 
 
-def naming_of(files: DataFrame, first: int = 20) -> str:
-    """Dialect of file names by the majority of the first ones: station-first where the first field has three characters or more."""
-    row = files.orderBy("name").limit(first).agg(F.count_if(F.length(F.substring_index("name", ".", 1)) >= 3).alias("s"), F.count("*").alias("n")).first()
+def naming_of(files: DataFrame) -> str:
+    """Dialect of file names by the majority of all: station-first where the first field has three characters or more."""
+    row = files.agg(F.count_if(F.length(F.substring_index("name", ".", 1)) >= 3).alias("s"), F.count("*").alias("n")).first()
     return "station_first" if row["n"] and row["s"] * 2 > row["n"] else "network_first"

@@ -224,3 +224,11 @@ def test_selections(spark):
     assert selection.weighted_sample(heavy, ["id"], F.col("w"), 20).filter("id < 20").count() >= 18
     keyed = df.withColumn("k", fusion.weighted_sample_key(F.col("score") + 1, "id"))
     assert keyed.filter("k is null or k > 0").count() == 0
+
+
+def test_picks_keep_away_from_all_seeds(spark):
+    """More seeds than picks: all of them count."""
+    df = spark.createDataFrame([(k, 0.0, 10.0 * k) for k in range(10)], "id long, lat double, lon double")
+    seeds = spark.createDataFrame([(0.0, 0.0), (0.0, 90.0), (0.0, 90.0)], "lat double, lon double")
+    assert [r["id"] for r in selection.farthest_points(df, "id", 1, seeds=seeds).collect()] == [4]
+    assert [r["id"] for r in selection.farthest_points(df, "id", 1, seeds=seeds.limit(0)).collect()] == [0]
