@@ -17,6 +17,7 @@ piece. Further columns are left out.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -40,6 +41,11 @@ SIZES = np.concatenate([np.arange(1, 257), np.arange(260, 1025, 4), np.arange(10
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, k long"
 
 
+def _ends_in_letter(word: str) -> bool:
+    """Whether a word ends in a letter once the tokenizer has composed it and put it into lower case."""
+    return word[-1:].isalpha() if word.isascii() else unicodedata.normalize("NFC", word).lower()[-1].isalpha()
+
+
 class WordIds(dict):
     """Ids of a word (a run without ASCII white space) as little-endian unsigned integers of 32 bits.
 
@@ -83,7 +89,7 @@ class WordIds(dict):
         for w in words:
             if w not in self:
                 head = w.rstrip(self.MARKS)
-                heads[w] = head if head and head[-1].isalpha() else w
+                heads[w] = head if _ends_in_letter(head) else w
         parts = set(heads.values()).union(w[len(h) :] for w, h in heads.items() if len(w) > len(h)).difference(self)
         if parts:
             self._encode(sorted(parts))
@@ -143,6 +149,27 @@ def pieces(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     return stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, LENGTH, end), _PIECE), "packing-pieces")
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product in this thread alone: the library's threads would wait for each other beside Spark's."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, each time with the largest entry of the column, in this thread alone."""
+    a, out = matrix.copy(), np.eye(len(matrix))
+    for k in range(len(a)):
+        at = k + int(np.abs(a[k:, k]).argmax())
+        a[[k, at]], out[[k, at]] = a[[at, k]], out[[at, k]]
+        scale = a[k, k]
+        a[k], out[k] = a[k] / scale, out[k] / scale
+        way = a[:, k].copy()
+        way[k] = 0
+        rows = np.flatnonzero(way)
+        a[rows] -= way[rows, None] * a[k]
+        out[rows] -= way[rows, None] * out[k]
+    return out
+
+
 class _Program:
     """Least sequences over ``demand`` (how often each of ``sizes``, ascending, is wanted): a revised simplex that prices patterns by a knapsack."""
 
@@ -194,7 +221,7 @@ class _Program:
         return float(best[-1]), out
 
     def pivot(self, column: np.ndarray, cost: float, amount: np.ndarray) -> None:
-        way = self.inverse @ column
+        way = _times(self.inverse, column)
         ratio = np.where(way > 1e-7, amount / np.where(way > 1e-7, way, 1), np.inf)
         out = int(np.where(ratio <= ratio.min() * (1 + 1e-9) + 1e-9, way, 0).argmax())  # of those that leave first, the safest to divide by
         self.basis[:, out], self.cost[out] = column, cost
@@ -204,29 +231,30 @@ class _Program:
 
     def solve(self, gap: float, pivots: int) -> tuple[np.ndarray, np.ndarray]:
         """Patterns (rows) and how often to use each, in fractions: after any number of pivots they cover the demand."""
-        pool, least = self._filled(), self.sizes @ self.demand / self.capacity
+        pool, least = self._filled(), float((self.sizes * self.demand).sum()) / self.capacity
         for turn in range(pivots):
-            if turn % 50 == 49:
-                self.inverse = np.linalg.inv(self.basis)
-            amount, price = np.maximum(self.inverse @ self.demand, 0), self.cost @ self.inverse
-            total = amount @ self.cost
-            if total <= max((1 + gap) * least, np.ceil(least)):  # no whole number of sequences lies between
+            stale = turn % 250 == 249
+            if turn % 50 == 49 and np.abs(_times(self.basis, _times(self.inverse, self.demand)) - self.demand).max() > 1e-6:
+                self.inverse = _inverse(self.basis)
+            amount, price = np.maximum(_times(self.inverse, self.demand), 0), _times(self.inverse.T, self.cost)
+            total = float((amount * self.cost).sum())
+            if total <= max((1 + gap) * least, np.ceil(least - 1e-6)):  # no whole number of sequences lies between
                 break
             if price.min() < -1e-6:  # a class wanted less than it is cut: its surplus enters
                 self.pivot(-np.eye(1, len(price), int(price.argmin()))[0], 0.0, amount)
                 continue
-            worth = pool @ price
-            if worth.max() <= 1 + 1e-6:
+            worth = _times(pool, price)
+            if worth.max() <= 1 + 1e-6 or stale:  # now and then for the bound alone
                 top, found = self.knapsack(price)
                 least = max(least, total / max(top, 1))
-                worth = found @ price
+                worth = _times(found, price)
                 if worth.max() <= 1 + 1e-6:
                     break
-                pool = np.unique(np.concatenate([pool[pool @ price > 0.98], found[worth > 1 + 1e-6]]), axis=0)
-                worth = pool @ price
+                pool = np.unique(np.concatenate([pool[_times(pool, price) > 0.98], found[worth > 1 + 1e-6]]), axis=0)
+                worth = _times(pool, price)
             self.pivot(pool[int(worth.argmax())].astype(float), 1.0, amount)
         used = self.cost > 0
-        return self.basis[:, used].T.round().astype(int), np.maximum(self.inverse @ self.demand, 0)[used]
+        return self.basis[:, used].T.round().astype(int), np.maximum(_times(self.inverse, self.demand), 0)[used]
 
 
 def _best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[np.ndarray]:

@@ -204,16 +204,22 @@ def test_words_give_the_tokenizers_ids(monkeypatch):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_patterns_cover_the_demand(seed):
-    """Every class has room, no sequence is over its length, and few are more than the lower bound."""
+    """Every class has room, no sequence is over its length, the program is at its bound and rounding adds a sequence for each class at most."""
     rng = np.random.default_rng(seed)
     sizes = np.sort(rng.choice(np.arange(1, 100), 12, replace=False))
     demand = rng.integers(1, 400, 12)
     plan = packing.patterns(sizes, demand, 100)
     assert all(row @ sizes <= 100 for _, row in plan)
     assert (sum(n * row for n, row in plan) >= demand).all()
-    fits = sizes[None, :] + sizes[:, None] <= 100
-    least = max(int(np.ceil(sizes @ demand / 100)), int(demand[~fits.any(axis=0)].sum()), int(demand[sizes > 50].sum()))
-    assert sum(n for n, _ in plan) <= least * 1.04 + 4
+    program = packing._Program(sizes, demand, 100)
+    rows, amount = program.solve(packing.GAP, packing.PIVOTS)
+    assert (amount @ rows >= demand - 1e-6).all()
+    price, best = program.cost @ program.inverse, [0.0] * 101
+    for c in range(1, 101):
+        best[c] = max([best[c - 1], *[best[c - s] + price[k] for k, s in enumerate(sizes) if s <= c]])
+    bound = max(price @ demand / max(best[-1], 1), np.ceil(sizes @ demand / 100) / (1 + packing.GAP))
+    assert price.min() > -1e-6 and amount.sum() <= bound * (1 + packing.GAP) + 1e-6
+    assert sum(n for n, _ in plan) <= amount.sum() + len(sizes)
 
 
 def test_places_of_ranks():
