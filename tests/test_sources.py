@@ -107,7 +107,7 @@ def test_text_models(spark, tmp_path):
     got = models.read_by_file(spark, str(tmp_path / "by"), "M", ["longitude", "latitude", "vs"], "depth", r"_(\d+)km")
     assert {(r["depth"], r["vs"]) for r in got.collect()} == {(10.0, 1.0), (20.0, 2.0)}
     with pytest.raises(ValueError):
-        models.read_model(spark, "hdf5", "x")
+        models.read_model(spark, "grib", "x")
     csv = writers.voxel_csv(spark.createDataFrame([(1.0, 2.0, 3.0, 4.0, None), (1.0, 2.0, 4.0, None, None)], "latitude double, longitude double, depth double, vs double, vp double"), ["vs", "vp"]).collect()
     assert [(r["vs"], r["vp"]) for r in csv] == [("4.000000", "nan")]
 
