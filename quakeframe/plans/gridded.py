@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quakeframe.operators import clustering, fusion, grid, similarity, waveform
+from quakeframe.operators import clustering, fusion, grid, linkage, similarity, waveform
 from quakeframe.plans.registry import n, query, r
 
 CELL = ["ilat", "ilon", "depth"]
@@ -80,3 +80,30 @@ def trace_measures(t):
     """Time shift, correlations and misfit of each trace against a louder copy."""
     traces = t("emb").withColumn("test", F.transform("embedding", lambda x: x * 1.1))
     return waveform.measure_pairs(traces, ["vec_id"], "embedding", "test", 1.0, 10.0)
+
+
+def points_of(t):
+    """Voxels with a number of their own and their value on the scale of a cell."""
+    number = F.col("depth").cast("long") * 12 + F.col("ilon") * 60 + F.col("ilat") * 3 + F.col("m")
+    return t("vox").select("m", number.cast("long").alias("voxel"), "ilat", "ilon", (F.col("v") * 10).alias("level"))
+
+
+@query("""with p as (select m, cast(depth * 12 + ilon * 60 + ilat * 3 + m as bigint) as voxel, ilat, ilon, v * 10 as level from vox where v is not null),
+d as (select a.m, a.voxel, sqrt((a.ilat - b.ilat) * (a.ilat - b.ilat) + (a.ilon - b.ilon) * (a.ilon - b.ilon) + (a.level - b.level) * (a.level - b.level)) as d from p a join p b on a.m = b.m),
+k as (select m, voxel, d, row_number() over (partition by m, voxel order by d) as k, count(*) over (partition by m, voxel) as n from d)
+select m, voxel, round(d, 6) + 0.0 as core from k where k = least(11, n)""")
+def voxel_cores(t):
+    """How far each voxel's tenth other voxel of its model is, in cells and tenths of the value: the radius that its density is taken in."""
+    return linkage.neighbour_distance(points_of(t), "voxel", ["ilat", "ilon", "level"], 10, ["m"]).select("m", "voxel", r("core").alias("core"))
+
+
+@query()
+def voxel_density(t):
+    """Density clusters of each model's voxels."""
+    return linkage.density_clusters(points_of(t), "voxel", ["ilat", "ilon", "level"], ["m"], least_size=20, samples=5)
+
+
+@query()
+def voxel_ward(t):
+    """Six clusters of each model's voxels by Ward's merges."""
+    return linkage.ward_clusters(points_of(t), "voxel", ["ilat", "ilon", "level"], 6, ["m"])
