@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quakeframe.operators import clustering, fusion, grid, linkage, similarity, waveform
+from quakeframe.operators import clustering, fusion, grid, linkage, reference, similarity, waveform
 from quakeframe.plans.registry import n, query, r
 
 CELL = ["ilat", "ilon", "depth"]
@@ -107,3 +107,18 @@ def voxel_density(t):
 def voxel_ward(t):
     """Six clusters of each model's voxels by Ward's merges."""
     return linkage.ward_clusters(points_of(t), "voxel", ["ilat", "ilon", "level"], 6, ["m"])
+
+
+@query("""with k as (select m, depth as z, case when ilat < 10 then 0 else 1 end as s, avg(v) as x from vox where v is not null group by 1, 2, 3),
+i as (select m, z as z0, x as v0, lead(z) over (partition by m order by z, s) as z1, lead(x) over (partition by m order by z, s) as v1 from k),
+b as (select m, min(z) as zf, max(z) as zl, arg_min(x, z * 2 + s) as vf, arg_max(x, z * 2 + s) as vl from k group by m),
+p as (select event_id, cast(event_id % 3 as int) as m, depth as z from evt)
+select p.event_id, round(coalesce(u.v0 + (p.z - u.z0) / (u.z1 - u.z0) * (u.v1 - u.v0), case when p.z <= b.zf then b.vf else b.vl end), 6) as above, round(coalesce(l.v0 + (p.z - l.z0) / (l.z1 - l.z0) * (l.v1 - l.v0), case when p.z < b.zf then b.vf else b.vl end), 6) as below
+from p join b using (m) left join i u on u.m = p.m and u.z1 > u.z0 and p.z > u.z0 and p.z <= u.z1 left join i l on l.m = p.m and l.z1 > l.z0 and p.z >= l.z0 and p.z < l.z1""")
+def reference_sides(t):
+    """Each event's value in the column of a model, on both sides of the interface that every level is."""
+    side = F.when(F.col("ilat") < 10, 0).otherwise(1)
+    column = t("vox").filter(F.col("v").isNotNull()).groupBy("m", "depth", side.alias("side")).agg(F.avg("v").alias("below")).withColumn("above", F.col("below"))
+    events = t("evt").select("event_id", (F.col("event_id") % 3).cast("int").alias("m"), "depth")
+    both = reference.at_depth(reference.at_depth(events, column, ["m"], "depth", ["above"], below=False), column, ["m"], "depth", ["below"])
+    return both.select("event_id", r("above").alias("above"), r("below").alias("below"))
