@@ -41,6 +41,11 @@ def unit_hash(*keys: Num, seed: int = 42) -> Column:
     return (F.pmod(F.xxhash64(*[col(k) for k in keys], F.lit(seed)), F.lit(2**53 - 1).cast("long")).cast("double") + 1.0) / float(2**53)
 
 
+def nearest_second(time: Num) -> Column:
+    """Whole seconds since 1970 that a timestamp is nearest to (halves: the even one)."""
+    return F.rint(F.unix_micros(col(time).cast("timestamp")) / 1e6).cast("long")
+
+
 def ramp(x: Num, start: Num, end: Num) -> Column:
     """Raised-cosine ramp from 0 at ``start`` to 1 at ``end``."""
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (col(x) - col(start)) / (col(end) - col(start))))

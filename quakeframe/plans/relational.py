@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quakeframe.functions.numeric import nearest_second
 from quakeframe.operators import aggregates as agg
 from quakeframe.operators import joins, selection, windows
 from quakeframe.plans.registry import n, query, r
@@ -17,7 +18,7 @@ p as (select lid, rid, value, row_number() over (partition by lid order by abs(r
 select l.lid, p.rid, round(p.value, 6) + 0.0 as value from l left join (select * from p where k = 1) p on l.lid = p.lid""")
 def join_as_of(t):
     """Nearest row in time by key, ten hours away at most."""
-    e = t("ev").withColumn("s", F.unix_timestamp("ts"))
+    e = t("ev").withColumn("s", nearest_second("ts"))
     left = e.filter("event_id % 7 = 0").select(F.col("event_id").alias("lid"), "user_id", F.col("s").alias("lt"))
     right = e.filter("event_id % 7 <> 0").select("user_id", F.col("event_id").alias("rid"), F.col("s").alias("rt"), "value")
     return joins.as_of(left, right, ["user_id"], "lt", "rt", "rid", 36000).select("lid", "rid", r("value").alias("value"))
