@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,16 +26,17 @@ STANDINS = {
     "cust": "select * from {customer}",
 }
 
+#: A division in that SQL: DuckDB divides doubles where Spark divides decimals, and thresholds tell the two apart.
+DIVISOR = re.compile(r"/ (\d+\.\d+)\b")
+
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stand-in table."""
-    import re
-
+    """A stand-in table, its numbers divided as doubles."""
     base = set(re.findall(r"{(\w+)}", STANDINS[name]))
-    return spark.sql(STANDINS[name], **{b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in base})
+    return spark.sql(DIVISOR.sub(r"/ \1D", STANDINS[name]), **{b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in base})
 
 
 def query(sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -48,8 +50,6 @@ def query(sql: str | None = None) -> Callable[[Callable], Callable]:
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            import re
-
             used = [n for n in STANDINS if re.search(rf"\b{n}\b", sql)]
             views = ", ".join(f"{n} as ({STANDINS[n].replace('{', '').replace('}', '')})" for n in used)
             head = re.match(r"\s*with( recursive)?\s", sql)

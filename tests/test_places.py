@@ -48,3 +48,11 @@ def test_seconds_are_rounded(spark):
     at = [base + datetime.timedelta(microseconds=m) for m in (0, 499_999, 500_000, 500_001, 1_500_000, 2_500_000)]
     df = spark.createDataFrame([(t,) for t in at], "t timestamp_ntz")
     assert [r["s"] - 1704067200 for r in df.select(nearest_second("t").alias("s")).collect()] == [0, 0, 0, 1, 2, 2]
+
+
+@pytest.mark.parametrize("name, columns", [("vox", "m, ilat, ilon, depth, v"), ("station", "sta, lat, lon"), ("evt", "event_id, lat, lon, mag")])
+def test_stand_ins_are_equal_to_the_last_bit(spark, name, columns):
+    sql = registry.STANDINS[name].replace("{", "").replace("}", "")
+    want = sorted(connection("sf0.1").execute(f"select {columns} from ({sql}) t where v is not null" if name == "vox" else f"select {columns} from ({sql}) t").fetchall())
+    got = registry.table(spark, f"{DATA}/sf0.1", name).selectExpr(*columns.split(", "))
+    assert sorted(map(tuple, (got.filter("v is not null") if name == "vox" else got).collect())) == want
