@@ -32,9 +32,19 @@ def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str,
 
 
 def match_in_hour(left: DataFrame, right: DataFrame, by: Sequence[str], left_minute: str, right_minute: str, right_key: str, tolerance: int, left_key: str) -> DataFrame:
-    """Equi-join on keys that end with the hour, minutes within a tolerance, the nearest taken (ties: the smaller key). Matches do not cross the hour."""
+    """Equi-join on keys that end with the hour, minutes within a tolerance, the nearest taken (ties: the smaller key). Matches do not cross the hour.
+
+    A partner depends on keys and minute alone, and of one minute's right rows only that of the smallest key can be
+    taken: minutes meet, at most sixty on either side of an hour, and rows are joined with what their minute found.
+    """
+    rest = [c for c in right.columns if c not in by]
     gap = F.abs(F.col(left_minute) - F.col(right_minute))
-    pairs = left.join(right, list(by)).filter(gap <= tolerance)
+    firsts = right.groupBy(*by, F.col(right_minute).alias("_minute")).agg(F.min_by(F.struct(*rest), right_key).alias("_m"))
+    asked = left.select(*by, left_minute).distinct()
+    away = F.abs(F.col(left_minute) - F.col("_minute"))
+    near = asked.join(firsts, list(by)).filter(away <= tolerance)
+    best = near.groupBy(*by, left_minute).agg(F.min_by("_m", F.struct(away.alias("gap"), F.col(f"_m.{right_key}").alias("k"))).alias("_m"))
+    pairs = left.join(best, [*by, left_minute]).select(*by, *[c for c in left.columns if c not in by], *[F.col(f"_m.{c}").alias(c) for c in rest])
     rank = F.row_number().over(Window.partitionBy(left_key).orderBy(gap, F.col(right_key)))
     return pairs.withColumn("_r", rank).filter("_r = 1").drop("_r")
 

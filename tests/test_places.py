@@ -43,6 +43,19 @@ def both(spark):
     return a, b, left, right, near
 
 
+def test_match_by_minute(spark):
+    a = [(k, k % 3, k * 7 % 20) for k in range(200)]
+    b = [(k + 500, k % 3, k * 11 % 31) for k in range(300)]
+    left, right = spark.createDataFrame(a, "lid int, h int, mi int"), spark.createDataFrame(b, "rid int, h int, mj int")
+    got = joins.match_in_hour(left, right, ["h"], "mi", "mj", "rid", 2, "lid")
+    want = {}
+    for lid, h, mi in a:
+        near = [(abs(mi - mj), rid, mj) for rid, g, mj in b if g == h and abs(mi - mj) <= 2]
+        if near:
+            want[lid] = min(near)[1:]
+    assert {r["lid"]: (r["rid"], r["mj"]) for r in got.collect()} == want and got.columns == ["h", "lid", "mi", "rid", "mj"]
+
+
 def test_seconds_are_rounded(spark):
     base = datetime.datetime(2024, 1, 1)
     at = [base + datetime.timedelta(microseconds=m) for m in (0, 499_999, 500_000, 500_001, 1_500_000, 2_500_000)]
