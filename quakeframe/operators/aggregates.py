@@ -18,6 +18,15 @@ def weighted_mean(value: Num, weight: Num) -> Column:
     return ratio(F.sum(w * v), F.sum(w))
 
 
+def weighted_spread(df: DataFrame, group: Sequence[str], value: str, count: str) -> DataFrame:
+    """n, mean and sd (of all, about the mean) of values that occur ``count`` times each."""
+    g = Window.partitionBy(*group)
+    n = F.sum(count).over(g)
+    about = df.withColumn("_mean", F.sum(F.col(value) * F.col(count)).over(g) / n)
+    off = F.col(value) - F.col("_mean")
+    return about.groupBy(*group).agg(F.sum(count).alias("n"), F.first("_mean").alias("mean"), F.sqrt(F.sum(off * off * F.col(count)) / F.sum(count)).alias("sd"))
+
+
 def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str, out: str = "wmedian") -> DataFrame:
     """Lower weighted median: the first value at which the running weight reaches half of the total.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.geo import haversine_deg
-from quakeframe.functions.numeric import Num
+from quakeframe.functions.numeric import Num, clean
 
 
 def as_of(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, right_key: str, most: float, nearest: bool = True) -> DataFrame:
@@ -115,11 +115,18 @@ def cells(lat: Num, lon: Num, size: float) -> list[Column]:
     return [F.floor((col(lat) + 90.0) / size).cast("long"), F.floor(F.pmod(col(lon), F.lit(360.0)) / size).cast("long")]
 
 
-def spatial_pairs(left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str] = ("lat1", "lon1"), right_at: tuple[str, str] = ("lat2", "lon2")) -> DataFrame:
-    """All pairs within ``radius`` degrees, with ``distance``.
+def places(df: DataFrame, at: tuple[str, str], count: str | None = None) -> DataFrame:
+    """The different finite places of a table, with how many rows each has where ``count`` names a column for it."""
+    there = df.filter(clean(at[0]).isNotNull() & clean(at[1]).isNotNull())
+    return there.groupBy(*at).agg(F.count("*").alias(count)) if count else there.select(*at).distinct()
+
+
+def place_pairs(left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str] = ("lat1", "lon1"), right_at: tuple[str, str] = ("lat2", "lon2")) -> DataFrame:
+    """All pairs within ``radius`` degrees, with ``distance``, of tables with a row for each place (see ``places``).
 
     Points are filed in cells of the radius' size. A left point looks into the rows next to its own, and in each into
-    the columns that the radius can reach at that latitude (all of them near a pole), past the antimeridian too.
+    the columns that the radius can reach at that latitude (all of them near a pole), past the antimeridian too. Few
+    points make many pairs, so cells are dealt to all tasks, however few bytes they are.
     """
     columns = int(-(-360.0 // radius))
     row, column = cells(*left_at, radius)
@@ -131,32 +138,68 @@ def spatial_pairs(left: DataFrame, right: DataFrame, radius: float, left_at: tup
     r, c = cells(*right_at, radius)
     filed = right.withColumns({"_r": r, "_c": c})
     distance = haversine_deg(*left_at, *right_at)
-    return probe.join(filed, ["_r", "_c"]).withColumn("distance", distance).filter(F.col("distance") <= radius).drop("_r", "_c", "_row", "_col", "_reach")
+    return probe.repartition(tasks(left), "_r", "_c").join(filed, ["_r", "_c"]).withColumn("distance", distance).filter(F.col("distance") <= radius).drop("_r", "_c", "_row", "_col", "_reach")
+
+
+def tasks(df: DataFrame) -> int:
+    """Tasks of a shuffle; a number given to repartition keeps few bytes of much work from being put into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spatial_pairs(left: DataFrame, right: DataFrame, radius: float, left_at: tuple[str, str] = ("lat1", "lon1"), right_at: tuple[str, str] = ("lat2", "lon2")) -> DataFrame:
+    """All pairs within ``radius`` degrees, with ``distance``: places are compared once, and each pair of them is joined with its rows on both sides."""
+    near = place_pairs(places(left, left_at), places(right, right_at), radius, left_at, right_at)
+    one = near.repartition(tasks(left), *left_at).join(left, list(left_at))
+    both = one.repartition(tasks(left), *right_at).join(right, list(right_at))
+    return both.select(*left.columns, *right.columns, "distance")
+
+
+def _nearest(left: DataFrame, right: DataFrame, right_key: str, k: int, radius: float, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
+    """The ``k`` nearest right rows of each place of the left rows: the place, the right columns, distance and rank.
+
+    Of the rows of one place those of the ``k`` smallest keys can be among the nearest, no others.
+    """
+    there = right.filter(clean(right_at[0]).isNotNull() & clean(right_at[1]).isNotNull())
+    first = there.withColumn("_k", F.row_number().over(Window.partitionBy(*right_at).orderBy(right_key))).filter(F.col("_k") <= k).drop("_k")
+    near = place_pairs(places(left, left_at), places(right, right_at), radius, left_at, right_at)
+    # the k nearest places hold the k nearest rows, with all other places that are as far as the last of them
+    order = Window.partitionBy(*left_at).orderBy("distance")
+    near = near.withColumn("_p", F.rank().over(order)).filter(F.col("_p") <= k).drop("_p")
+    rows = near.join(first, list(right_at)).select(*left_at, *right.columns, "distance")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*left_at).orderBy("distance", right_key))).filter(F.col("rank") <= k)
 
 
 def knn(left: DataFrame, right: DataFrame, left_key: str, right_key: str, k: int, radius: float, left_at: tuple[str, str] = ("lat1", "lon1"), right_at: tuple[str, str] = ("lat2", "lon2")) -> DataFrame:
-    """The k nearest right points of each left one within ``radius`` degrees, with distance and rank (ties: the smaller key)."""
-    pairs = spatial_pairs(left, right, radius, left_at, right_at)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(left_key).orderBy("distance", right_key))).filter(F.col("rank") <= k)
+    """The k nearest right points of each left one within ``radius`` degrees, with distance and rank (ties: the smaller key).
+
+    They are found once for each place of the left points, whose rows then join theirs; ``left_key`` names the rows.
+    """
+    near = _nearest(left, right, right_key, k, radius, left_at, right_at)
+    return left.join(near, list(left_at)).select(*left.columns, *right.columns, "distance", "rank")
 
 
 def idw(left: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, k: int = 8, radius: float = 1.5, power: float = 2.0, left_at: tuple[str, str] = ("lat1", "lon1"), right_at: tuple[str, str] = ("lat2", "lon2")) -> DataFrame:
-    """Inverse-distance mean of the k nearest values; a point at zero distance counts alone; null where none is near."""
-    near = knn(left, right.filter(F.col(value).isNotNull()), left_key, right_key, k, radius, left_at, right_at)
+    """Inverse-distance mean of the k nearest values; a point at zero distance counts alone; null where none is near. A mean for each place of the left points, which ``left_key`` names."""
+    near = _nearest(left, right.filter(F.col(value).isNotNull()), right_key, k, radius, left_at, right_at)
     w = F.when(F.col("distance") > 1e-9, F.pow(F.col("distance"), F.lit(-power)))
     hit = F.max(F.when(F.col("distance") <= 1e-9, F.col(value)))
-    mean = near.groupBy(left_key).agg(F.coalesce(hit, F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.count("*").alias("n_near"))
-    return left.join(mean, left_key, "left")
+    mean = near.groupBy(*left_at).agg(F.coalesce(hit, F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.count("*").alias("n_near"))
+    return left.join(mean, list(left_at), "left").select(*left.columns, value, "n_near")
+
+
+def not_near(df: DataFrame, spots: DataFrame, at: tuple[str, str], spot_at: tuple[str, str], radius: float) -> DataFrame:
+    """Rows without a spot within ``radius`` degrees: places near one are found once each."""
+    there = spots.select(F.col(spot_at[0]).alias("_elat"), F.col(spot_at[1]).alias("_elon"))
+    near = place_pairs(places(df, at), places(there, ("_elat", "_elon")), radius, at, ("_elat", "_elon")).select(*at).distinct()
+    return df.join(near, list(at), "left_anti").select(*df.columns)
 
 
 def exclude_near(df: DataFrame, excluded: DataFrame, key: str, at: tuple[str, str], excluded_at: tuple[str, str], radius: float, names: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """Anti-join by any of several equal columns or by distance; each condition is an equi-join of its own."""
+    """Anti-join by any of several equal columns or by distance; each condition is an equi-join of its own. ``key`` names the rows."""
     out = df
     for mine, theirs in names:
         out = out.join(excluded.select(F.col(theirs).alias(mine)).filter(F.col(mine).isNotNull()), mine, "left_anti")
-    spots = excluded.select(F.col(excluded_at[0]).alias("_elat"), F.col(excluded_at[1]).alias("_elon"))
-    near = spatial_pairs(out.select(key, *at), spots, radius, at, ("_elat", "_elon")).select(key).distinct()
-    return out.join(near, key, "left_anti").select(*df.columns)
+    return not_near(out, excluded, at, excluded_at, radius).select(*df.columns)
 
 
 def catalog_diff(ours: DataFrame, theirs: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -40,9 +40,11 @@ def event_station_metrics(t):
     """Stations about each large event: their number, azimuthal gap and a score of both spreads."""
     e = t("evt").filter("mag >= 6.5").select("event_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     s = t("station").select("sta", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    near = joins.spatial_pairs(e, s, 8.0).withColumn("az", geo.azimuth_deg("lat1", "lon1", "lat2", "lon2"))
-    gap = windows.azimuthal_gap(near, ["event_id"], "az").select("event_id", "gap")
-    m = near.groupBy("event_id").agg(n(F.count("*")).alias("n"), F.stddev_pop("distance").alias("sd"), F.avg("distance").alias("mean")).join(gap, "event_id")
+    # all that is asked depends on the place of an event; stations of one place are as many rows of one distance
+    at = ["lat1", "lon1"]
+    near = joins.place_pairs(joins.places(e, ("lat1", "lon1")), joins.places(s, ("lat2", "lon2"), "c"), 8.0).withColumn("az", geo.azimuth_deg("lat1", "lon1", "lat2", "lon2"))
+    gap = windows.azimuthal_gap(near, at, "az").select(*at, "gap")
+    m = agg.weighted_spread(near, at, "distance", "c").join(gap, at).join(e, at)
     score = (seismic.gap_score("gap", "n") + seismic.spread_score("sd", "mean", "n")) / 2.0
     return m.filter("n >= 3").select("event_id", "n", r("gap", 5).alias("gap"), r(score, 5).alias("score"))
 

@@ -43,6 +43,49 @@ def both(spark):
     return a, b, left, right, near
 
 
+def test_pairs_of_copies(both):
+    a, b, left, right, near = both
+    got = {(r["id"], r["sta"]): r["distance"] for r in joins.spatial_pairs(left, right, 3.0).collect()}
+    assert got.keys() == near.keys() and all(abs(got[k] - d) < 1e-9 for k, d in near.items()) and len(near) > 500
+
+
+def test_places_are_compared_once(spark, both):
+    _, _, left, right, _ = both
+    met = joins.place_pairs(joins.places(left, ("lat1", "lon1")), joins.places(right, ("lat2", "lon2"), "c"), 3.0)
+    assert met.count() <= len(SPOTS) ** 2 and {r["c"] for r in met.collect()} <= {11, 12}
+
+
+def test_nearest_of_copies(both):
+    a, b, left, right, near = both
+    got = {}
+    for r in joins.knn(left, right, "id", "sta", 15, 3.0).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["sta"]))
+    want = {}
+    for x in placed(a):
+        order = sorted((round(d, 9), s) for (i, s), d in near.items() if i == x[0])
+        want[x[0]] = [(n, s) for n, (_, s) in enumerate(order[:15], 1)]
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+    means = {r["id"]: (r["v"], r["n_near"]) for r in joins.idw(left, right, "id", "sta", "v", 15, 3.0).collect()}
+    assert means.keys() == {x[0] for x in a} and means[60] == (None, None)
+    value = {y[0]: y[3] for y in b}
+    for k, found in want.items():
+        hit = [value[s] for _, s in found if near[k, s] <= 1e-9]
+        far = [(near[k, s] ** -2, value[s]) for _, s in found if near[k, s] > 1e-9]
+        mean = max(hit) if hit else sum(w * v for w, v in far) / sum(w for w, _ in far)
+        assert means[k][1] == len(found) and abs(means[k][0] - mean) < 1e-9
+
+
+def test_spread_of_copies(both):
+    a, b, left, right, near = both
+    met = joins.place_pairs(joins.places(left, ("lat1", "lon1")), joins.places(right, ("lat2", "lon2"), "c"), 3.0)
+    got = {(r["lat1"], r["lon1"]): r for r in aggregates.weighted_spread(met, ["lat1", "lon1"], "distance", "c").collect()}
+    for x in placed(a):
+        d = [v for (i, _), v in near.items() if i == x[0]]
+        mean = sum(d) / len(d)
+        r = got[x[1], x[2]]
+        assert r["n"] == len(d) and abs(r["mean"] - mean) < 1e-9 and abs(r["sd"] - math.sqrt(sum((v - mean) ** 2 for v in d) / len(d))) < 1e-9
+
+
 def test_match_by_minute(spark):
     a = [(k, k % 3, k * 7 % 20) for k in range(200)]
     b = [(k + 500, k % 3, k * 11 % 31) for k in range(300)]
