@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakeframe.functions.geo import haversine_deg
-from quakeframe.functions.numeric import unit_hash
+from quakeframe.functions.numeric import clean, unit_hash
 from quakeframe.operators.common import stored
-from quakeframe.operators.joins import spatial_pairs
+from quakeframe.operators.joins import not_near, place_pairs, tasks
 
 
 def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "lat", lon: str = "lon", most: int | None = None, taken: DataFrame | None = None) -> DataFrame:
@@ -22,24 +22,27 @@ def spaced(df: DataFrame, key: str, priority: str, radius: float, lat: str = "la
     """
     rows = df.select(key, priority, lat, lon)
     if taken is not None:
-        near = spatial_pairs(rows.select(key, lat, lon), taken.select(F.col("lat").alias("_tlat"), F.col("lon").alias("_tlon")), radius, (lat, lon), ("_tlat", "_tlon"))
-        rows = rows.join(near.select(key).distinct(), key, "left_anti")
-    rows = stored(rows, "spaced-rows")
-    side = lambda s: rows.select(F.col(key).alias(f"k{s}"), F.col(priority).alias(f"p{s}"), F.col(lat).alias(f"lat{s}"), F.col(lon).alias(f"lon{s}"))
-    pairs = spatial_pairs(side(1), side(2), radius).filter(F.col("k1") != F.col("k2"))
+        rows = not_near(rows, taken, (lat, lon), ("lat", "lon"), radius)
+    # of the rows of one place only the first can be taken: what keeps it out keeps the others out, and else it does
+    there = rows.filter(clean(lat).isNotNull() & clean(lon).isNotNull() & F.col(priority).isNotNull() & F.col(key).isNotNull())
+    first = there.withColumn("_k", F.row_number().over(Window.partitionBy(lat, lon).orderBy(F.desc(priority), F.asc(key)))).filter("_k = 1").drop("_k")
+    rows, first = stored(rows, "spaced-rows"), stored(first, "spaced-places")
+    behind = first.select(lat, lon, F.col(key).alias("_first"))
+    out = there.join(behind, [lat, lon]).filter(F.col(key) != F.col("_first")).select(F.col(key).alias("x"))
+    side = lambda s: first.select(F.col(key).alias(f"k{s}"), F.col(priority).alias(f"p{s}"), F.col(lat).alias(f"lat{s}"), F.col(lon).alias(f"lon{s}"))
+    pairs = place_pairs(side(1), side(2), radius).filter(F.col("k1") != F.col("k2"))
     ahead = (F.col("p1") > F.col("p2")) | ((F.col("p1") == F.col("p2")) & (F.col("k1") < F.col("k2")))
     # an edge from each row to its neighbours that come after it
     edges = stored(pairs.filter(ahead).select(F.col("k1").alias("a"), F.col("k2").alias("b")), "spaced-edges")
-    out: DataFrame | None = None
     while True:  # each round settles at least the first of every chain of neighbours
         firsts = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         gone = stored(edges.join(firsts, "a").select(F.col("b").alias("x")).distinct(), "spaced-gone")
         if gone.isEmpty():
             break
-        out = gone if out is None else out.union(gone)
+        out = out.union(gone)
         left = edges.join(gone.withColumnRenamed("x", "a"), "a", "left_anti")
         edges = stored(left.join(gone.withColumnRenamed("x", "b"), "b", "left_anti").select("a", "b"), "spaced-edges")
-    kept = rows if out is None else rows.join(out.withColumnRenamed("x", key), key, "left_anti")
+    kept = rows.join(out.withColumnRenamed("x", key), key, "left_anti")
     result = df.join(kept.select(key), key, "left_semi")
     return result.orderBy(F.desc(priority), F.asc(key)).limit(most) if most is not None else result
 

@@ -86,6 +86,20 @@ def test_spread_of_copies(both):
         assert r["n"] == len(d) and abs(r["mean"] - mean) < 1e-9 and abs(r["sd"] - math.sqrt(sum((v - mean) ** 2 for v in d) / len(d))) < 1e-9
 
 
+def test_thinning_and_exclusion_of_copies(spark, both):
+    a, b, left, right, near = both
+    points = left.select("id", "p", "lat1", "lon1")
+    taken = []
+    for x in sorted(placed(a), key=lambda x: (-x[3], x[0])):
+        if all(distance(x, y) > 3 for y in taken):
+            taken.append(x)
+    got = {r["id"] for r in selection.spaced(points, "id", "p", 3.0, "lat1", "lon1").collect()}
+    assert got == {x[0] for x in taken} | {60, 61}  # rows without a place have no neighbour
+    spots = spark.createDataFrame([(10.5, 20.2), (None, 0.0)], "y double, x double")
+    kept = joins.exclude_near(left, spots, "id", ("lat1", "lon1"), ("y", "x"), 1.0)
+    assert {r["id"] for r in kept.collect()} == {x[0] for x in a if x not in placed(a) or distance(x, (0, 10.5, 20.2)) > 1} and kept.columns == left.columns
+
+
 def test_match_by_minute(spark):
     a = [(k, k % 3, k * 7 % 20) for k in range(200)]
     b = [(k + 500, k % 3, k * 11 % 31) for k in range(300)]
