@@ -84,15 +84,25 @@ def weighted_sample(df: DataFrame, keys: Sequence[str], weight: Column, n: int,
 
 
 def dense_groups(df: DataFrame, group: str, key: str, lat: str, lon: str, radius: float, least: int = 3, share: float = 0.6) -> DataFrame:
-    """Groups whose members have, on average, over ``share`` of the others within ``radius`` degrees (planar): group, n, density, is_dense."""
+    """Groups whose members have, on average, over ``share`` of the others within ``radius`` degrees (planar): group, n, density, is_dense.
+
+    Places of a group are compared once each and count as often as they have rows; rows of one key are then taken off again.
+    """
     from quakeframe.functions.geo import planar_degrees
 
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     side = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = df.select(group, F.col(key).alias("_k1"), F.col(lat).alias("_lat1"), F.col(lon).alias("_lon1"), cell(lat).alias("_r"), cell(lon).alias("_c"))
+    rows = df.filter(F.col(key).isNotNull() & clean(lat).isNotNull() & clean(lon).isNotNull())
+    spots = rows.groupBy(group, lat, lon).agg(F.count("*").alias("_n"))
+    of = lambda d, s, *more: d.select(group, *more, F.col("_n").alias(f"_n{s}"), F.col(lat).alias(f"_lat{s}"), F.col(lon).alias(f"_lon{s}"))
+    within = planar_degrees("_lat1", "_lon1", "_lat2", "_lon2") <= radius
+    a = of(spots, 1, cell(lat).alias("_r"), cell(lon).alias("_c"))
     a = a.withColumn("_o", F.explode(side)).withColumn("_r", F.col("_r") + F.col("_o")).withColumn("_o", F.explode(side)).withColumn("_c", F.col("_c") + F.col("_o")).drop("_o")
-    b = df.select(group, F.col(key).alias("_k2"), F.col(lat).alias("_lat2"), F.col(lon).alias("_lon2"), cell(lat).alias("_r"), cell(lon).alias("_c"))
-    near = a.join(b, [group, "_r", "_c"]).filter((F.col("_k1") != F.col("_k2")) & (planar_degrees("_lat1", "_lon1", "_lat2", "_lon2") <= radius)).groupBy(group).agg(F.count("*").alias("_near"))
+    b = of(spots, 2, cell(lat).alias("_r"), cell(lon).alias("_c"))
+    pairs = a.repartition(tasks(df), group, "_r", "_c").join(b, [group, "_r", "_c"]).filter(within).select(group, (F.col("_n1") * F.col("_n2")).alias("_near"))
+    own = rows.groupBy(group, key, lat, lon).agg(F.count("*").alias("_n"))
+    same = of(own, 1, key).join(of(own, 2, key), [group, key]).filter(within).select(group, (-F.col("_n1") * F.col("_n2")).alias("_near"))
+    near = pairs.unionByName(same).groupBy(group).agg(F.sum("_near").alias("_near"))
     n = df.groupBy(group).agg(F.count("*").alias("n")).join(near, group, "left")
     density = F.when(F.col("n") > 1, F.coalesce("_near", F.lit(0)) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
     return n.select(group, "n", density.alias("density"), ((F.col("n") >= least) & (density > share)).alias("is_dense"))

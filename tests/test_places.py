@@ -100,6 +100,17 @@ def test_thinning_and_exclusion_of_copies(spark, both):
     assert {r["id"] for r in kept.collect()} == {x[0] for x in a if x not in placed(a) or distance(x, (0, 10.5, 20.2)) > 1} and kept.columns == left.columns
 
 
+def test_density_of_copies(spark):
+    table = [(f"g{k % 2}", k % 70, *SPOTS[k * 3 % len(SPOTS)]) for k in range(80)] + [("g0", None, 0.0, 1.0), ("g2", 5, None, 1.0)]
+    df = spark.createDataFrame(table, "g string, k int, lat double, lon double")
+    got = {r["g"]: (r["n"], r["density"]) for r in selection.dense_groups(df, "g", "k", "lat", "lon", 12.0).collect()}
+    for g in ("g0", "g1", "g2"):
+        own = [t for t in table if t[0] == g]
+        ok = [t for t in own if t[1] is not None and t[2] is not None]
+        near = sum(s[1] != t[1] and math.hypot(s[2] - t[2], s[3] - t[3]) <= 12 for s in ok for t in ok)
+        assert got[g] == (len(own), near / (len(own) * (len(own) - 1)) if len(own) > 1 else 0.0)
+
+
 def test_match_by_minute(spark):
     a = [(k, k % 3, k * 7 % 20) for k in range(200)]
     b = [(k + 500, k % 3, k * 11 % 31) for k in range(300)]
