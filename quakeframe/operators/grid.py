@@ -92,21 +92,25 @@ def nearest_sample(points: DataFrame, grid: DataFrame, value: str, origin: tuple
 
 
 def erode(df: DataFrame, group: Sequence[str], i: str, j: str, valid: Column, buffer: int, out: str = "eroded") -> DataFrame:
-    """Whether a cell and all cells within ``buffer`` in both directions are there and valid; each valid cell reports to its neighbourhood and is counted."""
-    side = range(-buffer, buffer + 1)
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in side for b in side])
-    reports = df.filter(valid).select(*group, F.explode(offsets).alias("_o"), i, j).select(*group, (F.col(i) + F.col("_o.a")).alias(i), (F.col(j) + F.col("_o.b")).alias(j))
-    n = reports.groupBy(*group, i, j).agg(F.count("*").alias("_n"))
-    return df.join(n, [*group, i, j], "left").withColumn(out, F.coalesce(F.col("_n") == len(side) ** 2, F.lit(False))).drop("_n")
+    """Whether a cell and all cells within ``buffer`` in both directions are there and valid.
+
+    Valid cells are counted along each row, and those counts along each column: a cell that is not there leaves its
+    column's sum short. A row or a column of a level is a window, and no cell is sent to its neighbours.
+    """
+    along = lambda line, at: Window.partitionBy(*group, line).orderBy(at).rangeBetween(-buffer, buffer)
+    rows = df.withColumn("_n", F.count_if(valid).over(along(i, j)))
+    return rows.withColumn("_n", F.sum("_n").over(along(j, i))).withColumn(out, F.col("_n") == (2 * buffer + 1) ** 2).drop("_n")
 
 
 def neighbours(df: DataFrame, group: Sequence[str], index: tuple[str, str, str], value: str, weights: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Sum of weight x value over a voxel's six neighbours, as ``field``; every voxel reports to its neighbours and sums are combined map-side."""
-    offs = [(a, s) for a in range(3) for s in (-1, 1)]
-    each = F.array(*[F.struct(*[(F.col(n) + (s if a == k else 0)).cast("int").alias(n) for k, n in enumerate(index)], (F.col(value) * weights[a]).alias("_v")) for a, s in offs])
-    sent = df.filter(clean(value).isNotNull()).select(*group, F.explode(each).alias("_e")).select(*group, "_e.*")
-    field = sent.groupBy(*group, *index).agg(F.sum("_v").alias("field"))
-    return df.join(field, [*group, *index], "left").fillna(0.0, subset=["field"])
+    """Sum of weight x value over a voxel's six neighbours, as ``field``; a line of voxels along each axis is a window."""
+    out, total = df, F.lit(0.0)
+    for k, (axis, weight) in enumerate(zip(index, weights, strict=True)):
+        line = Window.partitionBy(*group, *[n for n in index if n != axis]).orderBy(axis)
+        side = lambda at: F.coalesce(F.sum(clean(value)).over(line.rangeBetween(at, at)), F.lit(0.0))  # noqa: E731, B023
+        out = out.withColumn(f"_s{k}", side(-1) + side(1))
+        total = total + F.col(f"_s{k}") * weight
+    return out.withColumn("field", total).drop(*[f"_s{k}" for k in range(3)])
 
 
 def resolution_class(df: DataFrame, i: str, j: str, valid: Column) -> DataFrame:

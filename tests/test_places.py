@@ -137,3 +137,16 @@ def test_stand_ins_are_equal_to_the_last_bit(spark, name, columns):
     want = sorted(connection("sf0.1").execute(f"select {columns} from ({sql}) t where v is not null" if name == "vox" else f"select {columns} from ({sql}) t").fetchall())
     got = registry.table(spark, f"{DATA}/sf0.1", name).selectExpr(*columns.split(", "))
     assert sorted(map(tuple, (got.filter("v is not null") if name == "vox" else got).collect())) == want
+
+
+def test_neighbourhoods_send_no_cells(spark):
+    cells = [(i, j, k, None if (i + 2 * j + k) % 7 == 0 else float(i * j + k)) for i in range(6) for j in range(5) for k in range(4) if (i, j, k) != (2, 2, 1)]
+    df = spark.createDataFrame(cells, "i int, j int, k int, v double")
+    v = {c[:3]: c[3] for c in cells}
+    eroded, field = grid.erode(df, ["k"], "i", "j", F.col("v").isNotNull(), 1), grid.neighbours(df, [], ("i", "j", "k"), "v", (1.0, 0.5, 2.0))
+    around = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    assert {(r["i"], r["j"], r["k"]): r["eroded"] for r in eroded.collect()} == {(i, j, k): all(v.get((i + a, j + b, k)) is not None for a, b in around) for i, j, k in v}
+    at = lambda i, j, k: v.get((i, j, k)) or 0.0
+    want = {(i, j, k): at(i - 1, j, k) + at(i + 1, j, k) + 0.5 * (at(i, j - 1, k) + at(i, j + 1, k)) + 2 * (at(i, j, k - 1) + at(i, j, k + 1)) for i, j, k in v}
+    assert {(r["i"], r["j"], r["k"]): r["field"] for r in field.collect()} == want
+    assert "Generate" not in plan(eroded) and "Generate" not in plan(field) and "HashAggregate" not in plan(field)
