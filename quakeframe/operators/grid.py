@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,23 +151,42 @@ def _transformed(df: DataFrame, group: Sequence[str], i: str, j: str, value: str
     nearer = F.when(F.col("_l").isNull() | ((F.col("_r.at") - F.col(j)) < (F.col(j) - F.col("_l.at"))), F.col("_r")).otherwise(F.col("_l"))
     rows = sides.select(*group, i, j, nearer.alias("_n")).select(*group, i, j, F.col("_n.at").alias("_at"), F.col("_n.v").alias("_v"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(i)
-        x, at = pdf[i].to_numpy(), pdf[j].to_numpy()
-        ok = pdf["_at"].notna().to_numpy()
-        if not ok.any():
-            return pdf.assign(_fill=np.nan, _distance=np.nan)[[*group, i, j, "_fill", "_distance"]]
-        gap = np.where(ok, (pdf["_at"].to_numpy(float) - at) ** 2, 0)
-        best, square = lower_envelope(x[ok].astype(float), gap[ok], x.astype(float))
-        return pdf.assign(_fill=pdf["_v"].to_numpy(float)[ok][best], _distance=square)[[*group, i, j, "_fill", "_distance"]]
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, i, j]) + ", _fill double, _distance double"
-    filled = rows.groupBy(*group, j).applyInPandas(run, schema)
+    column = F.array_sort(F.collect_list(F.struct(F.col(i).alias("x"), F.col("_at").alias("at"), F.col("_v").alias("v"))))
+    columns = rows.groupBy(*group, j).agg(column.alias("_c")).withColumn("_ok", F.filter("_c", lambda c: c["at"].isNotNull()))
+    gap = F.transform("_ok", lambda c: (c["at"] - F.col(j)).cast("double") * (c["at"] - F.col(j)))
+    sent = columns.select(*group, j, F.col("_c.x").alias("_i"), F.transform("_ok", lambda c: c["x"].cast("double")).alias("_x"), gap.alias("_gap"), F.col("_ok.v").alias("_v"))
+    keys = len(group) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # many columns of the grid at once
+            at, x, height, v = (batch.column(keys + k).flatten().to_numpy(zero_copy_only=False) for k in range(4))
+            n, ok = (batch.column(keys + k).value_lengths().to_numpy(zero_copy_only=False) for k in range(2))
+            fill, square = np.full(len(at), np.nan), np.full(len(at), np.nan)
+            a = b = 0
+            for size, valid in zip(n.tolist(), ok.tolist(), strict=True):
+                if valid:
+                    best, square[a : a + size] = lower_envelope(x[b : b + valid], height[b : b + valid], at[a : a + size].astype(float))
+                    fill[a : a + size] = v[b : b + valid][best]
+                a, b = a + size, b + valid
+            offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: keys + 1], *[pa.ListArray.from_arrays(offsets, pa.array(c, from_pandas=True)) for c in (fill, square)]], names=[*batch.schema.names[: keys + 1], "_fill", "_distance"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*group, j]) + f", _i array<{kinds[i]}>, _fill array<double>, _distance array<double>"
+    filled = sent.mapInArrow(run, schema).select(*group, j, F.explode(F.arrays_zip("_i", "_fill", "_distance")).alias("_c"))
+    filled = filled.select(*group, F.col("_c._i").alias(i), j, "_c._fill", "_c._distance")
     return df.join(filled, [*group, i, j], "left").withColumn(value, F.coalesce(clean(value), F.col("_fill"))).drop("_fill")
 
 
+#: Columns up to this length are compared cell by cell at once.
+SHORT = 64
+
+
 def lower_envelope(x: np.ndarray, height: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """At each place of ``at`` which of the parabolas ``(. - x)^2 + height`` is lowest (ties: the first), and how low it is. ``x`` ascends."""
+    if len(x) <= SHORT >= len(at):
+        low = (at[:, None] - x) ** 2 + height
+        best = low.argmin(axis=1)
+        return best, low[np.arange(len(at)), best]
     kept, start = [0], [-np.inf]
     for k in range(1, len(x)):
         while kept:

@@ -139,6 +139,29 @@ def test_stand_ins_are_equal_to_the_last_bit(spark, name, columns):
     assert sorted(map(tuple, (got.filter("v is not null") if name == "vox" else got).collect())) == want
 
 
+def test_long_columns_by_their_envelope(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(grid, "SHORT", 0)
+    for _ in range(100):
+        x = np.sort(rng.choice(90, rng.integers(1, 80), replace=False)).astype(float)
+        h, at = rng.integers(0, 60, len(x)).astype(float), np.arange(-3.0, 95)
+        best, low = grid.lower_envelope(x, h, at)
+        all_ = (at[:, None] - x) ** 2 + h
+        assert (low == all_.min(axis=1)).all() and (best == all_.argmin(axis=1)).all()
+
+
+def test_columns_are_filled_in_batches(spark):
+    cells = [(g, i, j, float(i * 7 + j) if (i * 3 + j * 5 + g) % 11 < 2 + g else None) for g in range(3) for i in range(70) for j in range(6) if (i + j) % 9]
+    df = spark.createDataFrame([*cells, (3, 0, 0, None), (3, 1, 0, None)], "g int, i int, j int, v double")
+    out = grid.fill_all_nearest(df, ["g"], "i", "j", "v")
+    have = {}
+    for g, i, j, v in cells:
+        have.setdefault(g, []).append((i, j, v)) if v is not None else None
+    want = {(g, i, j): v if v is not None else min(((i - a) ** 2 + (j - b) ** 2, a, b, w) for a, b, w in have[g])[3] for g, i, j, v in cells}
+    assert {(r["g"], r["i"], r["j"]): r["v"] for r in out.collect()} == want | {(3, 0, 0): None, (3, 1, 0): None}
+    assert "FlatMapGroupsInPandas" not in plan(out)
+
+
 def test_neighbourhoods_send_no_cells(spark):
     cells = [(i, j, k, None if (i + 2 * j + k) % 7 == 0 else float(i * j + k)) for i in range(6) for j in range(5) for k in range(4) if (i, j, k) != (2, 2, 1)]
     df = spark.createDataFrame(cells, "i int, j int, k int, v double")
