@@ -57,6 +57,12 @@ def _cell(scale: float, d: int) -> Column:
     return F.array(*[F.floor(F.get("x", F.lit(i)) / scale).cast("long") for i in range(min(d, CELL_FEATURES))]).alias("cell")
 
 
+def _around(d: int) -> Column:
+    """The cells that touch a cell, and the cell itself."""
+    steps = itertools.product((-1, 0, 1), repeat=min(d, CELL_FEATURES))
+    return F.expr("array(" + ", ".join("array(" + ", ".join(f"cell[{i}] + {o}L" for i, o in enumerate(step)) + ")" for step in steps) + ")")
+
+
 def _blocks(df: DataFrame, scale: float, d: int, block: int) -> DataFrame:
     """_g, cell, heavy, part, low, high, ids, comps, xs, ws: a row of arrays for each block of a cell. Stored.
 
@@ -81,9 +87,7 @@ def _searched(queries: DataFrame, targets: DataFrame | None, scale: float, d: in
     q = _blocks(queries, scale, d, block)
     t = q if targets is None else _blocks(targets, scale, d, block)
     name = ["_g", "cell", "heavy", "part"]
-    steps = itertools.product((-1, 0, 1), repeat=min(d, CELL_FEATURES))
-    near = F.expr("array(" + ", ".join("array(" + ", ".join(f"cell[{i}] + {o}L" for i, o in enumerate(step)) + ")" for step in steps) + ")")
-    probes = q.select("_g", F.struct(*name).alias("q"), F.col("low").alias("ql"), F.col("high").alias("qh"), F.explode(near).alias("cell"))
+    probes = q.select("_g", F.struct(*name).alias("q"), F.col("low").alias("ql"), F.col("high").alias("qh"), F.explode(_around(d)).alias("cell"))
     pairs = probes.join(t.select(*name, "low", "high"), ["_g", "cell"])
     if targets is None:
         pairs = pairs.filter("not (ql = qh and low = high and ql = low)")
@@ -115,29 +119,74 @@ def core_distances(points: DataFrame, samples: int, scale: float, d: int, block:
     open_ = stored(everything.join(checked_broadcast(groups), "_g").withColumn("need", F.least(F.lit(float(need)), "rows")), "open")
     done = None
     while not open_.isEmpty():
-
-        def nearest(left: tuple, right: tuple) -> pd.DataFrame:
-            dist = _distances(left[2], right[2])
-            out = {"id": left[0], "d": [], "n": []}
-            for row in dist:
-                near = np.flatnonzero(row <= scale)
-                near = near[np.argsort(row[near], kind="stable")][:need]
-                out["d"].append(row[near].tolist())
-                out["n"].append(right[3][near].tolist())
-            return pd.DataFrame(out)
-
-        found = _searched(open_.select(*everything.columns), everything, scale, d, block, nearest, "id long, d array<double>, n array<double>")
-        found = found.select("id", F.explode(F.arrays_zip("d", "n")).alias("e")).select("id", "e.d", "e.n")
-        upto = F.sum("n").over(Window.partitionBy("id").orderBy("d"))
-        first = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("d"))).filter(F.col("_r") <= need)
-        core = first.withColumn("_c", upto).join(open_.select("id", "need"), "id").filter(F.col("_c") >= F.col("need")).groupBy("id").agg(F.min("d").alias("core"))
-        core = stored(core, "core")
+        core = stored(_reached(open_.withColumn("w", F.col("need")), everything, scale, d, block, need), "core")
         done = core if done is None else done.unionByName(core)
         open_ = stored(open_.join(core, "id", "left_anti"), "open")
         scale *= 2
     return stored(done, "core") if done is not None else points.select("id", F.lit(0.0).alias("core"))
 
 
+def _reached(queries: DataFrame, targets: DataFrame, scale: float, d: int, block: int, most: int) -> DataFrame:
+    """id, core: how far out the targets' weights add up to a query's ``w`` (``most`` at most), for queries that get there within the scale.
+
+    The blocks that a block of queries meets follow it into its task one by one; the nearest ``most`` of each query are
+    all that is kept of those before, and nothing but its core leaves the task.
+    """
+    q, t = _blocks(queries, scale, d, block), _blocks(targets, scale, d, block)
+    probes = q.select("_g", F.get("ids", F.lit(0)).alias("q"), F.explode(_around(d)).alias("cell"))
+    met = probes.join(t.select("_g", "cell", "xs", "ws"), ["_g", "cell"]).select("q", F.lit(None).cast("array<long>").alias("ids"), "xs", "ws")
+    both = q.select(F.get("ids", F.lit(0)).alias("q"), "ids", "xs", "ws").unionByName(met)
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        ids = x = need = near = weight = None
+        waiting: list[tuple] = []
+        done: list[tuple] = []
+
+        def settle() -> None:
+            nonlocal near, weight
+            if waiting:
+                points, w = np.concatenate([p for p, _ in waiting]), np.concatenate([w for _, w in waiting])
+                waiting.clear()
+                near = np.concatenate([near, _distances(x, points)], axis=1)
+                weight = np.concatenate([weight, np.broadcast_to(w, (len(x), len(w)))], axis=1)
+                kept = np.argpartition(near, most - 1, axis=1)[:, :most]
+                near, weight = np.take_along_axis(near, kept, 1), np.take_along_axis(weight, kept, 1)
+
+        def finish() -> None:
+            settle()
+            order = np.argsort(near, axis=1, kind="stable")
+            far, upto = np.take_along_axis(near, order, 1), np.cumsum(np.take_along_axis(weight, order, 1), axis=1)
+            enough = (upto >= need[:, None]) & (far <= scale)
+            k = enough.any(axis=1)
+            done.append((ids[k], far[k, enough.argmax(axis=1)[k]]))
+
+        def found() -> pd.DataFrame:
+            out = pd.DataFrame({"id": np.concatenate([i for i, _ in done]), "core": np.concatenate([c for _, c in done])})
+            done.clear()
+            return out
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                points, w = np.asarray(row.xs, dtype=float).reshape(-1, d), np.asarray(row.ws)
+                if row.ids is not None:
+                    if ids is not None:
+                        finish()
+                    ids, x, need = np.asarray(row.ids), points, w
+                    near, weight = np.full((len(ids), most), np.inf), np.zeros((len(ids), most))
+                    continue
+                waiting.append((points, w))
+                if sum(len(w) for _, w in waiting) >= 4 * block:
+                    settle()
+            if done:
+                yield found()
+        if ids is not None:
+            finish()
+            yield found()
+
+    return both.repartition(tasks, "q").sortWithinPartitions("q", F.col("ids").isNull()).mapInPandas(run, "id long, core double")
+
+
 def _roots(parents: DataFrame) -> DataFrame:
     """comp, root of comp, parent without cycles, by doubling; a parent that is no comp is a root. Stored."""
     now = stored(parents.select("comp", F.col("parent").alias("root")), "roots")
