@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -265,8 +266,8 @@ def summary(p: np.ndarray) -> np.ndarray:
     return np.array([1.0, float(p.max()), math.log1p(total), math.log1p(100 * total / len(p))])
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
-    """The bounded sample of labelled documents outside the held-out fold: at most 2 x ``most`` texts of SAMPLE_CHARS characters reach the driver.
+def sampled(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """text, toxic: the bounded sample of labelled documents outside the held-out fold, at most 2 x ``most`` texts of SAMPLE_CHARS characters, in one ordered partition.
 
     Labels meet the documents by id and a hash of the text; of each label the ``most`` of the smallest hashes are taken, and only their texts are fetched.
     """
@@ -280,7 +281,12 @@ def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[
         ids = top if ids is None else ids.union(top)
     chosen = F.broadcast(stored(ids.distinct(), "toxic-sample"))  # 2 x ``most`` rows of three numbers
     found = stored(rows.join(chosen, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("toxic").alias("toxic"), F.first("text").alias("text")), "toxic-texts")
-    return [(r["text"], r["toxic"]) for r in found.orderBy("toxic", *order).collect()]
+    return found.repartition(1).sortWithinPartitions("toxic", *order).select("text", "toxic")
+
+
+def sample(documents: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[str, int]]:
+    """The rows of ``sampled`` on the driver."""
+    return [tuple(r) for r in sampled(documents, labels, most).collect()]
 
 
 def score(documents: DataFrame, model: Field, spans: bool = False) -> DataFrame:
@@ -330,7 +336,14 @@ def offsets(text: str, p: np.ndarray) -> list[dict[str, int]]:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Field:
-    return fit(sample(documents, labels))
+    """The field fitted on the sample, in a task: the driver gets its parameters, not the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["field"])
+
+    fitted = sampled(documents, labels).mapInArrow(run, "field binary").first()
+    return pickle.loads(fitted["field"]) if fitted else fit([])
 
 
 def digest(scored: DataFrame) -> DataFrame:
