@@ -1,9 +1,10 @@
 """Clusters of points by linkage: density clusters with a stability for each, and Ward's agglomeration.
 
-Both search for near pairs at a scale that doubles: points are filed in cells as wide as the scale, cells are dealt to blocks
-of a bounded number of points, and a task compares two blocks, of which only each point's nearest goes on. Blocks of one
-component are not compared with each other, so what has merged at a small scale costs nothing at a larger one. Rows of
-equal features are one point that counts several times.
+Densities search for near pairs at a scale that doubles: points are filed in cells as wide as the scale, cells are dealt to
+blocks of a bounded number of points, and a task compares two blocks, of which only each point's nearest goes on. Blocks of
+one component are not compared with each other, so what has merged at a small scale costs nothing at a larger one. Ward's
+merges are made by boxes of space: a task makes all that nothing outside its box can prevent, and other boxes follow for what
+is left. Rows of equal features are one point that counts several times.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,12 @@ from quakeframe.operators.common import checked_broadcast, stored
 BLOCK = 256
 #: Leaf clusters of a hierarchy by density that the driver may hold.
 LEAVES = 4000
-#: Clusters that Ward's rounds leave to the driver.
-LEFT = 1000
+#: Clusters of a group that a task merges to the end; larger groups are dealt to boxes of about so many.
+LEFT = 32768
+#: Boxes of a round at most; where there would be more, they are larger.
+BOXES = 4096
+#: Clusters for each box that the driver takes to choose where boxes end.
+SEEN = 128
 #: Distances below this count as this, so that a density is finite.
 LEAST = 1e-9
 #: Features that cells are made of; a distance over some features is never above that over all.
@@ -385,74 +391,233 @@ def ward_merges(df: DataFrame, key: str, features: Sequence[str], group: Sequenc
     """Ward's agglomeration: merges (_g, height, size, a, b, a < b, ids of clusters; the merged one goes on as a), and rows key, _g, x, id.
 
     Heights are sqrt(2 n m / (n + m)) times the distance of the means, so two clusters are never closer than their means
-    are. In rounds, clusters that are each other's nearest (ties: the smallest pair) within the scale merge; such merges
-    are those of the greedy order. Where there are none the scale doubles. Copies of a row merge first, at height 0, and
-    have no row of their own. Once ``LEFT`` clusters are left in all groups, the rest is merged on the driver.
+    are. Clusters that are each other's nearest (ties: the smallest pair) merge; whatever the order of such merges, they are
+    those of the greedy order. In rounds, every group is dealt to boxes of about ``LEFT`` clusters, and a task merges what is
+    nearer to each other than to the walls of its box; the next round has other walls. A group of ``LEFT`` clusters is one
+    box without walls. Copies of a row merge first, at height 0, and have no row of their own. Further columns: round, gid
+    (least id of the group) and box of a merge, and top, the cluster of that round and box that b ends up in.
     """
     rows, points = _points(df, key, features, group)
     d = len(features)
-    now = stored(points.select("id", "_g", "x", F.col("n").cast("double").alias("w")), "ward")
-    schema = "_g " + dict(rows.dtypes)["_g"] + ", height double, size long, a long, b long"
     spark = df.sparkSession
-    done = spark.createDataFrame([], schema)
-    if points.isEmpty():
-        return done, rows
-    scale = _start(points, block)
-    while now.count() > LEFT:
+    schema = "gid long, box int, height double, size long, a long, b long, top long, x array<double>"
+    groups = stored(points.groupBy("_g").agg(F.min("id").alias("gid")), "groups")
+    now = stored(points.join(checked_broadcast(groups), "_g").select("id", "gid", "x", F.col("n").cast("double").alias("w")), "ward")
+    done, left, before = spark.createDataFrame([], schema).withColumn("round", F.lit(0)), LEFT, None
+    for step in itertools.count():
+        large = {r["gid"]: r["count"] for r in now.groupBy("gid").count().filter(F.col("count") > left).collect()}
+        total = sum(large.values())
+        if before is not None and total > 0.75 * before:  # walls are in the way
+            left *= 2
+        before, left = total, max(left, total // BOXES)
+        large = {g: n for g, n in large.items() if n > left}
+        trees, walls = _boxes(now, large, left, d) if large else ({}, {})
+
+        def dealt(batches):
+            for batch in batches:
+                gid, x = batch["gid"].to_numpy(), batch["x"].flatten().to_numpy().reshape(-1, d)
+                box = np.zeros(len(gid), dtype=np.int32)
+                for g in set(np.unique(gid).tolist()) & trees.keys():
+                    at = np.flatnonzero(gid == g)
+                    box[at] = _box_of(trees[g], x[at])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(box)], names=[*batch.schema.names, "box"])
+
+        def merged(key, table):
+            gid, box = (k.as_py() for k in key)
+            low, high = walls.get((gid, box), (np.full(d, -np.inf), np.full(d, np.inf)))
+            return _merged(gid, box, table, d, low, high, block)
+
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * len(walls))
+        filed = now.mapInArrow(dealt, "id long, gid long, x array<double>, w double, box int").repartition(tasks, "gid", "box")
+        out = stored(filed.groupBy("gid", "box").applyInArrow(merged, schema).withColumn("round", F.lit(step)), "merges")
+        done = done.unionByName(out.filter("b is not null"))
+        if not large:
+            return done.join(checked_broadcast(groups), "gid").select("_g", "height", "size", "a", "b", "round", "gid", "box", "top"), rows
+        now = out.filter("b is null").select(F.col("a").alias("id"), "gid", "x", F.col("size").cast("double").alias("w"))
+
+
+def _boxes(now: DataFrame, large: dict[int, int], left: int, d: int) -> tuple[dict[int, tuple], dict[tuple[int, int], tuple]]:
+    """A tree of cuts (axis, where, below, above; a leaf is a box's number) by group, and each box's low and high walls.
+
+    Cuts are chosen by a sample (they decide what a task holds, not what merges): in the middle third of the widest axis
+    where clusters are thinnest, so that walls of the round before, along which many are left, lie inside.
+    """
+    share = min(1.0, 2 * SEEN / left)
+    some = now.filter(F.col("gid").isin(list(large))).sample(share, seed=1).select("gid", "x").toPandas()
+    trees, walls = {}, {}
+
+    def cut(g: int, x: np.ndarray, n: float, low: np.ndarray, high: np.ndarray):
+        for axis in np.argsort(-x.std(axis=0)) if n > left and len(x) > 1 else ():
+            v = np.sort(x[:, axis])
+            if v[0] == v[-1]:
+                continue
+            k, first = max(1, len(v) // 16), len(v) // 3
+            wide = v[first + k :][: max(1, len(v) - 2 * first - k)] - v[first:][: max(1, len(v) - 2 * first - k)]
+            i = first + int(wide.argmax())
+            where = (v[i] + v[i + k]) / 2
+            if not v[0] < where <= v[-1]:
+                where = v[v > v[0]][0]
+            below = x[:, axis] < where
+            up, down = high.copy(), low.copy()
+            up[axis] = down[axis] = where
+            part = n * below.mean()
+            return int(axis), float(where), cut(g, x[below], part, low, up), cut(g, x[~below], n - part, down, high)
+        number = sum(1 for at in walls if at[0] == g)
+        walls[g, number] = (low, high)
+        return number
+
+    for g, of in some.groupby("gid"):
+        trees[g] = cut(g, np.stack(of["x"].to_numpy()), large[g], np.full(d, -np.inf), np.full(d, np.inf))
+    return trees, walls
+
+
+def _box_of(tree: tuple | int, x: np.ndarray) -> np.ndarray:
+    """The box of each point."""
+    if isinstance(tree, int):
+        return np.full(len(x), tree, dtype=np.int32)
+    axis, where, below, above = tree
+    side = x[:, axis] < where
+    out = np.empty(len(x), dtype=np.int32)
+    out[side], out[~side] = _box_of(below, x[side]), _box_of(above, x[~side])
+    return out
 
-        def nearest(left: tuple, right: tuple) -> pd.DataFrame:
-            order = np.argsort(right[0])
-            ids, m, n = right[0][order], right[3][order][None, :], left[3][:, None]
-            dist = _distances(left[2], right[2][order]) * np.sqrt(2 * n * m / (n + m))
-            dist[left[0][:, None] == ids[None, :]] = np.inf
-            j = dist.argmin(axis=1)
-            low = dist[np.arange(len(dist)), j]
-            k = low <= scale
-            return pd.DataFrame({"id": left[0][k], "h": low[k], "a": np.minimum(left[0], ids[j])[k], "b": np.maximum(left[0], ids[j])[k]})
 
-        everything = now.withColumn("comp", F.col("id"))
-        best = _searched(everything, None, scale, d, block, nearest, "id long, h double, a long, b long").groupBy("id").agg(F.min(F.struct("h", "a", "b")).alias("e"))
-        pairs = stored(best.groupBy("e.a", "e.b").agg(F.count("*").alias("c"), F.min("e.h").alias("height")).filter("c = 2").select("a", "b", "height"), "pairs")
-        if pairs.isEmpty():
-            scale *= 2
-            continue
-        one = now.select(F.col("id").alias("a"), "_g", F.col("x").alias("xa"), F.col("w").alias("wa"))
-        two = now.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("w").alias("wb"))
-        size = F.col("wa") + F.col("wb")
-        merged = stored(pairs.join(one, "a").join(two, "b").select("_g", "height", size.cast("long").alias("size"), "a", "b", F.zip_with("xa", "xb", lambda u, v: (u * F.col("wa") + v * F.col("wb")) / size).alias("x"), size.alias("w")), "merged")
-        done = stored(done.unionByName(merged.select("_g", "height", "size", "a", "b")), "merges")
-        gone = merged.select(F.explode(F.array("a", "b")).alias("id"))
-        now = stored(now.join(gone, "id", "left_anti").unionByName(merged.select(F.col("a").alias("id"), "_g", "x", "w")), "ward")
-    by: dict[tuple, list] = {}
-    for r in now.collect():  # LEFT at most
-        by.setdefault(r["_g"], []).append(r)
-    rest = [(g, *m) for g, members in by.items() for m in _ward(members)]
-    return stored(done.unionByName(spark.createDataFrame(rest, schema)), "merges"), rows
-
-
-def _ward(members: list) -> list[tuple[float, int, int, int]]:
-    """Greedy merges (height, size, a, b) of a bounded number of clusters with id, x, w."""
-    ids = np.array([r["id"] for r in members])
-    order = np.argsort(ids)
-    ids, x, w = ids[order], np.array([r["x"] for r in members], dtype=float)[order], np.array([r["w"] for r in members])[order]
-    height = _distances(x, x) * np.sqrt(2 * w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-    np.fill_diagonal(height, np.inf)
-    out = []
-    low = height.min(axis=1)
-    for _ in range(len(ids) - 1):
-        i = int(np.argmin(low))
-        j = int(np.argmin(height[i]))
-        i, j = min(i, j), max(i, j)
-        out.append((float(height[i, j]), int(w[i] + w[j]), int(ids[i]), int(ids[j])))
-        x[i], w[i] = (x[i] * w[i] + x[j] * w[j]) / (w[i] + w[j]), w[i] + w[j]
-        height[j], height[:, j] = np.inf, np.inf
-        live = np.isfinite(low) & (np.arange(len(ids)) != j)
-        live[i] = False
-        new = np.full(len(ids), np.inf)
-        new[live] = _distances(x[i : i + 1], x[live])[0] * np.sqrt(2 * w[i] * w[live] / (w[i] + w[live]))
-        height[i], height[:, i] = new, new
-        low = height.min(axis=1)
-    return out
+def _merged(gid: int, box: int, table: pa.Table, d: int, low: np.ndarray, high: np.ndarray, block: int) -> pa.Table:
+    """A box's merges, and as rows without b the clusters left where the box has walls."""
+    order = np.argsort(table["id"].to_numpy())
+    ids, w = table["id"].to_numpy()[order], table["w"].to_numpy()[order]
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, d)[order]
+    height, size, a, b = _ward(x, w, low, high, block)
+    top = np.arange(len(ids))
+    top[b] = a
+    while (top[top] != top).any():
+        top = top[top]
+    rest = np.delete(np.arange(len(ids)), b) if np.isfinite(low).any() or np.isfinite(high).any() else np.arange(0)
+    n, m = len(a), len(rest)
+    none = pa.nulls(m, pa.int64())
+    columns = {
+        "gid": pa.array(np.full(n + m, gid)),
+        "box": pa.array(np.full(n + m, box, dtype=np.int32)),
+        "height": pa.chunked_array([pa.array(height), pa.nulls(m, pa.float64())]),
+        "size": pa.array(np.concatenate([size, w[rest]]).astype(np.int64)),
+        "a": pa.array(np.concatenate([ids[a], ids[rest]])),
+        "b": pa.chunked_array([pa.array(ids[b]), none]),
+        "top": pa.chunked_array([pa.array(ids[top[b]]), none]),
+        "x": pa.chunked_array([pa.nulls(n, pa.list_(pa.float64())), pa.ListArray.from_arrays(np.arange(0, (m + 1) * d, d, dtype=np.int32), x[rest].ravel())]),
+    }
+    return pa.table(columns).combine_chunks()
+
+
+def _ward(x: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """height, size, a, b (positions, a < b) of all merges that are certain whatever lies outside low <= x < high. Changes x and w.
+
+    A cluster outside weighs one at least, so its height over one inside is at least that at the wall. Halves merge on their
+    own first, down to ``block`` clusters; what is left of both then goes on without the wall between them. ``near`` is a
+    nearest cluster that no other can undercut; without one, ``least`` is what its height is at least, since heights over
+    others never fall as clusters merge.
+    """
+    n = len(x)
+    near, least, edge, touched, dead = np.full(n, -1), np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    hint, into = np.arange(n), np.arange(n)  # another cluster that is near (none: itself), and the one that a merged one went into
+    out: list[tuple] = []
+
+    def room(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        gap = np.minimum(x[at] - low, high - x[at]).min(axis=1)
+        return gap * np.sqrt(2 * w[at] / (w[at] + 1)) * (1 - 1e-9)
+
+    def height(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        for i in range(x.shape[1]):
+            total += (x[a, i] - x[b, i]) ** 2
+        return np.sqrt(total) * np.sqrt(2 * w[a] * w[b] / (w[a] + w[b]))
+
+    def search(of: np.ndarray, live: np.ndarray) -> None:
+        parts = [(of, live)]
+        if len(live) > 2 * block:  # only those as near along the widest axis as the wall, or as a cluster known to be near
+            axis = int(np.ptp(x[live], axis=0).argmax())
+            while (into[hint[of]] != hint[of]).any():
+                hint[of] = into[hint[of]]
+            most = np.where(hint[of] != of, height(of, hint[of]), np.inf)
+            m = w[live].min()
+            reach = np.minimum(most, edge[of]) * np.sqrt((w[of] + m) / (2 * w[of] * m)) * (1 + 1e-9)
+            order, along = np.argsort(x[of, axis]), live[np.argsort(x[live, axis])]
+            v, parts = x[along, axis], []
+            for k in (order[s : s + 64] for s in range(0, len(of), 64)):
+                at = x[of[k], axis]
+                wide = reach[k] + 1e-12 * np.abs(at)
+                first, end = np.searchsorted(v, (at - wide).min()), np.searchsorted(v, (at + wide).max(), side="right")
+                parts.append((of[k], np.sort(along[first:end])))
+        for q, near_by in parts:
+            step = max(1, 2**17 // len(near_by))
+            for k in range(0, len(q), step):
+                compare(q[k : k + step], near_by)
+        far = of[least[of] >= edge[of]]
+        near[far], least[far] = -1, edge[far]
+
+    def compare(q: np.ndarray, live: np.ndarray) -> None:
+        total, other = np.zeros((len(q), len(live))), np.empty((len(q), len(live)))
+        for i in range(x.shape[1]):
+            np.subtract(x[q, i][:, None], x[live, i], out=other)
+            total += np.multiply(other, other, out=other)
+        np.divide(w[live], np.add(w[q][:, None], w[live], out=other), out=other)
+        other *= total
+        every, me = np.arange(len(q)), np.searchsorted(live, q)
+        other[every, me] = np.inf
+        j = other.argmin(axis=1)
+        # rounding: what comes this close is compared by its height; of equal ones the smallest makes the smallest pair
+        low = other[every, j]
+        row, col = np.nonzero(other <= (low * (1 + 1e-12))[:, None])
+        h = height(q[row], live[col])
+        best = np.lexsort((col, h, row))
+        best = best[np.flatnonzero(np.diff(row[best], prepend=-1))]
+        near[q], least[q] = live[col[best]], np.where(np.isinf(low), np.inf, h[best])  # none but itself: beyond the wall
+        other[every, col[best]] = np.inf
+        hint[q] = live[other.argmin(axis=1)]
+
+    def settle(live: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        wide = np.ptp(x[live], axis=0)
+        if len(live) > block and wide.max() > 0:
+            axis = int(wide.argmax())
+            v = x[live, axis]
+            where = np.median(v)
+            if where == v.min():
+                where = v[v > where].min()
+            up, down = high.copy(), low.copy()
+            up[axis] = down[axis] = where
+            live = np.sort(np.concatenate([settle(live[v < where], low, up), settle(live[v >= where], down, high)]))
+        edge[live] = room(live, low, high)
+        fresh = False
+        while len(live) > 1:
+            ask = live[(near[live] < 0) & (least[live] < edge[live])]
+            if len(ask):
+                search(ask, live)
+            sure = live[near[live] >= 0]
+            a = sure[(near[near[sure]] == sure) & (sure < near[sure])]
+            if not len(a):
+                if fresh or not np.isinf(edge[live]).all():
+                    return live
+                near[live], least[live], fresh = -1, 0.0, True  # rounding has made a circle of nearest ones
+                continue
+            b, fresh = near[a], False
+            size = w[a] + w[b]
+            out.append((least[a], size, a, b))
+            x[a], w[a] = (x[a] * w[a][:, None] + x[b] * w[b][:, None]) / size[:, None], size
+            into[b] = a
+            hint[a] = np.where(hint[a] != b, hint[a], hint[b])
+            touched[a] = touched[b] = True
+            near[a] = near[b] = -1
+            edge[a] = room(a, low, high)
+            dead[b] = True
+            live = live[~dead[live]]
+            lost = live[near[live] >= 0]
+            near[lost[touched[near[lost]]]] = -1
+            touched[a] = touched[b] = False
+        return live
+
+    settle(np.arange(n), low, high)
+    if not out:
+        return np.empty(0), np.empty(0), np.empty(0, dtype=int), np.empty(0, dtype=int)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def ward_clusters(df: DataFrame, key: str, features: Sequence[str], k: int, group: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
@@ -464,10 +629,31 @@ def ward_clusters(df: DataFrame, key: str, features: Sequence[str], k: int, grou
     names = [F.col(f"_g.{c}").alias(c) for c in group]
     # a merge is never lower than those below it: ties by ids, later rounds last
     order = Window.partitionBy("_g").orderBy(F.desc("height"), F.desc("size"), F.desc("a"), F.desc("b"))
-    top = merges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") < k).select("_g", "a", "b")
-    kept = merges.join(top, ["_g", "a", "b"], "left_anti")
-    roots = _roots(kept.select(F.col("b").alias("comp"), F.col("a").alias("parent")))
-    found = rows.join(roots.withColumnRenamed("comp", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    top = stored(merges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") < k).select("round", "gid", "box", "b"), "top")
+    # boxes in which a merge is not done follow their own merges anew, all others have the cluster that each ends up in
+    at = ["round", "gid", "box"]
+    cut = checked_broadcast(top.select(*at).distinct())
+    undone = merges.join(cut, at, "left_semi").join(checked_broadcast(top.withColumn("undone", F.lit(True))), [*at, "b"], "left")
+
+    def follow(key, table):
+        ids, place = np.unique(np.concatenate([table["a"].to_numpy(), table["b"].to_numpy()]), return_inverse=True)
+        a, b = place[: len(table)], place[len(table) :]
+        root = np.arange(len(ids))
+        root[b] = np.where(table["undone"].is_null().to_numpy(), a, b)
+        while (root[root] != root).any():
+            root = root[root]
+        moved = root != np.arange(len(ids))
+        return pa.table({"id": ids[moved], "root": ids[root[moved]], "round": np.full(moved.sum(), key[0].as_py(), dtype=np.int32)})
+
+    anew = undone.select(*at, "a", "b", "undone").groupBy(*at).applyInArrow(follow, "id long, root long, round int")
+    up = stored(merges.join(cut, at, "left_anti").select(F.col("b").alias("id"), F.col("top").alias("root"), "round").unionByName(anew), "up")
+    last = up.agg(F.max("round")).first()[0]
+    roots = up.filter(F.col("round") == last).select("id", "root")
+    for step in reversed(range(last or 0)):
+        above = roots.select(F.col("id").alias("root"), F.col("root").alias("above"))
+        own = up.filter(F.col("round") == step).join(above, "root", "left").select("id", F.coalesce("above", "root").alias("root"))
+        roots = stored(roots.unionByName(own), "roots")
+    found = stored(rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "found")
     # a root is the smallest id of its cluster, and an id the smallest key of its copies
     several = found.select("_g", "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy("_g").orderBy("root")) - 1)
     return found.join(several, ["_g", "root"]).select(F.col("_key").alias(key), *names, "label")

@@ -174,6 +174,79 @@ def test_ward_equals_the_greedy_order(spark, monkeypatch, left):
     assert labels == {i: k for k, part in enumerate(want) for i in part}
 
 
+def lattice(n: int, m: int = 0) -> np.ndarray:
+    """Columns of equal steps, many of them equally far apart, as the voxels have."""
+    p = np.arange(n)
+    p = p[(p + m) % 17 != 0]
+    return np.stack([p % 20, p // 20 % 20, 35 + 0.4 * (p // 400) + (p * (7 * m + 3) % 100) / 100], axis=1).astype(float)
+
+
+def by_chain(x: np.ndarray) -> list[tuple[float, int, int, int]]:
+    """Ward's merges over all clusters, each time along nearest ones to two that are each other's."""
+    x, w, live, chain, out = x.copy(), np.ones(len(x)), np.arange(len(x)), [], []
+    while len(live) > 1:
+        c = chain[-1] if chain else int(live[0])
+        chain = chain or [c]
+        h = all_distances(x[c], x[live]) * np.sqrt(2 * w[c] * w[live] / (w[c] + w[live]))
+        h[live == c] = np.inf
+        j = int(live[h.argmin()])
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        chain = chain[:-2]
+        a, b = min(c, j), max(c, j)
+        out.append((float(h.min()), int(w[a] + w[b]), a, b))
+        x[a], w[a] = (x[a] * w[a] + x[b] * w[b]) / (w[a] + w[b]), w[a] + w[b]
+        live = live[live != b]
+    return out
+
+
+def all_distances(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((p[i] - x[:, i]) ** 2 for i in range(len(p))))
+
+
+@pytest.mark.parametrize("block", [8, 64])
+def test_ward_of_equal_steps_and_blobs(block):
+    """The same merges, ids and heights to the last bit, whether searched in small parts or all at once."""
+    for x in (lattice(1500, 1), blobs(700, 3, seed=2), blobs(300, 1)):
+        free = np.full(x.shape[1], np.inf)
+        got = linkage._ward(x.copy(), np.ones(len(x)), -free, free, block)
+        assert sorted(zip(*(c.tolist() for c in got), strict=True)) == sorted(by_chain(x))
+
+
+def test_ward_within_walls():
+    """What a thin box merges by itself are merges of the whole."""
+    x = lattice(4000)
+    whole = {(h, n, a, b) for h, n, a, b in by_chain(x)}
+    inside = np.flatnonzero((x[:, 2] >= 36.1) & (x[:, 2] < 38.7))
+    low, high = np.array([-np.inf, -np.inf, 36.1]), np.array([np.inf, np.inf, 38.7])
+    height, size, a, b = linkage._ward(x[inside], np.ones(len(inside)), low, high, 64)
+    got = set(zip(height.tolist(), size.tolist(), inside[a].tolist(), inside[b].tolist(), strict=True))
+    assert got <= whole and len(got) > len(inside) / 6
+
+
+def test_ward_takes_few_rounds(spark, monkeypatch):
+    """3,764 voxels in boxes of 700 are stored a few times, not once for every doubling of a scale and every link of a chain."""
+    monkeypatch.setattr(linkage, "LEFT", 700)
+    count, keep = [], linkage.stored
+    monkeypatch.setattr(linkage, "stored", lambda df, name: count.append(name) or keep(df, name))
+    x = lattice(4000)
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(x.tolist())], "id long, a double, b double, c double")
+    merges, _ = linkage.ward_merges(df, "id", ["a", "b", "c"])
+    got = sorted((r["height"], r["size"], r["a"], r["b"]) for r in merges.collect())
+    assert got == sorted(by_chain(x))
+    assert len(count) < 20
+    labels = {r["id"]: r["label"] for r in linkage.ward_clusters(df, "id", ["a", "b", "c"], 40).collect()}
+    top = list(range(len(x)))
+    for _, _, a, b in sorted(got, key=lambda m: (m[0], m[1]))[:-39]:
+        top[b] = a
+    for k in range(len(x)):
+        while top[top[k]] != top[k]:
+            top[k] = top[top[k]]
+    roots = sorted(set(top))
+    assert labels == {k: roots.index(top[k]) for k in range(len(x))}
+
+
 def test_ward_by_group_with_copies(spark):
     rows = [(k, k % 2, float(v)) for k, v in enumerate([0, 0, 0, 0, 5, 5.5, 9, 20, 9, 21])] + [(100, 0, None)]
     got = linkage.ward_clusters(spark.createDataFrame(rows, "id long, g int, v double"), "id", ["v"], 2, ["g"]).collect()
