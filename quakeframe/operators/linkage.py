@@ -17,18 +17,19 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quakeframe.functions.numeric import clean
 from quakeframe.operators.common import checked_broadcast, stored
 
 #: Points of a block; a task holds the arrays of a batch of pairs of blocks.
 BLOCK = 256
-#: Leaf clusters of a hierarchy by density that the driver may hold.
-LEAVES = 4000
-#: Clusters of a group that a task merges to the end; larger groups are dealt to boxes of about so many.
+#: Clusters or points of a group that a task takes whole; larger groups are dealt to boxes of about so many.
 LEFT = 32768
 #: Boxes of a round at most; where there would be more, they are larger.
 BOXES = 4096
+#: Boxes whose rests go on as one at the next level of a hierarchy by density, and boxes whose points are looked up in it together.
+FAN, PART = 16, 16
 #: Clusters for each box that the driver takes to choose where boxes end.
 SEEN = 128
 #: Distances below this count as this, so that a density is finite.
@@ -44,21 +45,11 @@ def _points(df: DataFrame, key: str, features: Sequence[str], group: Sequence[st
         ok = ok & clean(f).isNotNull()
     x = F.array(*[F.col(f).cast("double") + 0.0 for f in features])
     rows = df.filter(ok & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.struct(*[F.col(c) for c in group], F.lit(0).alias("_")).alias("_g"), x.alias("x"))
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "x")
     points = stored(rows.groupBy("_g", "x").agg(F.min("_key").alias("id"), F.count("*").alias("n")), "points")
     return stored(rows.join(points.select("_g", "x", "id"), ["_g", "x"]), "rows"), points
 
 
-def _start(points: DataFrame, block: int) -> float:
-    """A scale at which no cell holds over ``block`` points: the widest range, halved until that holds."""
-    d = len(points.first()["x"])
-    ranges = points.groupBy("_g").agg(*[(F.max(F.get("x", F.lit(i))) - F.min(F.get("x", F.lit(i)))).alias(f"r{i}") for i in range(d)])
-    top = ranges.agg(F.greatest(F.lit(0.0), *[F.max(f"r{i}") for i in range(d)]).alias("r")).first()["r"]
-    scale = top or 1.0
-    while scale > LEAST and (points.groupBy("_g", _cell(scale, d)).count().agg(F.max("count").alias("n")).first()["n"] or 0) > block:
-        scale /= 2
-    return scale
-
-
 def _cell(scale: float, d: int) -> Column:
     return F.array(*[F.floor(F.get("x", F.lit(i)) / scale).cast("long") for i in range(min(d, CELL_FEATURES))]).alias("cell")
 
@@ -117,12 +108,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def core_distances(points: DataFrame, samples: int, scale: float, d: int, block: int = BLOCK) -> DataFrame:
-    """id, core: the distance to the ``samples``-th other row; the largest distance to any where there are fewer. Stored."""
+def core_distances(points: DataFrame, samples: int, scale: float, d: int, block: int = BLOCK, asked: DataFrame | None = None) -> DataFrame:
+    """id, core: the distance to the ``samples``-th other row; the largest distance to any where there are fewer. Stored. Of those ``asked`` (id) only."""
     need = samples + 1
     everything = points.select("id", F.col("id").alias("comp"), "_g", "x", F.col("n").cast("double").alias("w"))
     groups = everything.groupBy("_g").agg(F.sum("w").alias("rows"))
-    open_ = stored(everything.join(checked_broadcast(groups), "_g").withColumn("need", F.least(F.lit(float(need)), "rows")), "open")
+    open_ = everything if asked is None else everything.join(asked, "id", "left_semi")
+    open_ = stored(open_.join(checked_broadcast(groups), "_g").withColumn("need", F.least(F.lit(float(need)), "rows")), "open")
     done = None
     while not open_.isEmpty():
         core = stored(_reached(open_.withColumn("w", F.col("need")), everything, scale, d, block, need), "core")
@@ -213,17 +205,18 @@ def neighbour_distance(df: DataFrame, key: str, features: Sequence[str], samples
     names = [F.col(f"_g.{c}").alias(c) for c in group]
     if points.isEmpty():
         return rows.select(F.col("_key").alias(key), *names, F.lit(0.0).alias("core"))
-    core = core_distances(points, samples, _start(points, block), len(features), block)
+    now = _grouped(points)[1]
+    core = _cores(now, samples, len(features), block, _cut(now, len(features))).select("id", "core")
     return rows.join(core, "id").select(F.col("_key").alias(key), *names, "core")
 
 
-def spanning_tree(points: DataFrame, scale: float, d: int, block: int = BLOCK) -> DataFrame:
-    """d, a, b (a < b): the least spanning tree of each group under max(distance, core of a, core of b), ties by (a, b). Stored.
+def spanning_tree(points: DataFrame, scale: float, d: int, block: int, comps: DataFrame) -> DataFrame:
+    """d, a, b (a < b): what the least spanning tree of each group under max(distance, core of a, core of b), ties by (a, b), has between ``comps`` (id, comp). Stored.
 
     Boruvka's rounds: every component takes its least edge out, among those not above the scale; where none has one, the
     scale doubles, until each group is one component. ``points`` has id, _g, x and core.
     """
-    labels = stored(points.select("id", F.col("id").alias("comp")), "labels")
+    labels = stored(points.select("id").join(comps, "id"), "labels")
     groups = points.select("_g").distinct().count()
     tree = points.select(F.lit(0.0).alias("d"), F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     while labels.select("comp").distinct().count() > groups:
@@ -254,48 +247,547 @@ def spanning_tree(points: DataFrame, scale: float, d: int, block: int = BLOCK) -
     return tree
 
 
-def _born(points: DataFrame, tree: DataFrame, least_size: int) -> DataFrame:
-    """id, comp, born: the edge (d, a, b) at which a point's component first has ``least_size`` rows, and the leaf cluster it then is in. Stored.
+def _grouped(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: _g, gid (its least id), rows of each group; and id, gid, x, n, rows of each point."""
+    groups = stored(points.groupBy("_g").agg(F.min("id").alias("gid"), F.sum("n").alias("rows")), "groups")
+    return groups, stored(points.join(checked_broadcast(groups), "_g").select("id", "gid", "x", "n", "rows"), "filed")
+
+
+def _cut(now: DataFrame, d: int) -> tuple[dict[int, int], dict[int, tuple], dict[tuple[int, int], tuple]]:
+    """Points of each group of over ``LEFT``, and the boxes (of ``LEFT`` at least, ``BOXES`` at most) that these are cut into."""
+    counts = {r["gid"]: r["count"] for r in now.groupBy("gid").count().filter(F.col("count") > LEFT).collect()}
+    left = max(LEFT, sum(counts.values()) // BOXES)
+    large = {g: n for g, n in counts.items() if n > left}
+    trees, walls = _boxes(now, large, left, d) if large else ({}, {})
+    return {g: large[g] for g in trees}, trees, walls
+
+
+def _near_boxes(tree: tuple | int, x: np.ndarray, reach: np.ndarray, at: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Positions, box: which of the points ``at`` are in a box or within their reach of it along each axis."""
+    if isinstance(tree, int):
+        return [(at, tree)]
+    axis, where, below, above = tree
+    v, r = x[at, axis], reach[at]
+    return _near_boxes(below, x, reach, at[v - r < where]) + _near_boxes(above, x, reach, at[v + r >= where])
+
+
+def _spread(df: DataFrame, trees: dict[int, tuple], d: int, reach: dict[int, float] | str | None = None) -> DataFrame:
+    """``df`` (gid, x, ...) with box and home: a row for the box that a point is in, its home, and one for each within ``reach`` (by group, or a column)."""
+    if not trees:
+        return df.withColumns({"box": F.lit(0), "home": F.lit(0)})
+
+    def dealt(batches):
+        for batch in batches:
+            gid, x = batch["gid"].to_numpy(), batch["x"].flatten().to_numpy().reshape(-1, d)
+            home, at, box = np.zeros(len(gid), dtype=np.int32), [np.flatnonzero(~np.isin(gid, list(trees)))], [0]
+            for g in set(np.unique(gid).tolist()) & trees.keys():
+                k = np.flatnonzero(gid == g)
+                home[k] = _box_of(trees[g], x[k])
+                far = batch[reach].to_numpy()[k] if isinstance(reach, str) else np.full(len(k), reach[g] if reach else 0.0)
+                for i, b in _near_boxes(trees[g], x[k], far * (1 + 1e-9), np.arange(len(k))):
+                    at.append(k[i])
+                    box.append(b)
+            take = np.concatenate(at)
+            boxes = np.repeat(np.array(box, dtype=np.int32), [len(k) for k in at])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(take)).columns, pa.array(boxes), pa.array(home[take])], names=[*batch.schema.names, "box", "home"])
+
+    return df.mapInArrow(dealt, T.StructType([*df.schema.fields, T.StructField("box", T.IntegerType()), T.StructField("home", T.IntegerType())]))
+
 
-    In rounds: every small component points along its least edge out. Weights fall along the way, so whatever leads to a
-    large component joins it by its own edge; what leads to two small ones that point at each other makes a tree, whose
-    members below the least edge that leaves it merge, in order of weight. Where they reach ``least_size`` before that
-    edge, a leaf cluster is born. Points that never get there have none.
+def _tasks(df: DataFrame, boxes: int, to: str = "box") -> DataFrame:
+    """``df`` dealt by group and box to as many tasks as there are boxes: to Spark they look too small for a task each."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), boxes), "gid", to)
+
+
+def _room(x: np.ndarray, walls: tuple | None) -> np.ndarray:
+    """How far the nearest wall of a point's box is."""
+    return np.minimum(x - walls[0], walls[1] - x).min(axis=1) if walls else np.full(len(x), np.inf)
+
+
+def _fine(x: np.ndarray, scale: float, most: int) -> float:
+    """``scale``, halved until no cell holds over ``most`` points."""
+    while scale > LEAST and np.unique(np.floor(x[:, :CELL_FEATURES] / scale), axis=0, return_counts=True)[1].max() > most:
+        scale /= 2
+    return max(scale, LEAST)
+
+
+def _width(walls: dict[tuple[int, int], tuple], g: int) -> float:
+    """A width that few boxes of a group are thinner than."""
+    wide = [float(w) for at, (low, high) in walls.items() if at[0] == g for w in high - low if np.isfinite(w)]
+    return float(np.quantile(wide, 0.1)) if wide else np.inf
+
+
+def _near(x: np.ndarray, of: np.ndarray, scale: float, comp: np.ndarray | None = None):
+    """Arrays i, j, distance of pairs up to ``scale`` apart, a batch at a time: i of ``of``, j any. With ``comp`` each pair of different ones once."""
+    f = x[:, :CELL_FEATURES]
+    wide = np.maximum(scale * (1 + 1e-9), np.ptp(f, axis=0) / 2**20)
+    cell = np.floor((f - f.min(axis=0)) / wide).astype(np.int64) + 1
+    radix = np.concatenate([[1], np.cumprod(cell.max(axis=0)[:-1] + 2)])
+    key = cell @ radix
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    cells, count = key[order[first]], np.diff(first, append=len(x))
+    if comp is not None:
+        low, high = np.minimum.reduceat(comp[order], first), np.maximum.reduceat(comp[order], first)
+    for step in itertools.product((-1, 0, 1), repeat=f.shape[1]):
+        by = int(np.dot(step, radix))
+        if comp is not None and (by < 0 or by == 0 and any(step)):
+            continue
+        at = np.minimum(np.searchsorted(cells, key[of] + by), len(cells) - 1)
+        k = cells[at] == key[of] + by
+        if comp is not None:
+            k &= (low[at] != high[at]) | (low[at] != comp[of])
+        i, start, many = of[k], first[at[k]], count[at[k]]
+        upto = np.cumsum(many)
+        for part in np.split(np.arange(len(i)), np.searchsorted(upto, np.arange(2**19, upto[-1], 2**19)) if len(i) else []):
+            if not len(part):
+                continue
+            m = many[part]
+            left = np.repeat(i[part], m)
+            right = order[np.repeat(start[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+            if comp is not None:
+                apart = (comp[left] != comp[right]) & ((left < right) if by == 0 else True)
+                left, right = left[apart], right[apart]
+            total = np.zeros(len(left))
+            for axis in range(x.shape[1]):
+                total += (x[left, axis] - x[right, axis]) ** 2
+            dist = np.sqrt(total)
+            close = dist <= scale
+            yield left[close], right[close], dist[close]
+
+
+def _kth(x: np.ndarray, w: np.ndarray, of: np.ndarray, need: float, room: np.ndarray) -> np.ndarray:
+    """How far out of each point ``of`` the weights add up to ``need``; NaN where that is farther than its ``room``."""
+    core = np.full(len(of), np.nan)
+    wide = np.ptp(x[:, :CELL_FEATURES], axis=0)
+    wide = wide[wide > 0]
+    scale = float((np.prod(wide) / len(x) * need / 2) ** (1 / len(wide))) if len(wide) else 1.0
+    scale = _fine(x, scale, 64 + 8 * int(need))
+    open_ = np.arange(len(of))
+    while len(open_):
+        back = np.full(len(x), -1)
+        back[of[open_]] = open_
+        found = list(_near(x, of[open_], scale))
+        i, j, dist = (np.concatenate(c) for c in zip(*found, strict=True))
+        i = back[i]
+        order = np.lexsort((dist, i))
+        i, dist, sums = i[order], dist[order], np.cumsum(w[j[order]])
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        before = np.repeat(np.where(first > 0, sums[first - 1], 0.0), np.diff(first, append=len(i)))
+        enough = np.flatnonzero(sums - before >= need)
+        enough = enough[np.flatnonzero(np.diff(i[enough], prepend=-1))]
+        core[i[enough]] = dist[enough]
+        open_ = open_[np.isnan(core[open_]) & (room[open_] > scale)]
+        scale *= 1.5
+    core[core > room] = np.nan
+    return core
+
+
+def _cores(now: DataFrame, samples: int, d: int, block: int, cut: tuple) -> DataFrame:
+    """id, gid, x, n, box, core: the distance to the ``samples``-th other row; the largest to any where there are fewer. Stored.
+
+    A task searches a box and what lies around it. Points that need to look farther are searched among all, by cells.
     """
-    key = F.struct(F.col("d"), F.col("a"), F.col("b"))
-    none = F.struct(F.lit(0.0).alias("d"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b"))
-    state = stored(points.select("id", F.col("id").alias("comp"), "n", F.when(F.col("n") >= least_size, none).alias("born")), "born")
+    large, trees, walls = cut
+    need = samples + 1
+    ranges = {r["gid"]: r for r in now.filter(F.col("gid").isin(list(large))).groupBy("gid").agg(*[(F.max(F.get("x", F.lit(i))) - F.min(F.get("x", F.lit(i)))).alias(f"r{i}") for i in range(d)]).collect()} if large else {}
+    around = {}
+    for g, n in large.items():
+        wide = [w for w in (ranges[g][f"r{i}"] for i in range(min(d, CELL_FEATURES))) if w > 0]
+        around[g] = min(2 * float((np.prod(wide) / n * need / 2) ** (1 / len(wide))), _width(walls, g) / 2)
+
+    def searched(key, table):
+        gid, box = (k.as_py() for k in key)
+        table = table.take(pa.array(np.argsort(table["id"].to_numpy())))
+        x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        own = np.flatnonzero(table["home"].to_numpy() == box)
+        room = (_room(x[own], walls.get((gid, box))) + around.get(gid, np.inf)) * (1 - 1e-9)
+        core = _kth(x, table["n"].to_numpy().astype(float), own, min(need, table["rows"][0].as_py()), room) if len(own) else np.empty(0)
+        out = table.take(pa.array(own)).select(["id", "gid", "x", "n", "rows", "box"])
+        return out.append_column("core", pa.array(core, mask=np.isnan(core)))
+
+    filed = _tasks(_spread(now, trees, d, around), len(walls))
+    found = stored(filed.groupBy("gid", "box").applyInArrow(searched, "id long, gid long, x array<double>, n long, rows long, box int, core double"), "cores")
+    far = found.filter("core is null")
+    if not large or far.isEmpty():
+        return found
+    rest = core_distances(found.withColumnRenamed("gid", "_g"), samples, max(LEAST, min(around.values())), d, block, far.select("id"))
+    return stored(found.withColumnRenamed("core", "_near").join(rest, "id", "left").select("id", "gid", "x", "n", "rows", "box", F.coalesce("_near", "core").alias("core")), "cores")
+
+
+def _forest(x: np.ndarray, core: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j (i < j), weight in ascending order (ties by i, j): the least spanning forest under max(distance, cores), of edges up to ``reach``.
+
+    At a scale that grows, all pairs of different components that it allows are the edges that can come next.
+    """
+    n = len(x)
+    comp, out = np.arange(n), []
+    scale = min(reach, float(np.quantile(core, 0.1)) or float(np.max(core)) or float(np.ptp(x, axis=0).max()) or 1.0)
+    scale = _fine(x, scale, 64)
     while True:
-        comps = state.groupBy("comp").agg(F.sum("n").alias("size"), F.max(F.col("born").isNotNull()).alias("big"))
-        at = state.select("id", "comp", F.col("born").isNotNull().alias("big"))
-        ends = tree.select(key.alias("key")).join(at.select(F.col("id").alias("_a"), F.col("comp").alias("ca"), F.col("big").alias("ba")), F.col("key.a") == F.col("_a"))
-        ends = ends.join(at.select(F.col("id").alias("_b"), F.col("comp").alias("cb"), F.col("big").alias("bb")), F.col("key.b") == F.col("_b"))
-        ends = stored(ends.filter((F.col("ca") != F.col("cb")) & ~(F.col("ba") & F.col("bb"))).select("key", "ca", "cb", "ba", "bb"), "ends")
-        if ends.isEmpty():
-            return state
-        sides = F.explode(F.array(F.struct(F.col("ca").alias("comp"), F.col("cb").alias("to"), F.col("ba").alias("big")), F.struct(F.col("cb").alias("comp"), F.col("ca").alias("to"), F.col("bb").alias("big"))))
-        out = stored(ends.select("key", sides.alias("s")).filter(~F.col("s.big")).groupBy("s.comp").agg(F.min(F.struct("key", F.col("s.to").alias("to"))).alias("e")).select("comp", "e.*"), "out")
-        back = out.select(F.col("comp").alias("to"), F.col("to").alias("back"))
-        parents = out.join(back, "to", "left").filter(F.col("back").isNull() | (F.col("back") != F.col("comp")) | (F.col("comp") > F.col("to"))).select("comp", F.col("to").alias("parent"))
-        roots = _roots(parents)
-        nodes = comps.join(out, "comp", "left").join(roots, "comp", "left").withColumn("root", F.coalesce("root", "comp"))
-        large = nodes.filter("big").select(F.col("comp").alias("root"), F.lit(True).alias("root_big"))
-        nodes = stored(nodes.join(large, "root", "left"), "nodes")
-        small = nodes.filter("root_big is null and key is not null")
-        # the least edge that leaves a tree
-        of = nodes.select("comp", "root")
-        leaving = ends.join(of.withColumnsRenamed({"comp": "ca", "root": "ra"}), "ca").join(of.withColumnsRenamed({"comp": "cb", "root": "rb"}), "cb").filter("ra <> rb")
-        leaving = leaving.select("key", F.explode(F.array("ra", "rb")).alias("root")).groupBy("root").agg(F.min("key").alias("leaves"))
-        # the edge at which the members, least first, reach the size; it is among the first least_size of them
-        order = Window.partitionBy("root").orderBy("key")
-        first = small.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= least_size + 1)
-        reach = first.withColumn("_c", F.sum("size").over(order)).filter(F.col("_c") >= least_size).groupBy("root").agg(F.min("key").alias("reach"))
-        judged = nodes.join(leaving, "root", "left").join(reach, "root", "left")
-        before = F.col("leaves").isNull() | (F.col("reach") < F.col("leaves"))
-        born = F.when(F.col("big"), F.lit(None)).when(F.col("root_big"), F.col("key")).when(F.col("reach").isNotNull() & before, F.greatest("key", "reach"))
-        moves = F.col("key").isNotNull() & (F.col("root_big") | (F.col("reach").isNotNull() & before) | F.col("leaves").isNull() | (F.col("key") < F.col("leaves")))
-        step = judged.select("comp", F.when(moves, F.col("root")).otherwise(F.col("comp")).alias("next"), born.alias("now"))
-        state = stored(state.join(step, "comp").select("id", F.col("next").alias("comp"), "n", F.coalesce("born", "now").alias("born")), "born")
+        live = np.flatnonzero(core <= scale)
+        parts = []
+        for i, j, dist in _near(x[live], np.arange(len(live)), scale, comp[live]) if len(live) else ():
+            i, j = live[i], live[j]
+            w = np.maximum(np.maximum(dist, core[i]), core[j])
+            parts.append((np.minimum(i, j), np.maximum(i, j), w))
+        if parts:
+            i, j, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((j, i, w))
+            i, j, w = i[order], j[order], w[order]
+            kept, comp = _taken(comp, i, j)
+            out.append((i[kept], j[kept], w[kept]))
+        if scale >= reach or (comp == comp[0]).all():
+            break
+        scale = min(reach, scale * 1.4142)
+    if not out:
+        return np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _taken(comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which edges, given in ascending order, a least spanning forest over components takes, and the components then."""
+    m, e, kept = len(i), np.arange(len(i)), []
+    while True:
+        a, b = comp[i[e]], comp[j[e]]
+        k = a != b
+        e, a, b = e[k], a[k], b[k]
+        if not len(e):
+            return np.sort(np.concatenate(kept)) if kept else e, comp
+        first, other = np.full(len(comp), m), np.full(len(comp), m)
+        first[a[::-1]], other[b[::-1]] = e[::-1], e[::-1]  # of several the last one written stays: the least
+        first = np.minimum(first, other)
+        ends = np.flatnonzero(first < m)
+        edge = first[ends]
+        kept.append(np.unique(edge))
+        top = np.arange(len(comp))
+        top[ends] = np.where(comp[i[edge]] == ends, comp[j[edge]], comp[i[edge]])
+        back = ends[(top[top[ends]] == ends) & (ends < top[ends])]
+        top[back] = back
+        while (top[top] != top).any():
+            top = top[top]
+        comp = top[comp]
+
+
+#: Rows of a level of a hierarchy. 0: vertex u went into v, and with the edge (d, a, b) into the cluster ``leaf`` or that of v; 1: the
+#: edge joins the clusters ``leaf`` and ``other``, or those of u and v; 2: vertex u of n rows is left; 3: so is the edge, between u and v,
+#: of which those outside are null, in boxes p and q; 4: a cluster ``leaf`` is born.
+_LEVEL = {"kind": pa.int32(), "gid": pa.int64(), "box": pa.int32(), "d": pa.float64(), "a": pa.int64(), "b": pa.int64(), "u": pa.int64(), "v": pa.int64(), "p": pa.int32(), "q": pa.int32(), "n": pa.int64(), "leaf": pa.int64(), "other": pa.int64(), "x": pa.list_(pa.float64())}
+_LEVEL_SQL = "kind int, gid long, box int, d double, a long, b long, u long, v long, p int, q int, n long, leaf long, other long, x array<double>"
+
+
+def _contracted(ids: list[int], size: list[int], leaf: list[int | None], u: list[int], v: list[int], least: int) -> tuple:
+    """What is certain of single linkage in a region, given vertices and, in ascending order, edges between their positions (-1: outside).
+
+    A component is open once an edge has left it. Others are whole: a vertex each, whose merges are final. A whole one goes
+    into an open one by an edge that is its own least; if the open one has ``least_size`` rows here, it has them whatever is
+    outside. Between open components, and where the size of an open one is not known, the edge and both vertices are kept.
+    Returns into, born and cluster by vertex (born: the edge's position, -1 none), the joins of clusters, edges kept, clusters born.
+    """
+    n = len(ids)
+    had = np.array([k is not None for k in leaf], dtype=bool)
+    whole, into, up = list(range(n)), list(range(n)), list(range(n))
+    count, opened, born, cluster = size.copy(), [False] * n, [-1] * n, [None] * n
+    joins, kept, fresh = [], [], []
+
+    def find(top: list[int], k: int) -> int:
+        while top[k] != k:
+            top[k] = k = top[top[k]]
+        return k
+
+    for e, (p, q) in enumerate(zip(u, v, strict=True)):
+        if p < 0 or q < 0:
+            opened[find(whole, max(p, q))] = True
+            kept.append(e)
+            continue
+        a, b = find(whole, p), find(whole, q)
+        if a == b:
+            continue
+        if opened[a]:
+            p, q, a, b = q, p, b, a
+        if opened[a] or (opened[b] and count[b] < least):
+            kept.append(e)
+        else:  # a is whole
+            x, y = find(into, p), find(into, q)
+            if leaf[x] is not None and (opened[b] or leaf[y] is not None):
+                joins.append((e, leaf[x], x, leaf[y], y))
+            elif leaf[x] is not None:
+                x, y = y, x
+                born[x], cluster[x] = e, leaf[y]
+            elif opened[b] or leaf[y] is not None:
+                born[x], cluster[x] = e, leaf[y]
+            else:
+                size[y] += size[x]
+                if size[y] >= least:
+                    born[x] = born[y] = e
+                    leaf[y] = cluster[x] = cluster[y] = ids[y]
+                    fresh.append(ids[y])
+            into[x] = up[x] = y
+        whole[a] = b
+        count[b] += count[a]
+        opened[b] = opened[a] or opened[b]
+    at = np.arange(n)
+    up, settled = np.array(up, dtype=int), had | (np.array(born, dtype=int) >= 0)
+    while (move := ~settled[at] & (up[at] != at)).any():
+        at[move] = up[at[move]]
+    return [find(into, k) for k in range(n)], [born[k] for k in at], [cluster[k] for k in at], joins, kept, fresh
+
+
+def _level(gid: int, box: int, ids: np.ndarray, size: np.ndarray, leaf: list, edges: tuple, least: int, x: np.ndarray | None = None) -> pa.Table:
+    """Rows of a region's level. Edges are d, a, b, u, v, p, q in ascending order; ``x`` for points, that have no clusters yet."""
+    d, a, b, u, v, p, q = edges
+    names, rows, before = ids.tolist(), size.tolist(), leaf.copy()
+    heavy = [] if x is None else np.flatnonzero(size >= least).tolist()
+    for k in heavy:
+        leaf[k] = names[k]
+    start = leaf.copy()
+    into, born, cluster, joins, kept, fresh = _contracted(names, rows, leaf, u.tolist(), v.tolist(), least)
+    born = np.array(born, dtype=int)
+    when = born >= 0
+    first = np.array([s is not None and o is None for s, o in zip(start, before, strict=True)], dtype=bool)
+    key = lambda c, none: pa.array(np.where(when, c[born] if len(c) else none, none), mask=~(when | first))
+    into, roots = np.array(into, dtype=int), np.unique(np.array(into, dtype=int))
+    of = [s if s is not None else c for s, c in zip(start, cluster, strict=True)]
+    j = np.array([t[0] for t in joins], dtype=int)
+    kept = np.array(kept, dtype=int)
+    ends = [(c[kept], np.where(c[kept] >= 0, into[c[kept]], 0)) for c in (u, v)]
+    parts = [
+        (0, len(ids), {"d": key(d, 0.0), "a": key(a, -1), "b": key(b, -1), "u": ids, "v": ids[into], "n": size, "leaf": of} | ({} if x is None else {"x": pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())})),
+        (1, len(j), {"d": d[j], "a": a[j], "b": b[j], "leaf": [t[1] for t in joins], "u": ids[[t[2] for t in joins]] if joins else [], "other": [t[3] for t in joins], "v": ids[[t[4] for t in joins]] if joins else []}),
+        (2, len(roots), {"u": ids[roots], "n": [rows[k] for k in roots], "leaf": [leaf[k] for k in roots]}),
+        (3, len(kept), {"d": d[kept], "a": a[kept], "b": b[kept], "p": p[kept], "q": q[kept], **{c: pa.array(ids[to] if len(ids) else to, mask=at < 0) for c, (at, to) in zip("uv", ends, strict=True)}}),
+        (4, len(fresh) + len(heavy), {"leaf": fresh + [names[k] for k in heavy]}),
+    ]
+    tables = []
+    for kind, n, columns in parts:
+        columns |= {"kind": np.full(n, kind), "gid": np.full(n, gid), "box": np.full(n, box)}
+        tables.append(pa.table({c: (columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], type=t)).cast(t) if c in columns else pa.nulls(n, t) for c, t in _LEVEL.items()}))
+    return pa.concat_tables(tables).combine_chunks()
+
+
+def _first_level(filed: DataFrame, cut: tuple, reach: dict[int, float], d: int, least: int) -> DataFrame:
+    """Stored rows of the first level: a task takes the least spanning forest of a box and of what is within ``reach``, and contracts the box.
+
+    An edge of the whole tree is one of every such forest that sees both its ends, so one from a box to another that only
+    one of both finds is none; until the next level it counts as leaving.
+    """
+    _, trees, walls = cut
+
+    def contracted(key, table):
+        gid, box = (k.as_py() for k in key)
+        table = table.take(pa.array(np.argsort(table["id"].to_numpy())))
+        ids, home, size = (table[c].to_numpy() for c in ("id", "home", "n"))
+        x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, d)
+        i, j, w = _forest(x, table["core"].to_numpy(), reach.get(gid, np.inf))
+        k = (home[i] == box) | (home[j] == box)
+        i, j, w = i[k], j[k], w[k]
+        own = np.flatnonzero(home == box)
+        if not len(own):
+            return pa.table({c: pa.nulls(0, t) for c, t in _LEVEL.items()})
+        at = np.full(len(ids), -1)
+        at[own] = np.arange(len(own))
+        order = np.lexsort((j, i, w))
+        i, j, w = i[order], j[order], w[order]
+        return _level(gid, box, ids[own], size[own], [None] * len(own), (w, ids[i], ids[j], at[i], at[j], home[i], home[j]), least, x[own])
+
+    near = _tasks(_spread(filed.select("id", "gid", "x", "n", "core"), trees, d, reach), len(walls))
+    return stored(near.groupBy("gid", "box").applyInArrow(contracted, _LEVEL_SQL), "level")
+
+
+def _next_level(rows: DataFrame, width: int, boxes: int, least: int) -> DataFrame:
+    """Stored rows of the next level, of what ``FAN`` boxes of the level before have left; of the first one ``width`` are one of it, in all ``boxes``."""
+
+    def contracted(key, table):
+        gid, box = (k.as_py() for k in key)
+        kind = table["kind"].to_numpy()
+        left = table.filter(pa.array(kind == 2))
+        left = left.take(pa.array(np.argsort(left["u"].to_numpy())))
+        edges = table.filter(pa.array(kind == 3))
+        ids = left["u"].to_numpy()
+        d, a, b, p, q = (edges[c].to_numpy() for c in ("d", "a", "b", "p", "q"))
+        ends = [np.where(edges[c].is_null().to_numpy(), -1, np.searchsorted(ids, edges[c].fill_null(0).to_numpy())) for c in ("u", "v")]
+        order = np.lexsort((b, a, d))
+        d, a, b, p, q = (c[order] for c in (d, a, b, p, q))
+        first = np.flatnonzero(np.diff(a, prepend=a[:1] - 1) | np.diff(b, prepend=b[:1] - 1))
+        u, v = (np.maximum.reduceat(c[order], first) if len(first) else c for c in ends)
+        d, a, b, p, q = (c[first] for c in (d, a, b, p, q))
+        # a lone side whose other box is here too: that box found a shorter way
+        k = ((u >= 0) | (p // width != box)) & ((v >= 0) | (q // width != box))
+        return _level(gid, box, ids, left["n"].to_numpy(), left["leaf"].to_pylist(), tuple(c[k] for c in (d, a, b, u, v, p, q)), least)
+
+    some = rows.filter("kind in (2, 3)").withColumn("box", F.expr(f"box div {FAN}").cast("int"))
+    return stored(_tasks(some, boxes).groupBy("gid", "box").applyInArrow(contracted, _LEVEL_SQL), "level")
+
+
+def _hierarchy(filed: DataFrame, cut: tuple, d: int, least: int, block: int) -> list[DataFrame]:
+    """Rows of all levels of single linkage under max(distance, cores); after the last one every group is one component."""
+    large, _, walls = cut
+    reach = {}
+    if large:
+        of = filed.filter(F.col("gid").isin(list(large))).groupBy("gid").agg(F.max("core").alias("most"), F.percentile_approx("core", 0.99).alias("many"))
+        for r in of.collect():
+            reach[r["gid"]] = max(LEAST, min(1.5 * min(r["most"], 4 * r["many"]), _width(walls, r["gid"]) / 2))
+    levels = [_first_level(filed, cut, reach, d, least)]
+    boxes, width = max([b + 1 for _, b in walls], default=1), 1
+    while boxes > 1:
+        boxes, width = -(-boxes // FAN), width * FAN
+        levels.append(_next_level(levels[-1], width, boxes * len(large), least))
+    apart = levels[-1].filter("kind = 2").groupBy("gid").count().filter("count > 1")
+    if apart.isEmpty():
+        return levels
+    # what is farther apart than the reach: longer edges come after all those above, in one more level
+    comps = levels[0].filter("kind = 0").select(F.col("u").alias("id"), "v")
+    for level in levels[1:]:
+        comps = comps.join(level.filter("kind = 0").select(F.col("u").alias("v"), F.col("v").alias("_v")), "v").select("id", F.col("_v").alias("v"))
+    comps = stored(comps.withColumnRenamed("v", "comp"), "components")
+    points = filed.join(apart.select("gid"), "gid", "left_semi").withColumnRenamed("gid", "_g")
+    longer = spanning_tree(points, max(reach.values()), d, block, comps)
+    ends = [comps.select(F.col("id").alias(of), F.col("comp").alias(to)) for of, to in ("au", "bv")]
+    longer = longer.join(ends[0], "a").join(ends[1], "b").join(filed.select(F.col("id").alias("a"), "gid"), "a")
+    named = {"kind": F.lit(3), "box": F.lit(0), "p": F.lit(0), "q": F.lit(0)}
+    empty = {c: F.lit(None) for c in ("n", "leaf", "other", "x")}
+    more = levels[-1].filter("kind = 2").unionByName(longer.withColumns(named | empty).select(*_LEVEL))
+    return [*levels, _next_level(more, width, 1, least)]
+
+
+def _resolved(levels: list[DataFrame]) -> list[DataFrame]:
+    """For each level but the first u, and after all levels: the cluster it came into (leaf), with the edge (d, a, b) if that was not known below. Stored."""
+    out: list[DataFrame] = []
+    for level in reversed(levels[1:]):
+        now = level.filter("kind = 0").select("u", "v", "leaf", "d", "a", "b")
+        now = _came_into(now, "v", out[0], "leaf", key=True) if out else now
+        out.insert(0, stored(now.drop("v"), "resolved"))
+    return out
+
+
+def _came_into(df: DataFrame, to: str, above: DataFrame, leaf: str, key: bool = False) -> DataFrame:
+    """``df`` with ``leaf``, where it was null, that of the vertex ``to`` in ``above``; with ``key`` also the edge (d, a, b) if that was null."""
+    above = above.select(F.col("u").alias(to), F.col("leaf").alias("_leaf"), *[F.col(c).alias(f"_{c}") for c in "dab"])
+    known, open_ = df.filter(F.col(leaf).isNotNull()), df.filter(F.col(leaf).isNull()).join(above, to, "left")
+    new = {leaf: F.col("_leaf")} | ({c: F.when(F.col("d").isNull(), F.col(f"_{c}")).otherwise(F.col(c)) for c in "dab"} if key else {})
+    return known.unionByName(open_.select(*[new.get(c, F.col(c)).alias(c) for c in df.columns]))
+
+
+def _skeleton(key: tuple, table: pa.Table) -> pa.Table:
+    """A row of a group: its clusters of least size (leaf), and by node (a leaf, then in order the edges that join clusters) the parent."""
+    joins = table.filter(table["other"].is_valid())
+    d, a, b = (joins[c].to_numpy() for c in "dab")
+    order = np.lexsort((b, a, d))
+    leaf = np.sort(table.filter(table["other"].is_null())["leaf"].to_numpy())
+    ends = [np.searchsorted(leaf, joins[c].to_numpy())[order].tolist() for c in ("leaf", "other")]
+    n = len(leaf)
+    top, node, parent = list(range(n)), list(range(n)), [-1] * (n + len(order))
+
+    def find(k: int) -> int:
+        while top[k] != k:
+            top[k] = k = top[top[k]]
+        return k
+
+    for m, (u, v) in enumerate(zip(*ends, strict=True), n):
+        u, v = find(u), find(v)
+        parent[node[u]] = parent[node[v]] = m
+        top[u], node[v] = v, m
+    return pa.table({"gid": [key[0].as_py()], "leaves": [leaf], "parent": pa.array([parent], type=pa.list_(pa.int32())), "js": [d[order]], "as": [a[order]], "bs": [b[order]]})
+
+
+def _nodes(table: pa.Table, leaf: np.ndarray, key: tuple) -> np.ndarray:
+    """The node of each row: the last one above its leaf whose edge comes before the row's (d, a, b)."""
+    leaves, parent, *edges = (table[c].combine_chunks().flatten().to_numpy() for c in ("leaves", "parent", "js", "as", "bs"))
+    n = len(edges[0])
+    order = np.lexsort([np.concatenate(c) for c in zip(edges, key, strict=True)][::-1])
+    before = np.empty(len(order), dtype=int)
+    before[order] = np.cumsum(order < n)
+    last = len(leaves) + before[n:]  # nodes from here on come after the row
+    none = len(parent)
+    lift = [np.append(np.where(parent < 0, none, parent), none)]
+    while (lift[-1] < none).any():
+        lift.append(lift[-1][lift[-1]])
+    at = np.searchsorted(leaves, leaf)
+    for up in reversed(lift):
+        at = np.where(up[at] < last, up[at], at)
+    return at
+
+
+def _chosen(key: tuple, table: pa.Table, own: pa.Table) -> pa.Table:
+    """node, label (within the group), most, clusters: of the nodes in clusters, by excess of mass."""
+    gid = key[0].as_py()
+    if not len(table):
+        return pa.table({"gid": pa.nulls(0, pa.int64()), "node": pa.nulls(0, pa.int32()), "label": pa.nulls(0, pa.int32()), "most": pa.nulls(0, pa.float64()), "clusters": pa.nulls(0, pa.int32())})
+    leaves, parent, edge = (table[c].combine_chunks().flatten().to_numpy() for c in ("leaves", "parent", "js"))
+    n = len(parent)
+    node = own["node"].to_numpy()
+    mine = {c: np.zeros(n) for c in ("n", "s", "most")} | {"least": np.full(n, np.iinfo(np.int64).max)}
+    for c, of in mine.items():
+        of[node] = own[c].to_numpy()
+    split = np.concatenate([np.zeros(len(leaves)), 1 / np.maximum(edge, LEAST)])
+    birth = np.where(parent >= 0, split[parent], 0.0).tolist()
+    most = np.maximum(split, mine["most"])
+    size, s, least, split, parent = mine["n"].tolist(), mine["s"].tolist(), mine["least"].tolist(), split.tolist(), parent.tolist()
+    count, under, chosen = [0.0] * n, [0.0] * n, [False] * n
+    for k in range(n):  # children come before parents
+        stability = s[k] - size[k] * birth[k] + count[k] * (split[k] - birth[k])
+        chosen[k] = parent[k] >= 0 and not (k >= len(leaves) and under[k] > stability)
+        if parent[k] >= 0:
+            up = parent[k]
+            count[up] += count[k] + size[k]
+            under[up] += stability if chosen[k] else under[k]
+            least[up] = min(least[up], least[k])
+    cluster = [-1] * n
+    for k in reversed(range(n)):  # parents first: the highest chosen one holds all below it
+        above = cluster[parent[k]] if parent[k] >= 0 else -1
+        cluster[k] = above if above >= 0 else k if chosen[k] else -1
+    cluster = np.array(cluster)
+    taken = np.unique(cluster[cluster >= 0])
+    number = np.empty(len(taken), dtype=np.int32)
+    number[np.argsort(np.array(least)[taken])] = np.arange(len(taken))
+    k = np.flatnonzero(cluster >= 0)
+    label = number[np.searchsorted(taken, cluster[k])]
+    return pa.table({"gid": np.full(len(k), gid), "node": k.astype(np.int32), "label": label, "most": most[cluster[k]], "clusters": np.full(len(k), len(taken), dtype=np.int32)})
+
+
+def _nearest(queries: DataFrame, centres: DataFrame, cut: tuple, d: int) -> DataFrame:
+    """id, nearest: the label of the nearest centre (gid, label, c) of each query's (id, gid, x) group, ties the least; none where the group has none.
+
+    A task takes the queries of a box with the centres in and around it; queries for which that is not enough go to all boxes
+    within the distance found.
+    """
+    large, trees, walls = cut
+    around = {g: _width(walls, g) for g in large}
+    around = {g: w if np.isfinite(w) else 0.0 for g, w in around.items()}
+    queries = queries.join(centres.select("gid").distinct(), "gid", "left_semi")
+    schema = "id long, gid long, x array<double>, gap double, label int, far boolean"
+
+    def compared(key, asked, known):
+        gid, box = (k.as_py() for k in key)
+        asked, known = (t.take(pa.array(np.argsort(t[c].to_numpy()))) for t, c in ((asked, "id"), (known, "label")))
+        n = len(asked)
+        x, c = (t["x"].combine_chunks().flatten().to_numpy().reshape(-1, d) if len(t) else np.empty((0, d)) for t in (asked, known))
+        gap, label = np.full(n, np.inf), np.full(n, -1)
+        for k in range(0, n if len(c) else 0, max(1, 2**20 // max(1, len(c)))):
+            part = slice(k, k + max(1, 2**20 // len(c)))
+            total = np.zeros((len(x[part]), len(c)))
+            for axis in range(d):
+                total += (x[part, axis, None] - c[None, :, axis]) ** 2
+            at = total.argmin(axis=1)
+            gap[part], label[part] = total[np.arange(len(at)), at], known["label"].to_numpy()[at]
+        far = np.sqrt(gap) >= (_room(x, walls.get((gid, box))) + around.get(gid, np.inf)) * (1 - 1e-9) if (gid, box) in walls else np.zeros(n, dtype=bool)
+        return pa.table({"id": asked["id"], "gid": asked["gid"], "x": asked["x"], "gap": gap, "label": pa.array(label, type=pa.int32()), "far": far}).select(["id", "gid", "x", "gap", "label", "far"])
+
+    def search(asked: DataFrame, known: DataFrame) -> DataFrame:
+        return asked.groupBy("gid", "box").cogroup(known.groupBy("gid", "box")).applyInArrow(compared, schema)
+
+    at = centres.select("gid", "label", F.col("c").alias("x"))
+    found = search(queries.select("id", "gid", "x", "box"), _spread(at, trees, d, around).drop("home"))
+    if not trees:
+        return found.select("id", F.col("label").alias("nearest"))
+    found = stored(found, "nearest")
+    far = found.filter("far").withColumn("reach", F.col("gap"))
+    if far.isEmpty():
+        return found.select("id", F.col("label").alias("nearest"))
+    far = far.withColumn("reach", F.sqrt("gap")).select("id", "gid", "x", "reach")
+    again = search(_spread(far, trees, d, "reach").select("id", "gid", "x", "box"), _spread(at, trees, d).drop("home"))
+    again = again.filter("label >= 0").groupBy("id").agg(F.min(F.struct("gap", "label"))["label"].alias("nearest"))
+    return found.filter("not far").select("id", F.col("label").alias("nearest")).unionByName(again)
 
 
 def density_clusters(df: DataFrame, key: str, features: Sequence[str], group: Sequence[str] = (), least_size: int | None = None, samples: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -306,8 +798,8 @@ def density_clusters(df: DataFrame, key: str, features: Sequence[str], group: Se
     under ``least_size`` rows aside; those of the largest stability are taken, never a whole group. Labels are numbered by
     group and smallest key; -1 is noise, and ``nearest`` names the cluster with the nearest mean then (-1 where the group
     has none). Rows with a null in a feature or key are left out; keys must be whole numbers and differ.
-    By default ``least_size`` is 50 or 0.05 % of all rows, so there are at most 2,000 leaf clusters; a hierarchy of over
-    ``LEAVES`` leaves raises, since its skeleton goes through the driver.
+    By default ``least_size`` is 50 or 0.05 % of all rows. A group's tree of clusters, one for each join of two parts that
+    have the size, is settled in a task; its points are not.
     """
     rows, points = _points(df, key, features, group)
     total = rows.count()
@@ -316,75 +808,54 @@ def density_clusters(df: DataFrame, key: str, features: Sequence[str], group: Se
     names = [F.col(f"_g.{c}").alias(c) for c in group]
     if not total:
         return rows.select(F.col("_key").alias(key), *names, F.lit(-1).alias("label"), F.lit(0.0).alias("probability"), F.lit(-1).alias("nearest"))
-    d, scale = len(features), _start(points, block)
-    with_core = stored(points.join(core_distances(points, samples, scale, d, block), "id"), "cores")
-    tree = spanning_tree(with_core, scale, d, block)
-    state = _born(points, tree, least_size)
-    # the skeleton: a leaf for each component that reached the size, a node for each edge between two such
-    leaves = state.filter("born is not null").join(points.select("id", "_g"), "id").groupBy("comp").agg(F.first("_g").alias("_g"))
-    leaf = [r["comp"] for r in leaves.select("comp").limit(LEAVES + 1).collect()]
-    if len(leaf) > LEAVES:
-        raise ValueError(f"over {LEAVES} leaf clusters; take a larger least_size than {least_size}")
-    ends = state.filter("born is not null").select("id", "comp")
-    cross = tree.join(ends.withColumnsRenamed({"id": "a", "comp": "ca"}), "a").join(ends.withColumnsRenamed({"id": "b", "comp": "cb"}), "b").filter("ca <> cb")
-    merges = sorted((r["d"], r["a"], r["b"], r["ca"], r["cb"]) for r in cross.collect())  # fewer than leaves
-    parent: dict[int, int] = {}
-    top = {c: k for k, c in enumerate(leaf)}
-    members = {k: [c] for c, k in top.items()}
-    at: dict[int, tuple] = {}
-    children: dict[int, list[int]] = {}
-    chains: dict[int, list[tuple]] = {c: [] for c in leaf}
-    for n, (w, a, b, ca, cb) in enumerate(merges, len(leaf)):
-        children[n] = [top[ca], top[cb]]
-        at[n] = (w, a, b)
-        members[n] = [c for k in children[n] for c in members.pop(k)]
-        for k in children[n]:
-            parent[k] = n
-        for c in members[n]:
-            top[c] = n
-            chains[c].append((float(w), int(a), int(b), n))
-    spark = df.sparkSession
-    chain = spark.createDataFrame([(c, k, chains[c]) for k, c in enumerate(leaf)], "comp long, leaf int, chain array<struct<d: double, a: long, b: long, node: int>>")
-    passed = F.filter("chain", lambda m: F.struct(m["d"].alias("d"), m["a"].alias("a"), m["b"].alias("b")) < F.col("born"))
-    placed = state.filter("born is not null").join(checked_broadcast(chain), "comp").withColumn("_passed", passed)
-    inverse = 1 / F.greatest(F.col("born.d"), F.lit(LEAST))
-    placed = stored(placed.select("id", "n", F.when(F.size("_passed") > 0, F.element_at("_passed", -1)["node"]).otherwise(F.col("leaf")).alias("node"), inverse.alias("density")), "placed")
-    own = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("density")).alias("s"), F.max("density").alias("most"), F.min("id").alias("least")).collect()}
-    size, stability, most, least = {}, {}, {}, {}
-    for k in range(len(leaf) + len(merges)):  # children come before parents
-        birth = 1 / max(at[parent[k]][0], LEAST) if k in parent else 0.0
-        below = sum(size[c] for c in children.get(k, []))
-        split = 1 / max(at[k][0], LEAST) if k in at else 0.0
-        mine = own.get(k)
-        size[k] = below + (mine["n"] if mine else 0)
-        stability[k] = (mine["s"] - mine["n"] * birth if mine else 0.0) + below * (split - birth)
-        most[k] = max(split, mine["most"] if mine else 0.0)
-        least[k] = min([least[c] for c in children.get(k, [])] + ([mine["least"]] if mine else []))
-    best, chosen = {}, {}
-    for k in range(len(leaf) + len(merges)):
-        under = sum(best[c] for c in children.get(k, []))
-        chosen[k] = k in parent and not (k in children and under > stability[k])
-        best[k] = stability[k] if chosen[k] else under
-    cluster: dict[int, int] = {}
-    for k in reversed(range(len(leaf) + len(merges))):  # parents first: the highest chosen one holds all below it
-        above = cluster.get(parent[k]) if k in parent else None
-        if above is not None or chosen[k]:
-            cluster[k] = above if above is not None else k
-    group_of = {r["comp"]: tuple((v is not None, v) for v in r["_g"]) for r in leaves.collect()}
-    first_leaf = {}
-    for k in range(len(leaf) + len(merges)):
-        first_leaf[k] = leaf[k] if k < len(leaf) else first_leaf[children[k][0]]
-    taken = sorted(set(cluster.values()), key=lambda k: (group_of[first_leaf[k]], least[k]))
-    number = {k: i for i, k in enumerate(taken)}
-    labels = spark.createDataFrame([(k, number[c], float(most[c])) for k, c in cluster.items()], "node int, label int, most double")
-    labelled = placed.join(checked_broadcast(labels), "node").select("id", "label", F.least(F.lit(1.0), F.col("density") / F.col("most")).alias("probability"))
-    found = stored(rows.join(labelled, "id", "left").select("_key", "_g", "x", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("probability", F.lit(0.0)).alias("probability")), "clusters")
-    means = found.filter("label >= 0").groupBy("_g", "label").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(d)]).alias("c"))
-    centres = means.groupBy("_g").agg(F.collect_list(F.struct("label", "c")).alias("centres"))  # LEAVES at most
-    gap = lambda c: F.aggregate(F.zip_with("x", c, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
-    nearest = F.array_min(F.transform("centres", lambda m: F.struct(gap(m["c"]).alias("g"), m["label"].alias("label"))))["label"]
-    out = found.join(checked_broadcast(centres), "_g", "left")
-    return out.select(F.col("_key").alias(key), *names, "label", "probability", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce(nearest, F.lit(-1))).alias("nearest"))
+    d, spark = len(features), df.sparkSession
+    groups, now = _grouped(points)
+    cut = _cut(now, d)
+    filed = _cores(now, samples, d, block, cut)
+    levels = _hierarchy(filed, cut, d, least_size, block)
+    resolved, joins = _resolved(levels), None
+    for k, level in enumerate(levels):
+        one = stored(level.filter("kind in (1, 4)").select("kind", "gid", "d", "a", "b", "leaf", "other", "u", "v"), "joins")
+        fresh = one.filter("kind = 4")
+        if k < len(resolved):
+            one = _came_into(_came_into(one.filter("kind = 1"), "u", resolved[k], "leaf"), "v", resolved[k], "other").unionByName(fresh)
+        one = one.drop("kind", "u", "v")
+        joins = one if joins is None else joins.unionByName(one)
+    skeleton = stored(joins.groupBy("gid").applyInArrow(_skeleton, "gid long, leaves array<long>, parent array<int>, js array<double>, `as` array<long>, bs array<long>"), "skeleton")
+    state = levels[0].filter("kind = 0").select("gid", "box", F.col("u").alias("id"), "x", "n", "d", "a", "b", "leaf", "v")
+    state = _came_into(state, "v", resolved[0], "leaf", key=True) if resolved else state
+    state = state.drop("v").withColumn("part", F.expr(f"box div {PART}").cast("int"))
+    boxes: dict[int, int] = {}
+    for g, b in cut[2]:
+        boxes[g] = max(boxes.get(g, 0), b // PART)
+    parts = spark.createDataFrame([(g, k) for g, most in boxes.items() for k in range(most + 1)], "gid long, part int")
+    shared = skeleton.join(checked_broadcast(parts), "gid", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+
+    def placed(key, table, tree):
+        leaf = table["leaf"]
+        k = np.flatnonzero(leaf.is_valid().to_numpy())
+        node, density = np.full(len(table), -1, dtype=np.int32), np.zeros(len(table))
+        if len(k):
+            d, a, b = (table[c].take(pa.array(k)).to_numpy() for c in "dab")
+            node[k], density[k] = _nodes(tree, leaf.take(pa.array(k)).to_numpy(), (d, a, b)), 1 / np.maximum(d, LEAST)
+        return table.select(["gid", "box", "id", "x", "n"]).append_column("node", pa.array(node)).append_column("density", pa.array(density))
+
+    state, shared = (_tasks(of, sum(boxes.values()) + len(boxes), "part") for of in (state, shared))
+    state = state.groupBy("gid", "part").cogroup(shared.groupBy("gid", "part")).applyInArrow(placed, "gid long, box int, id long, x array<double>, n long, node int, density double")
+    state = stored(state, "placed")
+    own = state.filter("node >= 0").groupBy("gid", "node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("density")).alias("s"), F.max("density").alias("most"), F.min("id").alias("least"))
+    labels = stored(skeleton.groupBy("gid").cogroup(own.groupBy("gid")).applyInArrow(_chosen, "gid long, node int, label int, most double, clusters int"), "labels")
+    several = groups.join(labels.select("gid", "clusters").distinct(), "gid")
+    offset = several.select("gid", F.coalesce(F.sum("clusters").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("offset"))
+    labels = labels.join(checked_broadcast(offset), "gid").select("gid", "node", (F.col("label") + F.col("offset")).alias("label"), "most")
+    probability = F.when(F.col("label").isNotNull(), F.least(F.lit(1.0), F.col("density") / F.col("most")))
+    found = state.join(checked_broadcast(labels), ["gid", "node"], "left").select("gid", "box", "id", "x", "n", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce(probability, F.lit(0.0)).alias("probability"))
+    found = stored(found, "clusters")
+    mean = [F.sum(F.get("x", F.lit(i)) * F.col("n")) / F.sum("n") for i in range(d)]
+    means = stored(found.filter("label >= 0").groupBy("gid", "label").agg(F.array(*mean).alias("c")), "means")
+    nearest = _nearest(found.filter("label < 0"), means, cut, d)
+    out = rows.select("_key", "_g", "id").join(found.select("id", "label", "probability").join(nearest, "id", "left"), "id")
+    return out.select(F.col("_key").alias(key), *names, "label", "probability", F.when(F.col("label") >= 0, F.col("label")).otherwise(F.coalesce("nearest", F.lit(-1))).alias("nearest"))
 
 
 def ward_merges(df: DataFrame, key: str, features: Sequence[str], group: Sequence[str] = (), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:

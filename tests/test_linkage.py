@@ -137,6 +137,59 @@ def test_density_by_group_with_copies(spark):
         assert len(set(same.values())) == len(same) and same.get(-1, -1) == -1
 
 
+def test_density_by_boxes(spark, monkeypatch):
+    """Boxes of 120 points in three levels give what all pairs give, copies and parts farther apart than boxes look included."""
+    for name, value in {"LEFT": 120, "FAN": 2, "PART": 2}.items():
+        monkeypatch.setattr(linkage, name, value, raising=False)
+    x = blobs(800, 2, seed=3)
+    x[100:300] = np.round(x[100:300], 1)  # copies, and many equal distances
+    x[500:] += 12
+    x, first = np.unique(x, axis=0, return_index=True)
+    ids = np.random.default_rng(2).permutation(len(x)) * 2
+    labels, probability = plain_density(ids, x, 12, 5)
+    got = density(spark, x, ids, least_size=12, samples=5, block=64)
+    assert {r["id"]: r["label"] for r in got} == labels and len(set(labels.values())) > 3
+    assert all(math.isclose(r["probability"], probability[r["id"]], rel_tol=1e-9) for r in got)
+    means = {k: x[[labels[i] == k for i in ids.tolist()]].mean(axis=0) for k in set(labels.values()) - {-1}}
+    at = {int(i): p for i, p in zip(ids, x, strict=True)}
+    assert all(r["nearest"] == (r["label"] if r["label"] >= 0 else min(means, key=lambda k: ((at[r["id"]] - means[k]) ** 2).sum())) for r in got)
+
+
+def test_density_takes_few_rounds(spark, monkeypatch):
+    """3,764 voxels in boxes of 1,000 are stored a few times, with the result of one box."""
+    x = lattice(4000, 1)
+    whole = density(spark, x, np.arange(len(x)), least_size=20, samples=5)
+    monkeypatch.setattr(linkage, "LEFT", 1000)
+    count, keep = [], linkage.stored
+    monkeypatch.setattr(linkage, "stored", lambda df, name: count.append(name) or keep(df, name))
+    assert sorted(density(spark, x, np.arange(len(x)), least_size=20, samples=5)) == sorted(whole)
+    assert len({r["label"] for r in whole}) > 5 and len(count) < 25
+
+
+def test_density_of_many_clusters(spark):
+    """4,200 pairs are as many clusters, none of which passes the driver."""
+    x = np.array([[10.0 * k + s] for k in range(4200) for s in (0, 1)])
+    got = density(spark, x, np.arange(8400), least_size=2, samples=1)
+    assert {r["id"]: (r["label"], r["probability"]) for r in got} == {k: (k // 2, 1.0) for k in range(8400)}
+
+
+def test_contracted_regions_equal_the_whole():
+    """What half a line of points is certain of, joins of clusters and edges that points come in by, is so for the whole line."""
+    rng = np.random.default_rng(4)
+    n, least = 600, 7
+    u = rng.permutation(n - 1)
+    v = u + 1
+    into, born, _, joins, kept, fresh = linkage._contracted(list(range(n)), [1] * n, [None] * n, u.tolist(), v.tolist(), least)
+    assert not kept and set(into) == {into[0]} and len(joins) == len(fresh) - 1 > 20
+    inside = lambda e, low, high: int(low <= e < high)
+    for low, high in ((0, 300), (300, 600)):
+        k = [e for e in range(len(u)) if inside(u[e], low, high) or inside(v[e], low, high)]
+        place = lambda p: int(p) - low if inside(p, low, high) else -1  # noqa: B023, E731
+        part = linkage._contracted(list(range(low, high)), [1] * 300, [None] * 300, [place(u[e]) for e in k], [place(v[e]) for e in k], least)
+        assert all(b < 0 or k[b] == born[low + p] for p, b in enumerate(part[1]))
+        assert {k[j[0]] for j in part[3]} <= {j[0] for j in joins} and len(part[3]) > 5 and part[4]
+
+
 def test_density_of_odd_tables(spark):
     none = spark.createDataFrame([], "id long, a double")
     assert linkage.density_clusters(none, "id", ["a"]).count() == 0
