@@ -1,10 +1,10 @@
 """Clusters of points by linkage: density clusters with a stability for each, and Ward's agglomeration.
 
-Densities search for near pairs at a scale that doubles: points are filed in cells as wide as the scale, cells are dealt to
-blocks of a bounded number of points, and a task compares two blocks, of which only each point's nearest goes on. Blocks of
-one component are not compared with each other, so what has merged at a small scale costs nothing at a larger one. Ward's
-merges are made by boxes of space: a task makes all that nothing outside its box can prevent, and other boxes follow for what
-is left. Rows of equal features are one point that counts several times.
+Both go by boxes of space. For densities, a task takes what a box and its surroundings settle, and what hangs on the rest goes
+on to a level of larger regions; for Ward's merges, it makes all that nothing outside its box can prevent, and other boxes
+follow for what is left. Only what lies farther off than boxes look is searched by cells, at a scale that doubles: cells are
+dealt to blocks of a bounded number of points, and a task compares two blocks, of which only each point's nearest goes on.
+Rows of equal features are one point that counts several times.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ LEFT = 32768
 #: Boxes of a round at most; where there would be more, they are larger.
 BOXES = 4096
 #: Boxes whose rests go on as one at the next level of a hierarchy by density, and boxes whose points are looked up in it together.
-FAN, PART = 16, 16
+FAN, PART = 16, 8
 #: Clusters for each box that the driver takes to choose where boxes end.
 SEEN = 128
 #: Distances below this count as this, so that a density is finite.
@@ -615,7 +615,7 @@ def _next_level(rows: DataFrame, width: int, boxes: int, least: int) -> DataFram
         k = ((u >= 0) | (p // width != box)) & ((v >= 0) | (q // width != box))
         return _level(gid, box, ids, left["n"].to_numpy(), left["leaf"].to_pylist(), tuple(c[k] for c in (d, a, b, u, v, p, q)), least)
 
-    some = rows.filter("kind in (2, 3)").withColumn("box", F.expr(f"box div {FAN}").cast("int"))
+    some = rows.filter("kind in (2, 3)").withColumn("box", F.expr(f"box div {FAN}").cast("int")).drop("x", "other")
     return stored(_tasks(some, boxes).groupBy("gid", "box").applyInArrow(contracted, _LEVEL_SQL), "level")
 
 
